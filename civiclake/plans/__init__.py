@@ -1,5 +1,6 @@
 """The registered queries, by area."""
 
+from civiclake.plans.profiling import PROFILING
 from civiclake.plans.sql import SQL
 
-SUITES = [SQL]
+SUITES = [SQL, PROFILING]
