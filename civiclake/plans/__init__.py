@@ -1,6 +1,8 @@
 """The registered queries, by area."""
 
+from civiclake.plans.catalogs import CATALOGS
 from civiclake.plans.profiling import PROFILING
+from civiclake.plans.registries import REGISTRIES
 from civiclake.plans.sql import SQL
 
-SUITES = [SQL, PROFILING]
+SUITES = [SQL, PROFILING, REGISTRIES, CATALOGS]

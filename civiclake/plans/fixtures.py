@@ -47,3 +47,120 @@ def dup_rows(t: Tables) -> DataFrame:
 
 
 DUP_ROWS = """(SELECT l_partkey, l_linenumber, l_returnflag, CASE WHEN l_quantity > 45 THEN NULL ELSE l_quantity END AS q FROM lineitem)"""
+
+
+# --- registry of landed tables ----------------------------------------------------
+
+def registry(t: Tables) -> DataFrame:
+    """One landed table per order."""
+    key = F.col("o_orderkey").cast("string")
+    landed = F.col("o_orderdate")
+    whole = F.floor("o_totalprice").cast("long")
+    return t.orders.select(
+        key.alias("resource_id"),
+        F.col("o_custkey").cast("string").alias("dataset_id"),
+        F.concat(F.lit("ds_"), portal_of("o_orderkey"), F.lit("_t_"), key).alias("table_name"),
+        landed.alias("downloaded_at"),
+        whole.alias("row_count"),
+        (whole * 64).alias("size_bytes"),
+        F.concat(F.lit("http://example.com/"), key, F.lit(".csv")).alias("source_url"),
+        F.when(F.col("o_orderstatus") != "F", landed + F.make_dt_interval(F.lit(400))).alias("expires_at"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "daily").when(F.col("o_orderpriority") == "2-HIGH", " Weekly")
+        .when(F.col("o_orderpriority") != "5-LOW", "yearly").alias("update_frequency"),
+    )
+
+
+REGISTRY = f"""(SELECT CAST(o_orderkey AS VARCHAR) AS resource_id, CAST(o_custkey AS VARCHAR) AS dataset_id,
+ concat('ds_', {portal_sql('o_orderkey')}, '_t_', o_orderkey) AS table_name, o_orderdate AS downloaded_at,
+ CAST(floor(o_totalprice) AS BIGINT) AS row_count, CAST(floor(o_totalprice) AS BIGINT) * 64 AS size_bytes,
+ concat('http://example.com/', o_orderkey, '.csv') AS source_url,
+ CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderdate + INTERVAL 400 DAY END AS expires_at,
+ CASE o_orderpriority WHEN '1-URGENT' THEN 'daily' WHEN '2-HIGH' THEN ' Weekly' WHEN '5-LOW' THEN NULL ELSE 'yearly' END AS update_frequency
+ FROM orders)"""
+
+
+def requests(t: Tables) -> DataFrame:
+    """Resource ids asked for: with the right prefix, a strange prefix or none; many repeat or do not exist."""
+    key = (F.col("l_orderkey") * 2).cast("string")
+    return t.lineitem.select(
+        F.when(F.col("l_linenumber") == 1, F.concat(portal_of("l_orderkey"), F.lit(":"), key))
+        .when(F.col("l_linenumber") == 2, F.concat(F.lit("urn:uuid:"), key)).otherwise(key).alias("request")
+    )
+
+
+REQUESTS = f"""(SELECT CASE l_linenumber WHEN 1 THEN concat({portal_sql('l_orderkey')}, ':', l_orderkey * 2)
+ WHEN 2 THEN concat('urn:uuid:', l_orderkey * 2) ELSE CAST(l_orderkey * 2 AS VARCHAR) END AS request FROM lineitem)"""
+
+# The same rows with the prefix taken off, without a pattern.
+BARE_REQUESTS = """(SELECT CASE l_linenumber WHEN 2 THEN concat('urn:uuid:', l_orderkey * 2) ELSE CAST(l_orderkey * 2 AS VARCHAR) END AS resource_id,
+ l_linenumber FROM lineitem)"""
+
+
+# --- catalogue ------------------------------------------------------------------------
+
+def datasets(t: Tables) -> DataFrame:
+    """One dataset per part; its last change is the part's last shipment."""
+    changed = t.lineitem.groupBy("l_partkey").agg(F.max("l_shipdate").alias("changed"))
+    kind = F.col("p_type")
+    word = (
+        F.when(kind == "STANDARD", "daily").when(kind == "ECONOMY", "Monthly")
+        .when(kind == "MEDIUM", "yearly").when(kind == "PROMO", "weekly")
+    )
+    none = F.lit(None).cast("string")
+    return t.part.join(changed, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+        portal_of("p_partkey").alias("portal"),
+        F.col("p_partkey").cast("string").alias("id"),
+        F.replace("p_name", F.lit(" "), F.lit("-")).alias("name"),
+        F.col("p_name").alias("title"),
+        F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("notes"),
+        F.lower("p_brand").alias("org_name"),
+        F.col("p_brand").alias("org_title"),
+        F.array_append(F.split("p_name", " "), F.lower("p_type")).alias("tags"),
+        word.alias("update_frequency"),
+        F.date_format("changed", "yyyy-MM-dd'T'HH:mm:ss").alias("metadata_modified"),
+        none.alias("metadata_created"),
+        kind.alias("license_title"),
+        none.alias("geographic_coverage"),
+        F.col("p_brand").alias("maintainer"),
+        F.when(F.col("p_size") % 4 == 1, "").when(F.col("p_size") % 4 != 0, F.concat(F.lit("m"), "p_size")).alias("maintainer_en"),
+        F.lit("open").alias("access_level"),
+        none.alias("current_as_of"),
+    )
+
+
+DATASETS = f"""(SELECT {portal_sql('p_partkey')} AS portal, CAST(p_partkey AS VARCHAR) AS id, replace(p_name, ' ', '-') AS name, p_name AS title,
+ concat(p_brand, ' ', p_type, ' ', p_name) AS notes, lower(p_brand) AS org_name, p_brand AS org_title,
+ list_append(string_split(p_name, ' '), lower(p_type)) AS tags,
+ CASE p_type WHEN 'STANDARD' THEN 'daily' WHEN 'ECONOMY' THEN 'Monthly' WHEN 'MEDIUM' THEN 'yearly' WHEN 'PROMO' THEN 'weekly' END AS update_frequency,
+ strftime(m.changed, '%Y-%m-%dT%H:%M:%S') AS metadata_modified, p_type AS license_title, p_brand AS maintainer,
+ CASE p_size % 4 WHEN 1 THEN '' WHEN 0 THEN NULL ELSE concat('m', p_size) END AS maintainer_en
+ FROM part LEFT JOIN (SELECT l_partkey, MAX(l_shipdate) AS changed FROM lineitem GROUP BY l_partkey) m ON p_partkey = m.l_partkey)"""
+
+
+def resources(t: Tables) -> DataFrame:
+    """One file per (order, line, part)."""
+    none = F.lit(None).cast("string")
+    flag = F.min("l_returnflag")
+    return (
+        t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey")
+        .agg(
+            F.when(flag == "A", "csv").when(flag == "N", "GeoJSON").otherwise("SHP").alias("format"),
+            (F.floor(F.sum("l_quantity")).cast("long") * 1024).alias("size"),
+            (F.min("l_linestatus") == "O").alias("datastore_active"),
+            F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_modified"),
+        )
+        .select(
+            portal_of("l_partkey").alias("portal"), F.col("l_partkey").cast("string").alias("package_id"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"),
+            F.concat(F.lit("file "), "l_orderkey").alias("name"), "format", "size", none.alias("url"), "last_modified",
+            "datastore_active", F.when(F.col("l_linenumber") > 2, F.col("last_modified")).alias("data_range_start"),
+            F.when(F.col("l_linenumber") < 6, F.lit("2001-12-31")).alias("data_range_end"),
+        )
+    )
+
+
+RESOURCES = f"""(SELECT *, CASE WHEN l_linenumber > 2 THEN last_modified END AS data_range_start, CASE WHEN l_linenumber < 6 THEN '2001-12-31' END AS data_range_end
+ FROM (SELECT {portal_sql('l_partkey')} AS portal, CAST(l_partkey AS VARCHAR) AS package_id, concat(l_orderkey, '-', l_linenumber, '-', l_partkey) AS id,
+ l_linenumber, concat('file ', l_orderkey) AS name, CASE MIN(l_returnflag) WHEN 'A' THEN 'csv' WHEN 'N' THEN 'GeoJSON' ELSE 'SHP' END AS format,
+ CAST(floor(SUM(l_quantity)) AS BIGINT) * 1024 AS size, MIN(l_linestatus) = 'O' AS datastore_active,
+ strftime(MAX(l_shipdate), '%Y-%m-%d') AS last_modified FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey))"""
