@@ -44,7 +44,7 @@ def has_open_semicolon(sql: Column) -> Column:
 
 
 def first_word(sql: Column) -> Column:
-    return F.lower(F.regexp_extract(sql, F.lit(r"^\s*(\S+)"), F.lit(1)))
+    return F.lower(F.regexp_extract(sql, r"^\s*(\S+)", 1))
 
 
 def table_names(sql: Column, pattern: str = FROM_TABLE) -> Column:

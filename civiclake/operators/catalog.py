@@ -309,6 +309,7 @@ def related_datasets(datasets: DataFrame, sources: DataFrame | None = None, limi
     """
     base = datasets if sources is None else datasets.join(sources.select("portal", "id"), ["portal", "id"], "left_semi")
     source = base.select("portal", F.col("id").alias("source_id"), F.col("tags").alias("source_tags"), "org_name")
+
     def newest(rows: DataFrame, key: str, n: int) -> DataFrame:
         place = F.row_number().over(W.partitionBy("portal", key).orderBy(*newest_first()))
         return rows.withColumn("place", place).where(F.col("place") <= n).drop("place")

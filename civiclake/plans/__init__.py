@@ -2,7 +2,8 @@
 
 from civiclake.plans.catalogs import CATALOGS
 from civiclake.plans.profiling import PROFILING
+from civiclake.plans.querying import QUERYING
 from civiclake.plans.registries import REGISTRIES
 from civiclake.plans.sql import SQL
 
-SUITES = [SQL, PROFILING, REGISTRIES, CATALOGS]
+SUITES = [SQL, PROFILING, REGISTRIES, CATALOGS, QUERYING]

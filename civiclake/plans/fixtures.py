@@ -164,3 +164,51 @@ RESOURCES = f"""(SELECT *, CASE WHEN l_linenumber > 2 THEN last_modified END AS
  l_linenumber, concat('file ', l_orderkey) AS name, CASE MIN(l_returnflag) WHEN 'A' THEN 'csv' WHEN 'N' THEN 'GeoJSON' ELSE 'SHP' END AS format,
  CAST(floor(SUM(l_quantity)) AS BIGINT) * 1024 AS size, MIN(l_linestatus) = 'O' AS datastore_active,
  strftime(MAX(l_shipdate), '%Y-%m-%d') AS last_modified FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey))"""
+
+
+# --- logged statements --------------------------------------------------------------------
+
+# What kind of statement each log row holds, by order key; {t} is the order's table and
+# {n} the next one, which may not be landed. The verdict is what an audit must say.
+STATEMENTS = (
+    ("SELECT * FROM \"{t}\" WHERE note = 'a;b'", "ok"),
+    ("SELECT 1; DROP TABLE \"{t}\"", "semicolons"),
+    ("SELECT COUNT(*) FROM \"{t}\"", "ok"),
+    ("/* harmless */ DROP TABLE \"{t}\"", "read-only"),
+    ("select kind, count( * ) from \"{t}\" group  by kind", "ok"),
+    ("WITH c AS (SELECT 1 AS k) SELECT * FROM c JOIN \"{t}\" USING (k)", "ok"),
+    ("SELECT 1 --'\n; DROP TABLE x", "semicolons"),
+    ("SELECT a.id FROM \"{t}\" a JOIN \"{n}\" b ON a.id = b.id", "ok"),
+    ("SELECT 'O''Brien'; DELETE FROM \"{t}\"", "semicolons"),
+    ("-- only a comment\nUPDATE \"{t}\" SET x = 1", "read-only"),
+    ("", "read-only"),
+)
+
+
+def query_log(t: Tables) -> DataFrame:
+    """One logged statement per order."""
+    def name(shift: int):
+        key = F.col("o_orderkey") + shift
+        return F.concat(F.lit("ds_province_t_"), key.cast("string"))
+
+    kinds = F.array(*[F.lit(text) for text, _ in STATEMENTS])
+    text = F.element_at(kinds, (F.col("o_orderkey") % len(STATEMENTS) + 1).cast("int"))
+    return t.orders.select(
+        F.col("o_orderkey").alias("query_id"),
+        F.replace(F.replace(text, F.lit("{t}"), name(0)), F.lit("{n}"), name(3)).alias("sql"),
+        (F.col("o_custkey") % 5).alias("result_rows"),
+        (F.col("o_orderdate") + F.make_dt_interval(F.lit(10))).alias("started_at"),
+    )
+
+
+LOG_KIND = f"(o_orderkey % {len(STATEMENTS)})"
+
+
+def table_stats(t: Tables) -> DataFrame:
+    """Row count and column names of each landed table."""
+    return t.orders.select(
+        F.concat(F.lit("ds_province_t_"), F.col("o_orderkey").cast("string")).alias("table_name"),
+        F.floor(F.col("o_totalprice") / 100).cast("long").alias("row_count"),
+        F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit("id"), F.lit("No_of_Exceedances"), F.lit("Total EV")))
+        .otherwise(F.array(F.lit("id"), F.lit("name"))).alias("columns"),
+    )
