@@ -212,3 +212,48 @@ def table_stats(t: Tables) -> DataFrame:
         F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit("id"), F.lit("No_of_Exceedances"), F.lit("Total EV")))
         .otherwise(F.array(F.lit("id"), F.lit("name"))).alias("columns"),
     )
+
+
+# --- claims ---------------------------------------------------------------------------------
+
+def claim_results(t: Tables) -> DataFrame:
+    """Per customer one query result: a row per order status."""
+    return t.orders.groupBy("o_custkey", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("amount"),
+    ).select(
+        F.concat(F.lit("q"), "o_custkey").alias("result_id"), "o_custkey", "o_orderstatus", "n", "amount",
+        (F.col("n") / 64).alias("rate"),
+    )
+
+
+CLAIM_RESULTS = """(SELECT concat('q', o_custkey) AS result_id, o_custkey, o_orderstatus, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS amount, COUNT(*) / 64 AS rate
+ FROM orders GROUP BY o_custkey, o_orderstatus)"""
+
+CLAIM_KINDS = 8
+
+
+def claims(t: Tables) -> DataFrame:
+    """Eight claims about every result row, each with a known verdict."""
+    n, status = F.col("n").cast("string"), F.col("o_orderstatus")
+    texts = [
+        F.concat(F.lit("There were "), n, F.lit(' orders with status "'), F.lower(status), F.lit('".')),
+        F.concat(F.lit("There were "), (F.col("n") + 900000).cast("string"), F.lit(" orders.")),
+        F.lit("Many orders were placed."),
+        F.concat(F.lit("There were "), n, F.lit(" orders, up 98,765,432,109.5%.")),
+        F.concat(F.lit("They were worth "), F.format_number(F.col("amount") + 0.25, 2), F.lit(" dollars.")),
+        F.lit("Some had the status 'nope' today."),
+        F.concat(F.lit("That is "), F.format_number(F.col("n") * 1.5625, 4), F.lit(" % of all.")),
+        F.concat(F.lit("There were "), n, F.lit(" orders.")),
+    ]
+    table = F.concat(F.lit("ds_"), portal_of("o_custkey"), F.lit("_t_"), F.col("o_custkey").cast("string"))
+    return claim_results(t).select(
+        "result_id", "o_custkey", "o_orderstatus", F.posexplode(F.array(*texts)).alias("v", "claim")
+    ).select(
+        F.concat_ws("#", "result_id", "o_orderstatus", "v").alias("claim_id"), "result_id", "claim",
+        F.when(F.col("v") == 7, F.concat(F.lit('DROP TABLE "'), table, F.lit('"')))
+        .otherwise(F.concat(F.lit('SELECT * FROM "'), table, F.lit('"'))).alias("sql"),
+        F.lit("1998-06-01").cast("timestamp_ntz").alias("started_at"),
+    )
+
+
+CLAIMS = f"""(SELECT concat(result_id, '#', o_orderstatus, '#', v) AS claim_id, * FROM {CLAIM_RESULTS} CROSS JOIN (SELECT unnest(range(8)) AS v))"""
