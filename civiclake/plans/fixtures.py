@@ -257,3 +257,37 @@ def claims(t: Tables) -> DataFrame:
 
 
 CLAIMS = f"""(SELECT concat(result_id, '#', o_orderstatus, '#', v) AS claim_id, * FROM {CLAIM_RESULTS} CROSS JOIN (SELECT unnest(range(8)) AS v))"""
+
+
+# --- geometry -----------------------------------------------------------------------------
+
+def geo_points(t: Tables) -> DataFrame:
+    """One point per customer on whole degrees, some without geometry."""
+    lon, lat = F.col("c_custkey") * 37 % 360 - 180, F.col("c_custkey") * 53 % 180 - 90
+    return t.customer.select(
+        F.col("c_custkey").alias("id"), lon.alias("lon"), lat.alias("lat"),
+        F.when(F.col("c_custkey") % 50 != 0, F.concat(F.lit("POINT ("), lon, F.lit(" "), lat, F.lit(")"))).alias("geometry_wkt"),
+    )
+
+
+GEO_POINTS = """(SELECT c_custkey AS id, (c_custkey * 37) % 360 - 180 AS lon, (c_custkey * 53) % 180 - 90 AS lat,
+ CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE concat('POINT (', (c_custkey * 37) % 360 - 180, ' ', (c_custkey * 53) % 180 - 90, ')') END AS geometry_wkt FROM customer)"""
+
+
+def geo_polys(t: Tables) -> DataFrame:
+    """One rectangle per supplier, 2 by 3 up to 8 by 7 degrees, corners on whole degrees."""
+    key = F.col("s_suppkey")
+    corners = t.supplier.select(
+        key.alias("id"), (key * 29 % 350 - 178).alias("x0"), (key * 17 % 165 - 88).alias("y0"),
+        (key % 7 + 2).alias("w"), (key % 5 + 3).alias("h"),
+    ).select("id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+    def at(x, y):
+        return F.concat_ws(" ", x, y)
+
+    ring = F.concat_ws(", ", at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"), at("x0", "y0"))
+    return corners.withColumn("geometry_wkt", F.concat(F.lit("POLYGON (("), ring, F.lit("))")))
+
+
+GEO_POLYS = """(SELECT *, concat('POLYGON ((', x0, ' ', y0, ', ', x1, ' ', y0, ', ', x1, ' ', y1, ', ', x0, ' ', y1, ', ', x0, ' ', y0, '))') AS geometry_wkt FROM
+ (SELECT s_suppkey AS id, s_suppkey * 29 % 350 - 178 AS x0, s_suppkey * 17 % 165 - 88 AS y0,
+ s_suppkey * 29 % 350 - 178 + s_suppkey % 7 + 2 AS x1, s_suppkey * 17 % 165 - 88 + s_suppkey % 5 + 3 AS y1 FROM supplier))"""
