@@ -275,9 +275,9 @@ GEO_POINTS = """(SELECT c_custkey AS id, (c_custkey * 37) % 360 - 180 AS lon, (c
 
 
 def geo_polys(t: Tables) -> DataFrame:
-    """One rectangle per supplier, 2 by 3 up to 8 by 7 degrees, corners on whole degrees."""
-    key = F.col("s_suppkey")
-    corners = t.supplier.select(
+    """One rectangle per part, 2 by 3 up to 8 by 7 degrees, corners on whole degrees."""
+    key = F.col("p_partkey")
+    corners = t.part.select(
         key.alias("id"), (key * 29 % 350 - 178).alias("x0"), (key * 17 % 165 - 88).alias("y0"),
         (key % 7 + 2).alias("w"), (key % 5 + 3).alias("h"),
     ).select("id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
@@ -289,5 +289,5 @@ def geo_polys(t: Tables) -> DataFrame:
 
 
 GEO_POLYS = """(SELECT *, concat('POLYGON ((', x0, ' ', y0, ', ', x1, ' ', y0, ', ', x1, ' ', y1, ', ', x0, ' ', y1, ', ', x0, ' ', y0, '))') AS geometry_wkt FROM
- (SELECT s_suppkey AS id, s_suppkey * 29 % 350 - 178 AS x0, s_suppkey * 17 % 165 - 88 AS y0,
- s_suppkey * 29 % 350 - 178 + s_suppkey % 7 + 2 AS x1, s_suppkey * 17 % 165 - 88 + s_suppkey % 5 + 3 AS y1 FROM supplier))"""
+ (SELECT p_partkey AS id, p_partkey * 29 % 350 - 178 AS x0, p_partkey * 17 % 165 - 88 AS y0,
+ p_partkey * 29 % 350 - 178 + p_partkey % 7 + 2 AS x1, p_partkey * 17 % 165 - 88 + p_partkey % 5 + 3 AS y1 FROM part))"""
