@@ -20,9 +20,9 @@ def rect(x, y):
 
 
 @PLACES.query("contains_point", f"""
-SELECT id, x0, y0, x1, y1, 0.0::DOUBLE AS distance FROM {GEO_POLYS} WHERE x0 < 20.5 AND x1 > 20.5 AND y0 < 40 AND y1 > 40""")
+SELECT id, x0, y0, x1, y1, 0.0::DOUBLE AS distance FROM {GEO_POLYS} WHERE x0 < -156.5 AND x1 > -156.5 AND y0 < -79 AND y1 > -79""")
 def contains_point(t):
-    return sp.contains_point(geo_polys(t), 20.5, 40, limit=None).drop("geometry_wkt")
+    return sp.contains_point(geo_polys(t), -156.5, -79, limit=None).drop("geometry_wkt")
 
 
 @PLACES.query("within_radius", f"""
