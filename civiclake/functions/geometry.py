@@ -1,15 +1,13 @@
 """Column expressions on geometry text (WKT), in planar degrees.
 
-A parsed geometry is an array of components ``struct<kind, rings>``: kind is point,
-line or area, and every ring is an array of ``struct<x, y>``. A collection gives
+A parsed geometry is an array of components ``struct<kind, points, ends, segments>``:
+kind is point, line or area, points are all vertices, ends the first and last vertex
+of every ring or line, segments the pieces between neighbours. A collection gives
 several components, any other geometry one, an empty one none.
 """
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,30 +33,27 @@ def parse_wkt(wkt: Column) -> Column:
         return F.struct(F.get(numbers, F.lit(0)).cast("double").alias("x"), F.get(numbers, F.lit(1)).cast("double").alias("y"))
 
     def rings(member: Column) -> Column:
-        body = F.regexp_replace(member, r"^[^(]*[\s(]+|[\s)]+$", "")
+        body = F.btrim(F.substr(member, F.instr(member, "(")), F.lit("() \t\r\n"))
         return F.transform(F.split(body, r"\)[\s,()]*\("), lambda ring: F.transform(F.split(ring, ","), point))
 
     def kind(member: Column) -> Column:
         name = F.upper(member)
         return F.when(name.contains("POLYGON"), "area").when(name.contains("LINESTRING"), "line").otherwise("point")
 
-    members = F.regexp_extract_all(wkt, F.lit(MEMBER), F.lit(0))
-    return F.transform(members, lambda m: F.struct(kind(m).alias("kind"), rings(m).alias("rings")))
-
+    members = (
+        F.when(F.upper(wkt).contains("COLLECTION"), F.regexp_extract_all(wkt, F.lit(MEMBER), F.lit(0)))
+        .when(wkt.contains("("), F.array(wkt))
+        .when(wkt.isNotNull(), F.array().cast("array<string>"))
+    )
+    return F.transform(members, lambda m: F.get(F.transform(F.array(rings(m)), lambda r: F.struct(
+        kind(m).alias("kind"), F.flatten(r).alias("points"), _ends(r).alias("ends"), _segments(r).alias("segments"))), F.lit(0)))
 
-def vertices(geometry: Column) -> Column:
-    return F.flatten(F.flatten(F.transform(geometry, lambda c: c["rings"])))
 
+def _ends(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, lambda r: F.array(F.get(r, F.lit(0)), F.element_at(r, -1))))
 
-def bounds(geometry: Column) -> Column:
-    """``struct<minx, miny, maxx, maxy>``; NULL fields if there is no vertex."""
-    start = F.struct(*[F.lit(None).cast("double").alias(n) for n in ("minx", "miny", "maxx", "maxy")])
-    return F.aggregate(vertices(geometry), start, lambda b, p: F.struct(
-        F.least(b["minx"], p["x"]).alias("minx"), F.least(b["miny"], p["y"]).alias("miny"),
-        F.greatest(b["maxx"], p["x"]).alias("maxx"), F.greatest(b["maxy"], p["y"]).alias("maxy")))
 
-
-def segments(rings: Column) -> Column:
+def _segments(rings: Column) -> Column:
     def of_ring(ring: Column) -> Column:
         n = F.size(ring) - 1
         return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct(
@@ -67,6 +62,20 @@ def segments(rings: Column) -> Column:
     return F.flatten(F.transform(rings, of_ring))
 
 
+def vertices(geometry: Column) -> Column:
+    return F.flatten(F.transform(geometry, lambda c: c["points"]))
+
+
+def bounds(geometry: Column) -> Column:
+    """``struct<minx, miny, maxx, maxy>``; NULL fields if there is no vertex."""
+    def edge(best, axis: str) -> Column:
+        return best(F.transform(geometry, lambda c: best(F.transform(c["points"], lambda p: p[axis]))))
+
+    return F.struct(
+        edge(F.array_min, "x").alias("minx"), edge(F.array_min, "y").alias("miny"),
+        edge(F.array_max, "x").alias("maxx"), edge(F.array_max, "y").alias("maxy"))
+
+
 def side(s: Column, x: Column, y: Column) -> Column:
     """Positive left of the segment, negative right of it, zero on its line."""
     return (s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"])
@@ -80,18 +89,17 @@ def on_segment(s: Column, x: Column, y: Column) -> Column:
     )
 
 
-def _position(component: Column, x: Column, y: Column) -> Column:
-    """-1 outside, 0 on the edge, 1 inside an area, by counting crossed segments."""
-    def step(state: Column, s: Column) -> Column:
-        crosses = ((s["y1"] > y) != (s["y2"] > y)) & (
+def _on_edge(component: Column, x: Column, y: Column) -> Column:
+    return F.exists(component["segments"], lambda s: on_segment(s, x, y))
+
+
+def _encloses(component: Column, x: Column, y: Column) -> Column:
+    """True if a ray from the point crosses the rings an odd number of times."""
+    def crossed(s: Column) -> Column:
+        return ((s["y1"] > y) != (s["y2"] > y)) & (
             ((s["y2"] > s["y1"]) & (side(s, x, y) > 0)) | ((s["y2"] < s["y1"]) & (side(s, x, y) < 0)))
-        return F.struct(
-            (state["edge"] | on_segment(s, x, y)).alias("edge"), (state["inside"] != crosses).alias("inside"))
 
-    start = F.struct(F.lit(False).alias("edge"), F.lit(False).alias("inside"))
-    return F.aggregate(
-        segments(component["rings"]), start, step,
-        lambda state: F.when(state["edge"], 0).when(state["inside"], 1).otherwise(-1))
+    return F.size(F.filter(component["segments"], crossed)) % 2 == 1
 
 
 def contains_point(geometry: Column, x: Column, y: Column) -> Column:
@@ -99,14 +107,10 @@ def contains_point(geometry: Column, x: Column, y: Column) -> Column:
     def same(p: Column) -> Column:
         return (p["x"] == x) & (p["y"] == y)
 
-    def in_line(rings: Column) -> Column:
-        ends = F.size(F.filter(F.flatten(F.transform(rings, lambda r: F.array(F.get(r, F.lit(0)), F.element_at(r, -1)))), same))
-        return F.exists(segments(rings), lambda s: on_segment(s, x, y)) & (ends % 2 == 0)
-
     return F.exists(geometry, lambda c: (
-        F.when(c["kind"] == "area", _position(c, x, y) == 1)
-        .when(c["kind"] == "line", in_line(c["rings"]))
-        .otherwise(F.exists(F.flatten(c["rings"]), same))
+        F.when(c["kind"] == "area", _encloses(c, x, y) & ~_on_edge(c, x, y))
+        .when(c["kind"] == "line", _on_edge(c, x, y) & (F.size(F.filter(c["ends"], same)) % 2 == 0))
+        .otherwise(F.exists(c["points"], same))
     ))
 
 
@@ -122,14 +126,14 @@ def distance(geometry: Column, x: Column, y: Column) -> Column:
     """Planar distance to a point: 0 inside an area, NULL for an empty geometry."""
     def to_points(c: Column) -> Column:
         return F.array_min(F.transform(
-            F.flatten(c["rings"]), lambda p: F.sqrt((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y))))
+            c["points"], lambda p: F.sqrt((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y))))
 
     def to_segments(c: Column) -> Column:
-        return F.array_min(F.transform(segments(c["rings"]), lambda s: _segment_distance(s, x, y)))
+        return F.array_min(F.transform(c["segments"], lambda s: _segment_distance(s, x, y)))
 
     return F.array_min(F.transform(geometry, lambda c: (
         F.when(c["kind"] == "point", to_points(c))
-        .when((c["kind"] == "area") & (_position(c, x, y) >= 0), 0.0)
+        .when((c["kind"] == "area") & _encloses(c, x, y), 0.0)
         .otherwise(F.coalesce(to_segments(c), to_points(c)))
     )))
 
@@ -150,13 +154,6 @@ def intersects_box(geometry: Column, box: tuple[Column, Column, Column, Column])
         return overlap & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
 
     return F.exists(geometry, lambda c: (
-        F.when(c["kind"] == "point", F.exists(F.flatten(c["rings"]), in_box))
-        .otherwise(
-            F.exists(segments(c["rings"]), meets)
-            | ((c["kind"] == "area") & (_position(c, minx, miny) >= 0))
-        )
+        F.when(c["kind"] == "point", F.exists(c["points"], in_box))
+        .otherwise(F.exists(c["segments"], meets) | ((c["kind"] == "area") & _encloses(c, minx, miny)))
     ))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(operator.and_, conditions)

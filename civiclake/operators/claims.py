@@ -18,7 +18,7 @@ from civiclake.operators.query import audit_sql
 
 # What is a fact in a claim, and how closely a number must agree.
 PERCENTAGE = r"(?U)(\d[\d,]*\.?\d*)\s*%"
-NUMBER = r"(?U)(?<![%\w])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d+)(?![%\w])"
+NUMBER = r"(?U)(?=\d)(?<![%\w])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d+)(?![%\w])"
 QUOTED = r"""["']([^"']+)["']"""
 RELATIVE = 0.005
 ABSOLUTE = 0.5
@@ -26,8 +26,6 @@ LONGEST_CLAIM = 10_000
 
 NUMERIC_KINDS = ("percentage", "integer", "float")
 
-FACT = "struct<kind:string,raw:string,num:double,str:string>"
-
 
 def normal_text(text: Column) -> Column:
     """Lower case with runs of white space as one blank and none at the ends."""
@@ -47,37 +45,52 @@ def number_text(column: Column, kind: T.DataType) -> Column:
 
 # --- facts --------------------------------------------------------------------------
 
-def extract_facts(claims: DataFrame, text: str = "claim") -> DataFrame:
+def facts_in(text: Column) -> tuple[Column, Column, Column]:
+    """Raw percentages, numbers and quoted strings of a text, as three arrays.
+
+    Each kind is taken out before the next is looked for. Texts without a percent sign
+    or a quote skip the passes that need one.
+    """
+    nothing = F.array().cast("array<string>")
+
+    def every(source: Column, pattern: str, group: int = 0) -> Column:
+        return F.regexp_extract_all(source, F.lit(pattern), F.lit(group))
+
+    has_percent = text.contains("%")
+    has_quote = text.contains('"') | text.contains("'")
+    first = F.when(has_percent, F.regexp_replace(text, PERCENTAGE, "")).otherwise(text)
+    percentages = F.when(has_percent, every(text, PERCENTAGE)).otherwise(nothing)
+    numbers = every(first, NUMBER, 1)
+    strings = F.when(has_quote, every(F.regexp_replace(first, NUMBER, ""), QUOTED)).otherwise(nothing)
+    return percentages, numbers, strings
+
+
+def extract_facts(claims: DataFrame, text: str = "claim", keep_empty: bool = False) -> DataFrame:
     """One row per fact: position, kind, raw text, and its number or string.
 
-    Percentages are taken out first, then other numbers, then quoted strings.
+    Percentages are taken out first, then other numbers, then quoted strings. With
+    ``keep_empty`` a claim without facts keeps one row of NULLs.
     """
-    def fact(kind: Column, raw: Column, num: Column | None, string: Column | None = None) -> Column:
-        return F.struct(
-            kind.alias("kind"), raw.alias("raw"),
-            (F.lit(None) if num is None else num).cast("double").alias("num"),
-            (F.lit(None) if string is None else string).cast("string").alias("str"),
-        ).cast(FACT)
+    def fact(kind: Column, raw: Column, num: Column, string: Column) -> Column:
+        return F.struct(kind.alias("kind"), raw.alias("raw"), num.cast("double").alias("num"), string.cast("string").alias("str"))
 
     def value(raw: Column) -> Column:
-        return F.replace(raw, F.lit(","), F.lit("")).try_cast("double")
+        return F.regexp_replace(raw, r"(?U)[,%\s]", "").try_cast("double")
 
-    def pairs(source: Column, pattern: str) -> Column:
-        every = [F.regexp_extract_all(source, F.lit(pattern), F.lit(i)) for i in (0, 1)]
-        return F.arrays_zip(every[0].alias("raw"), every[1].alias("inner"))
+    def whole(raw: Column) -> Column:
+        return F.replace(raw, F.lit(","), F.lit("")).try_cast("double")
 
-    taken = (
-        claims.withColumn("_after1", F.regexp_replace(text, PERCENTAGE, ""))
-        .withColumn("_after2", F.regexp_replace("_after1", NUMBER, ""))
+    none = F.lit(None)
+    raws = claims.select(*claims.columns, F.struct(*[
+        c.alias(n) for n, c in zip(("percentages", "numbers", "strings"), facts_in(F.col(text)))]).alias("_raw"))
+    found = F.concat(
+        F.transform("_raw.percentages", lambda m: fact(F.lit("percentage"), m, value(m), none)),
+        F.transform("_raw.numbers", lambda m: fact(F.when(m.contains("."), "float").otherwise("integer"), m, whole(m), none)),
+        F.transform("_raw.strings", lambda m: fact(F.lit("string"), m, none, F.substr(m, F.lit(2), F.length(m) - 2))),
     )
-    percentages = F.transform(pairs(F.col(text), PERCENTAGE), lambda m: fact(F.lit("percentage"), m["raw"], value(m["inner"])))
-    numbers = F.transform(
-        F.regexp_extract_all(F.col("_after1"), F.lit(NUMBER), F.lit(1)),
-        lambda m: fact(F.when(m.contains("."), "float").otherwise("integer"), m, value(m)))
-    strings = F.transform(pairs(F.col("_after2"), QUOTED), lambda m: fact(F.lit("string"), m["raw"], None, m["inner"]))
-    return taken.select(
-        *claims.columns, F.posexplode(F.concat(percentages, numbers, strings)).alias("position", "fact")
-    ).select(*claims.columns, "position", "fact.*")
+    spread = F.posexplode_outer if keep_empty else F.posexplode
+    return raws.select(*claims.columns, spread(found).alias("position", "fact")).select(
+        *claims.columns, "position", "fact.*")
 
 
 def value_index(results: DataFrame, key: str = "result_id") -> DataFrame:
@@ -105,18 +118,21 @@ def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(RELATIVE) * larger, F.lit(ABSOLUTE))
 
 
-def slot(value: Column) -> Column:
-    """Number line cut so that the tolerance reaches one slot either way, and no further.
+def with_slot(df: DataFrame) -> DataFrame:
+    """Add ``slot``: the place of ``num`` on a number line cut to fit the tolerance.
 
-    Up to 100 the tolerance is the absolute one and slots are even; beyond, it is
-    relative and slots are even on the log scale. Slots are a little wider than the
-    reach, and narrower than the whole tolerance interval.
+    The tolerance reaches one slot either way, and no further. Up to 100 it is the
+    absolute one and slots are even; beyond, it is relative and slots are even on the
+    log scale. Slots are a little wider than the reach, and narrower than the whole
+    tolerance interval. Numbers too large for the scale have no slot.
     """
     turn = ABSOLUTE / RELATIVE
-    size = F.abs(value)
-    beyond = F.ln(F.greatest(size, F.lit(turn)) / turn) / -math.log(1 - RELATIVE) + turn / ABSOLUTE
-    scaled = F.when(size <= turn, size / ABSOLUTE).otherwise(beyond)
-    return F.floor(F.signum(value) * scaled / 1.05).cast("long")
+    beyond = F.ln(F.col("_size") / turn) / -math.log(1 - RELATIVE) + turn / ABSOLUTE
+    scaled = F.when(F.col("_size") <= turn, F.col("_size") / ABSOLUTE).when(F.col("_size") < 1e300, beyond)
+    return (
+        df.withColumn("_size", F.abs("num"))
+        .withColumn("slot", F.floor(F.signum("num") * scaled / 1.05).cast("long")).drop("_size")
+    )
 
 
 def match_tolerance(probes: DataFrame, index: DataFrame, key: str = "result_id") -> DataFrame:
@@ -127,12 +143,11 @@ def match_tolerance(probes: DataFrame, index: DataFrame, key: str = "result_id")
     extremes decide, and no slot can grow into many candidates.
     """
     cells = (
-        index.where(F.abs("num") < 1e300)
-        .groupBy(key, slot(F.col("num")).alias("slot"))
+        with_slot(index).where(F.col("slot").isNotNull()).groupBy(key, "slot")
         .agg(F.min(F.struct("num", "column")).alias("least"), F.max(F.struct("num", "column")).alias("most"))
     )
-    reach = F.explode(F.sequence(slot(F.col("num")) - 1, slot(F.col("num")) + 1))
-    tried = probes.select(key, "num").where(F.abs("num") < 1e300).distinct().withColumn("slot", reach)
+    distinct = with_slot(probes.select(key, "num").distinct()).where(F.col("slot").isNotNull())
+    tried = distinct.withColumn("slot", F.explode(F.array(*[F.col("slot") + step for step in (-1, 0, 1)])))
     column = F.when(close(F.col("least.num"), F.col("num")), F.col("least.column")).when(
         close(F.col("most.num"), F.col("num")), F.col("most.column"))
     return (
@@ -141,45 +156,73 @@ def match_tolerance(probes: DataFrame, index: DataFrame, key: str = "result_id")
     )
 
 
-def match_exact(probes: DataFrame, index: DataFrame, on: str, key: str = "result_id") -> DataFrame:
-    """(key, on, column) for each distinct probe equal to some cell."""
-    cells = index.where(F.col(on).isNotNull()).groupBy(key, on).agg(F.min("column").alias("column"))
-    return probes.select(key, on).where(F.col(on).isNotNull()).distinct().join(cells, [key, on])
-
-
 def match_facts(facts: DataFrame, index: DataFrame, key: str = "result_id") -> DataFrame:
     """Facts with ``found_in``: a column of their result that holds them, else NULL.
 
     Integers must be equal; floats close; percentages close as they stand or divided
-    by 100; strings equal after normalising. Every step works on distinct probes.
+    by 100; strings equal after normalising.
+    """
+    own = list(facts.columns)
+    return _look_up(_probes(facts), index, key).groupBy(*own).agg(F.min("column").alias("found_in"))
+
+
+def _probes(facts: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Facts times what to look for in the index: (way, at, wanted).
+
+    A close number is looked for in its own slot and in those beside it, and a
+    percentage as it stands and divided by 100.
     """
-    def kind(name: str) -> Column:
-        return F.col("kind") == name
-
-    whole = match_exact(facts.where(kind("integer")), index, "num", key)
-    near = facts.where(kind("float") | kind("percentage")).select(key, "num").unionByName(
-        facts.where(kind("percentage")).select(key, (F.col("num") / 100).alias("num")))
-    nearby = match_tolerance(near, index, key)
-    words = match_exact(facts.where(kind("string")).select(key, normal_text(F.col("str")).alias("str")), index, "str", key)
-    found = (
-        whole.select(key, F.lit("n").alias("way"), "num", F.lit(None).cast("string").alias("text"), "column")
-        .unionByName(nearby.select(key, F.lit("c").alias("way"), "num", F.lit(None).cast("string").alias("text"), "column"))
-        .unionByName(words.select(key, F.lit("s").alias("way"), F.lit(0.0).alias("num"), F.col("str").alias("text"), "column"))
-        .select(key, F.concat("way", F.coalesce("text", F.col("num").cast("string"))).alias("probe"), "column")
+    nothing = F.lit(None).cast("double")
+    first = with_slot(facts).withColumnRenamed("slot", "_slot1")
+    hundredth = with_slot(first.withColumns({"_num": F.col("num"), "num": F.col("num") / 100})).withColumnRenamed("slot", "_slot2")
+    both = hundredth.withColumns({"_part": F.col("num"), "num": F.col("_num")}).withColumn("_text", normal_text(F.col("str")))
+
+    def probe(way: str, at: Column, wanted: Column = nothing) -> Column:
+        return F.struct(F.lit(way).alias("way"), at.cast("string").alias("at"), wanted.alias("wanted"))
+
+    def beside(name: str, wanted: str) -> list[Column]:
+        return [probe("near", F.col(name) + step, F.col(wanted)) for step in (-1, 0, 1)]
+
+    kind = F.col("kind")
+    by_kind = (
+        F.when(kind == "integer", F.array(probe("equal", F.col("num"))))
+        .when(kind == "float", F.array(*beside("_slot1", "num")))
+        .when(kind == "percentage", F.array(*beside("_slot1", "num"), *beside("_slot2", "_part")))
+        .when(kind == "string", F.array(probe("text", F.col("_text"))))
     )
+    if extra is not None:
+        rows = F.when(extra, F.array(probe("rows", F.lit("")))).otherwise(F.array().cast("array<struct<way:string,at:string,wanted:double>>"))
+        by_kind = F.concat(F.coalesce(by_kind, F.array().cast("array<struct<way:string,at:string,wanted:double>>")), rows)
+    return both.select(*facts.columns, F.inline(by_kind))
 
-    def probe(way: str, value: Column) -> Column:
-        return F.concat(F.lit(way), value.cast("string"))
 
-    probes = (
-        F.when(kind("integer"), F.array(probe("n", F.col("num"))))
-        .when(kind("float"), F.array(probe("c", F.col("num"))))
-        .when(kind("percentage"), F.array(probe("c", F.col("num")), probe("c", F.col("num") / 100)))
-        .otherwise(F.array(probe("s", normal_text(F.col("str")))))
+def _look_up(probes: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Left join of probes with the index, reduced to one row per (key, way, at).
+
+    A probe meets at most one index row, so the join keeps the size of its left side
+    however often a value or a result is asked for; a crowded key there is one that
+    adaptive execution splits. ``column`` is where the probe was found, else NULL.
+    """
+    num = F.col("num")
+
+    def place(way: str, at: Column, condition: Column) -> Column:
+        return F.when(condition, F.struct(F.lit(way).alias("way"), at.cast("string").alias("at")))
+
+    places = F.array_compact(F.array(
+        place("equal", num, num.isNotNull()),
+        place("near", F.col("slot"), F.col("slot").isNotNull()),
+        place("text", F.col("str"), F.col("str") != ""),
+        place("rows", F.lit(""), F.lit(True)),
+    ))
+    held = (
+        with_slot(index).select(key, "column", "num", F.inline(places))
+        .groupBy(key, "way", "at")
+        .agg(F.min(F.struct("num", "column")).alias("least"), F.max(F.struct("num", "column")).alias("most"))
     )
-    own = [c for c in facts.columns]
-    tried = facts.withColumn("probe", F.explode(probes)).join(found, [key, "probe"], "left")
-    return tried.groupBy(*own).agg(F.min("column").alias("found_in"))
+    column = F.when((F.col("way") != "near") | close(F.col("least.num"), F.col("wanted")), F.col("least.column")).when(
+        close(F.col("most.num"), F.col("wanted")), F.col("most.column"))
+    met = probes.join(held, [key, "way", "at"], "left").withColumn("column", column)
+    return met.drop("way", "at", "wanted", "least", "most")
 
 
 # --- verdicts -----------------------------------------------------------------------
@@ -189,32 +232,37 @@ def claim_verdicts(claims: DataFrame, index: DataFrame, key: str = "result_id")
 
     NULL: no facts, nothing in the result, a claim too long, or only numbers missing
     while something else was found (they may be derived). A claim whose statement the
-    audit rejects is false.
+    audit rejects is false. Claims are read once: a probe for the mere presence of rows
+    keeps those without facts.
     """
     usable = F.length("claim") <= LONGEST_CLAIM
-    facts = extract_facts(claims.where(usable).select("claim_id", key, "claim")).drop("claim")
-    missing = F.col("found_in").isNull()
-    counted = match_facts(facts, index, key).groupBy("claim_id").agg(
-        F.count(F.lit(1)).alias("n_facts"),
-        F.count_if(~missing).alias("n_found"),
-        F.count_if(missing & ~F.col("kind").isin(*NUMERIC_KINDS)).alias("n_strings_missing"),
+    audited = audit_sql(claims) if "sql" in claims.columns else claims.withColumn("verdict", F.lit("ok"))
+    texts = audited.select(
+        "claim_id", key, F.when(usable, F.col("claim")).otherwise("").alias("claim"), usable.alias("usable"),
+        (F.col("verdict") == "ok").alias("allowed"))
+    facts = extract_facts(texts, keep_empty=True).drop("claim", "raw")
+    probes = _probes(facts, extra=F.coalesce(F.col("position"), F.lit(0)) == 0)
+    found = F.col("column").isNotNull()
+    # The rows probe carries the first fact's place, so it is told apart by its way.
+    asked = probes.withColumn("about_rows", F.col("way") == "rows")
+    fact_found = found & ~F.col("about_rows")
+    counted = _look_up(asked, index, key).groupBy("claim_id", key).agg(
+        F.first("usable").alias("usable"), F.first("allowed").alias("allowed"),
+        F.coalesce(F.max("position") + 1, F.lit(0)).alias("n_facts"),
+        # Places of found facts: no more than fit in one claim of bounded length.
+        F.size(F.collect_set(F.when(fact_found, F.col("position")))).alias("n_found"),
+        F.bool_or(F.col("about_rows") & found).alias("has_rows"),
+        F.bool_or((F.col("kind") == "string") & ~F.col("about_rows") & ~found).alias("string_missing"),
     )
-    filled = index.select(key).distinct().withColumn("has_rows", F.lit(True))
-    checked = audit_sql(claims) if "sql" in claims.columns else claims.withColumn("verdict", F.lit("ok"))
     verdict = (
-        F.when(~usable, F.lit(None).cast("boolean"))
-        .when(F.col("verdict") != "ok", False)
-        .when(F.col("has_rows").isNull() | F.col("n_facts").isNull(), F.lit(None).cast("boolean"))
+        F.when(~F.col("usable"), F.lit(None).cast("boolean"))
+        .when(~F.col("allowed"), False)
+        .when(~F.col("has_rows") | (F.col("n_facts") == 0), F.lit(None).cast("boolean"))
         .when(F.col("n_found") == F.col("n_facts"), True)
-        .when((F.col("n_found") > 0) & (F.col("n_strings_missing") == 0), F.lit(None).cast("boolean"))
+        .when((F.col("n_found") > 0) & ~F.coalesce("string_missing", F.lit(False)), F.lit(None).cast("boolean"))
         .otherwise(False)
     )
-    return (
-        checked.join(counted, "claim_id", "left").join(filled, key, "left")
-        .withColumn("claim_valid", verdict)
-        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_facts", "n_found")})
-        .drop("verdict", "has_rows", "n_strings_missing")
-    )
+    return counted.select("claim_id", key, "n_facts", "n_found", "usable", verdict.alias("claim_valid"))
 
 
 def data_stability(log: DataFrame, registry: DataFrame, key: str = "query_id") -> DataFrame:
@@ -247,9 +295,9 @@ SUMMARIES = {
 def validate_claims(claims: DataFrame, index: DataFrame, registry: DataFrame, key: str = "result_id") -> DataFrame:
     """The combined verdict of each claim: PASS, FAIL or UNVERIFIABLE, with a summary."""
     verdicts = claim_verdicts(claims, index, key)
+    long = ~F.col("usable")
     stable = data_stability(claims.withColumnRenamed("claim_id", "query_id"), registry).select(
         F.col("query_id").alias("claim_id"), "stable")
-    long = F.length("claim") > LONGEST_CLAIM
     wrong = F.coalesce(~F.col("claim_valid"), F.lit(False))
     moved = F.coalesce(~F.col("stable"), F.lit(False))
     right = F.coalesce(F.col("claim_valid"), F.lit(False))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+def bounds_below(bounds: Column, value: Column, most: int) -> Column:
+    """How many of the sorted bounds are below the value, by halving steps."""
+    steps = [1 << k for k in reversed(range(most.bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int = 256) -> DataFrame:
     """(column, prob, quantile) with linear interpolation between neighbours.
 
@@ -27,7 +35,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], bucke
     counted = (
         cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         .join(bounds, "column")
-        .withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("value"))))
+        .withColumn("bucket", bounds_below(F.col("bounds"), F.col("value"), buckets))
         .drop("bounds")
     )
     by_column = W.partitionBy("column")

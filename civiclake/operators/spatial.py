@@ -18,7 +18,7 @@ from civiclake.operators.ranges import cell, grid_level, size_of
 BOX = ("minx", "miny", "maxx", "maxy")
 
 # Cell sizes in degrees that geometries are sorted into by their own extent.
-CELL_SIZES = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
+CELL_SIZES = tuple(0.01 * 4**k for k in range(9))
 
 
 def check_point(lon: float, lat: float) -> None:
@@ -58,6 +58,15 @@ def _near(df: DataFrame, box: Sequence[float], wkt: str) -> DataFrame:
     return rows
 
 
+def keep_within(df: DataFrame, degrees: Column, reach: float) -> DataFrame:
+    """Rows no farther than ``reach``, with ``_degrees``.
+
+    The distance is a generator of one value or none: it is worked out once per row,
+    where a filter on a column would work it out again for the result.
+    """
+    return df.withColumn("_degrees", F.explode(F.filter(F.array(degrees), lambda d: d <= reach)))
+
+
 def contains_point(df: DataFrame, lon: float, lat: float, limit: int | None = 100, wkt: str = "geometry_wkt") -> DataFrame:
     """Geometries whose interior holds the point, with their planar ``distance``."""
     check_point(lon, lat)
@@ -81,7 +90,7 @@ def within_radius(
     x, y = F.lit(float(lon)), F.lit(float(lat))
     near = _near(df, (lon - reach, lat - reach, lon + reach, lat + reach), wkt)
     away = g.distance(g.parse_wkt(F.col(wkt)), x, y)
-    found = near.withColumn("_degrees", away).where(F.col("_degrees") <= reach)
+    found = keep_within(near, away, reach)
     km_away = F.col("_degrees") * g.KM_PER_DEGREE
     if great_circle:
         km_away = haversine_km(F.get(g.vertices(g.parse_wkt(F.col(wkt))), F.lit(0)), x, y)
@@ -136,44 +145,49 @@ def spatial_join(
 ) -> DataFrame:
     """Each point with every geometry that contains it, or that lies within a distance.
 
-    Geometries go to the grid whose cells are about as wide as their (widened) box, so
-    each fills at most four cells; a point goes to one cell per grid. A pair meets in
-    exactly one cell, so nothing is de-duplicated, and the equi-join on the cell is one
-    that adaptive execution can split where points crowd.
+    Geometries go to the grid whose cells are at least half as wide as their (widened)
+    box, so each fills at most nine cells and a cell holds little that is far away; a
+    point goes to one cell of every grid in use. A pair meets in exactly one cell, so
+    nothing is de-duplicated, and the equi-join on the cell is one that adaptive
+    execution can split where points crowd.
     """
     reach = 0.0
     if within_km is not None:
         check_radius(within_km)
         reach = within_km / g.KM_PER_DEGREE
     sizes = list(CELL_SIZES)
-    boxed = shapes.where(F.col(wkt).isNotNull())
-    if not set(BOX) <= set(shapes.columns):
-        boxed = boxed.withColumn("_box", g.bounds(g.parse_wkt(F.col(wkt))))
-    else:
-        boxed = boxed.withColumn("_box", F.struct(*BOX))
-    boxed = boxed.where(F.col("_box.minx").isNotNull()).withColumn("_box", F.struct(
+    # Parsed once per geometry; the join carries the parsed form to the exact test.
+    boxed = shapes.where(F.col(wkt).isNotNull()).withColumn("_shape", g.parse_wkt(F.col(wkt)))
+    boxed = boxed.withColumn("_box", F.struct(*BOX) if set(BOX) <= set(shapes.columns) else g.bounds(F.col("_shape")))
+    # An empty geometry has no box; exploding its cells below drops it.
+    boxed = boxed.withColumn("_box", F.struct(
         (F.col("_box.minx") - reach).alias("minx"), (F.col("_box.miny") - reach).alias("miny"),
         (F.col("_box.maxx") + reach).alias("maxx"), (F.col("_box.maxy") + reach).alias("maxy")))
     extent = F.greatest(F.col("_box.maxx") - F.col("_box.minx"), F.col("_box.maxy") - F.col("_box.miny"))
     size = size_of(F.col("_level"), sizes)
-    placed = (
-        boxed.withColumn("_level", grid_level(extent, sizes))
-        .withColumn("_cx", F.explode(F.sequence(cell(F.col("_box.minx"), size), cell(F.col("_box.maxx"), size))))
-        .withColumn("_cy", F.explode(F.sequence(cell(F.col("_box.miny"), size), cell(F.col("_box.maxy"), size))))
-    )
+    levelled = boxed.withColumn("_level", grid_level(extent / 2, sizes))
+    across = F.sequence(cell(F.col("_box.minx"), size), cell(F.col("_box.maxx"), size))
+    down = F.sequence(cell(F.col("_box.miny"), size), cell(F.col("_box.maxy"), size))
+    cells = F.flatten(F.transform(across, lambda cx: F.transform(down, lambda cy: F.struct(
+        cx.alias("_cx"), cy.alias("_cy"), *[F.col(f"_box.{n}").alias(f"_{n}") for n in BOX]))))
+    # The outer generator keeps Spark from deriving row filters that would parse the text
+    # again. The shuffle lets adaptive execution see how large the cells really are
+    # before it decides whether to broadcast them.
+    placed = levelled.select(*shapes.columns, "_shape", "_level", F.inline_outer(cells)).repartition("_level", "_cx", "_cy")
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
+    # One row that lists the grids in use (at most nine numbers).
+    in_use = levelled.agg(F.collect_set("_level").alias("_levels"))
     spread = (
-        points.where(x.isNotNull() & y.isNotNull())
-        .withColumn("_slot", F.explode(F.array(*[
-            F.struct(F.lit(k).alias("level"), cell(x, s).alias("cx"), cell(y, s).alias("cy")) for k, s in enumerate(sizes)])))
-        .select(*points.columns, F.col("_slot.level").alias("_level"), F.col("_slot.cx").alias("_cx"), F.col("_slot.cy").alias("_cy"))
+        points.where(x.isNotNull() & y.isNotNull()).crossJoin(in_use)
+        .withColumn("_level", F.explode("_levels")).drop("_levels")
+        .withColumns({"_cx": cell(x, size), "_cy": cell(y, size)})
     )
     met = spread.join(placed, ["_level", "_cx", "_cy"]).where(
-        x.between(F.col("_box.minx"), F.col("_box.maxx")) & y.between(F.col("_box.miny"), F.col("_box.maxy")))
-    shape = g.parse_wkt(F.col(wkt))
+        x.between(F.col("_minx"), F.col("_maxx")) & y.between(F.col("_miny"), F.col("_maxy")))
+    shape = F.col("_shape")
     if within_km is None:
         met = met.where(g.contains_point(shape, x, y))
     else:
-        met = met.withColumn("_degrees", g.distance(shape, x, y)).where(F.col("_degrees") <= reach)
+        met = keep_within(met, g.distance(shape, x, y), reach)
         met = met.withColumn("distance_km", F.col("_degrees") * g.KM_PER_DEGREE).drop("_degrees")
-    return met.drop("_level", "_cx", "_cy", "_box")
+    return met.drop("_level", "_cx", "_cy", "_shape", *[f"_{n}" for n in BOX])
