@@ -73,7 +73,7 @@ def scan_kml(t):
         F.lit("<Placemark><name>shape "), "id", F.lit('</name><ExtendedData><Data name="west"><value>'), "x0",
         F.lit("</value></Data></ExtendedData>"), F.when(F.col("id") % 2 == 0, area).otherwise(dot), F.lit("</Placemark>")).alias("value"),
     ).write.text(path)
-    return read_kml(t.spark, path)
+    return read_kml(t.spark, path, lines=True)
 
 
 def datastore(t):

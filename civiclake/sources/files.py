@@ -164,13 +164,15 @@ def placemark_wkt() -> Column:
     )
 
 
-def read_kml(spark: SparkSession, path: str, fields: list[str] | None = None, bounds: bool = False) -> DataFrame:
+def read_kml(
+    spark: SparkSession, path: str, fields: list[str] | None = None, lines: bool = False, bounds: bool = False
+) -> DataFrame:
     """One row per placemark: Name, Description, the named extended fields and the geometry.
 
-    Without ``fields`` the names found in the data become columns. The XML reader splits
-    large files at the placemark tag.
+    Without ``fields`` the names found in the data become columns. A document is streamed
+    by one task; with ``lines`` (a placemark on each line) large files are split.
     """
-    raw = spark.read.format("xml").option("rowTag", "Placemark").option("multiLine", False).schema(PLACEMARK).load(path)
+    raw = spark.read.format("xml").option("rowTag", "Placemark").option("multiLine", not lines).schema(PLACEMARK).load(path)
     nothing = F.lit(None).cast("array<struct<_name:string,value:string>>")
     simple = F.transform("ExtendedData.SchemaData.SimpleData", lambda d: F.struct(d["_name"].alias("_name"), d["_VALUE"].alias("value")))
     pairs = F.map_from_entries(F.coalesce(F.col("ExtendedData.Data"), simple, nothing))
