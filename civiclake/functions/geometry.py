@@ -13,12 +13,6 @@ from pyspark.sql import functions as F
 
 KM_PER_DEGREE = 111.0
 
-MEMBER = (
-    r"(?i)(?:MULTI)?(?:POINT|LINESTRING|POLYGON)\s*(?:ZM|Z|M)?\s*"
-    r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-)
-
-
 def geometry_type(wkt: Column) -> Column:
     """``Point``, ``MultiPolygon`` and so on."""
     word = F.upper(F.regexp_extract(wkt, r"^\s*(?:SRID=\d+;)?\s*([A-Za-z]+)", 1))
@@ -40,8 +34,10 @@ def parse_wkt(wkt: Column) -> Column:
         name = F.upper(member)
         return F.when(name.contains("POLYGON"), "area").when(name.contains("LINESTRING"), "line").otherwise("point")
 
+    # A member of a collection starts with a word; coordinates never do.
+    inner = F.regexp_replace(wkt, r"(?i)GEOMETRYCOLLECTION\s*(?:ZM|Z|M)?\s*\(", "")
     members = (
-        F.when(F.upper(wkt).contains("COLLECTION"), F.regexp_extract_all(wkt, F.lit(MEMBER), F.lit(0)))
+        F.when(F.upper(wkt).contains("COLLECTION"), F.filter(F.split(inner, r",\s*(?=[A-Za-z])"), lambda m: m.contains("(")))
         .when(wkt.contains("("), F.array(wkt))
         .when(wkt.isNotNull(), F.array().cast("array<string>"))
     )

@@ -15,7 +15,7 @@ def bounds_below(bounds: Column, value: Column, most: int) -> Column:
         lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int = 1024) -> DataFrame:
     """(column, prob, quantile) with linear interpolation between neighbours.
 
     Values are counted first, so repeated values travel once. Estimated quantiles

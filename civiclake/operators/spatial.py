@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiclake.functions import geometry as g
-from civiclake.operators.ranges import cell, grid_level, size_of
+from civiclake.operators.ranges import cell, grid_level, join_by_size, size_of
 
 BOX = ("minx", "miny", "maxx", "maxy")
 
@@ -170,10 +170,8 @@ def spatial_join(
     down = F.sequence(cell(F.col("_box.miny"), size), cell(F.col("_box.maxy"), size))
     cells = F.flatten(F.transform(across, lambda cx: F.transform(down, lambda cy: F.struct(
         cx.alias("_cx"), cy.alias("_cy"), *[F.col(f"_box.{n}").alias(f"_{n}") for n in BOX]))))
-    # The outer generator keeps Spark from deriving row filters that would parse the text
-    # again. The shuffle lets adaptive execution see how large the cells really are
-    # before it decides whether to broadcast them.
-    placed = levelled.select(*shapes.columns, "_shape", "_level", F.inline_outer(cells)).repartition("_level", "_cx", "_cy")
+    # The outer generator keeps Spark from deriving row filters that would parse the text again.
+    placed = join_by_size(levelled.select(*shapes.columns, "_shape", "_level", F.inline_outer(cells)), shapes)
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
     # One row that lists the grids in use (at most nine numbers).
     in_use = levelled.agg(F.collect_set("_level").alias("_levels"))

@@ -15,6 +15,7 @@ CONCAVE = "POLYGON ((0 0, 10 0, 10 10, 5 2, 0 10, 0 0))"
 TWO = "MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((5 5, 9 5, 9 9, 5 9, 5 5), (6 6, 7 6, 7 7, 6 7, 6 6)))"
 LINE = "LINESTRING (0 0, 4 4, 8 0)"
 LOOP = "LINESTRING (0 0, 4 0, 4 4, 0 0)"
+NESTED = "GEOMETRYCOLLECTION (GEOMETRYCOLLECTION (POINT (1 1), POINT EMPTY), MULTIPOINT ((2 2), (3 3)))"
 MIXED = "GEOMETRYCOLLECTION (POINT (50 50), LINESTRING (20 0, 30 0), POLYGON ((0 0, 3 0, 3 3, 0 3, 0 0)))"
 
 
@@ -28,7 +29,7 @@ def value(spark, wkt, make):
     (TWO, 1, 1, True), (TWO, 3, 3, False), (TWO, 8, 8, True), (TWO, 6.5, 6.5, False), (TWO, 6, 6.5, False),
     (LINE, 2, 2, True), (LINE, 0, 0, False), (LINE, 4, 4, True), (LINE, 4, 0, False), (LOOP, 0, 0, True),
     ("POINT (3 4)", 3, 4, True), ("POINT Z (3 4 9)", 3, 4, True), ("POINT (3 4)", 3, 5, False), ("MULTIPOINT ((1 1), (2 2))", 2, 2, True), ("MULTIPOINT (1 1, 2 2)", 2, 2, True),
-    (MIXED, 50, 50, True), (MIXED, 25, 0, True), (MIXED, 1, 1, True), (MIXED, 40, 40, False), ("POLYGON EMPTY", 0, 0, False),
+    (MIXED, 50, 50, True), (MIXED, 25, 0, True), (MIXED, 1, 1, True), (MIXED, 40, 40, False), (NESTED, 1, 1, True), (NESTED, 3, 3, True), (NESTED, 2, 1, False), ("POLYGON EMPTY", 0, 0, False),
     ("polygon((-1e1 -.5,10 -.5,10 +5.,-10 5,-10 -.5))", 0, 0, True),
 ])
 def test_contains(spark, wkt, x, y, inside):
@@ -101,6 +102,18 @@ def test_spatial_join_against_all_pairs(spark):
     assert got == want
 
 
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    from civiclake.operators import ranges
+
+    points = spark.range(50).selectExpr("id point", "id * 1.0 lon", "0.5 lat")
+    shapes = spark.range(50).selectExpr("id poly", "concat('POLYGON ((', id, ' 0, ', id + 2, ' 0, ', id + 2, ' 2, ', id, ' 2, ', id, ' 0))') geometry_wkt")
+    small = sorted(map(tuple, sp.spatial_join(points, shapes).select("point", "poly").collect()))
+    monkeypatch.setattr(ranges, "BROADCAST_SOURCE_BYTES", 0)
+    large = sp.spatial_join(points, shapes).select("point", "poly")
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, large.collect())) == small == sorted((p, p - 1) for p in range(1, 50))
+
+
 def test_range_join_against_all_pairs(spark):
     rnd = random.Random(9)
     ranges = [(i, lo, lo + 10 ** rnd.uniform(-2, 5)) for i, lo in enumerate(rnd.uniform(-1000, 1000) for _ in range(150))] + [(900, 5.0, 4.0), (901, 3.0, 3.0)]
