@@ -131,7 +131,7 @@ def search_datasets(
     hits = found.withColumn("place", place).where(F.col("place") <= k)
     totals = found.groupBy("portal").agg(F.count(F.lit(1)).alias("total_count"))
     shown = hits.join(totals, "portal").withColumn("returned", F.least(F.col("total_count"), F.lit(k).cast("long")))
-    return summary_columns(shown, resources, ["score", "place", "total_count", "returned"])
+    return summary_columns(shown, resources, ["score", "place", "total_count", "returned"]).orderBy("portal", "place")
 
 
 def catalog_page(datasets: DataFrame, start: int = 0, rows: int = 10, sort: str | None = None) -> DataFrame:
@@ -197,9 +197,9 @@ def list_topics(
         tags = tags.where(F.lower("name").contains(query.lower()))
     counted = tags.groupBy("portal", "name").agg(F.count(F.lit(1)).alias("n"))
     whole = counted.agg(F.count(F.lit(1)).alias("total"))
-    top = counted.orderBy(F.desc("n"), portal_rank(F.col("portal"), portals), "name").limit(limit)
+    order = [F.desc("n"), portal_rank(F.col("portal"), portals), "name"]
     # One row on the right: it adds the total, it makes no pairs.
-    return top.crossJoin(whole)
+    return counted.orderBy(*order).limit(limit).crossJoin(whole).orderBy(*order)
 
 
 def portal_stats(datasets: DataFrame, portals_df: DataFrame, top: int = 5) -> DataFrame:

@@ -15,7 +15,7 @@ def bounds_below(bounds: Column, value: Column, most: int) -> Column:
         lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int = 512) -> DataFrame:
     """(column, prob, quantile) with linear interpolation between neighbours.
 
     Values are counted first, so repeated values travel once. Estimated quantiles
@@ -27,7 +27,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], bucke
     ]))).where(F.col("value").isNotNull())
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = df.agg(*[
-        F.percentile_approx(F.col(f"`{c}`").cast("double"), cuts, buckets * 20).alias(f"c{i}")
+        F.percentile_approx(F.col(f"`{c}`").cast("double"), cuts, buckets * 4).alias(f"c{i}")
         for i, c in enumerate(columns)
     ]).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.array_distinct(F.col(f"c{i}")).alias("bounds")) for i, c in enumerate(columns)

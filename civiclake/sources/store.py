@@ -90,7 +90,7 @@ class Store:
         """A temp view per landed table, so that free SQL can name it."""
         rows = self._current().select("table_name", "path").collect()
         for row in rows:
-            self.spark.read.parquet(row["path"]).createOrReplaceTempView(row["table_name"])
+            self.spark.read.parquet(row["path"]).createOrReplaceTempView("`" + row["table_name"].replace("`", "``") + "`")
         return [row["table_name"] for row in rows]
 
     def remove(self, resource_id: str) -> bool:

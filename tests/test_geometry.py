@@ -19,11 +19,7 @@ NESTED = "GEOMETRYCOLLECTION (GEOMETRYCOLLECTION (POINT (1 1), POINT EMPTY), MUL
 MIXED = "GEOMETRYCOLLECTION (POINT (50 50), LINESTRING (20 0, 30 0), POLYGON ((0 0, 3 0, 3 3, 0 3, 0 0)))"
 
 
-def value(spark, wkt, make):
-    return spark.createDataFrame([(wkt,)], "w string").select(make(g.parse_wkt(F.col("w")))).first()[0]
-
-
-@pytest.mark.parametrize("wkt,x,y,inside", [
+INSIDE = [
     (HOLE, 1, 1, True), (HOLE, 5, 5, False), (HOLE, 4, 5, False), (HOLE, 0, 5, False), (HOLE, 0, 0, False), (HOLE, 11, 5, False), (HOLE, 2, 4, True),
     (CONCAVE, 5, 1, True), (CONCAVE, 5, 5, False), (CONCAVE, 1, 5, True), (CONCAVE, 5, 2, False),
     (TWO, 1, 1, True), (TWO, 3, 3, False), (TWO, 8, 8, True), (TWO, 6.5, 6.5, False), (TWO, 6, 6.5, False),
@@ -31,27 +27,43 @@ def value(spark, wkt, make):
     ("POINT (3 4)", 3, 4, True), ("POINT Z (3 4 9)", 3, 4, True), ("POINT (3 4)", 3, 5, False), ("MULTIPOINT ((1 1), (2 2))", 2, 2, True), ("MULTIPOINT (1 1, 2 2)", 2, 2, True),
     (MIXED, 50, 50, True), (MIXED, 25, 0, True), (MIXED, 1, 1, True), (MIXED, 40, 40, False), (NESTED, 1, 1, True), (NESTED, 3, 3, True), (NESTED, 2, 1, False), ("POLYGON EMPTY", 0, 0, False),
     ("polygon((-1e1 -.5,10 -.5,10 +5.,-10 5,-10 -.5))", 0, 0, True),
-])
-def test_contains(spark, wkt, x, y, inside):
-    assert value(spark, wkt, lambda s: g.contains_point(s, F.lit(float(x)), F.lit(float(y)))) is inside
+]
+
+
+def at_points(spark, cases, make):
+    rows = [(i, w, float(x), float(y)) for i, (w, x, y, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, w string, x double, y double")
+    out = df.select("i", make(g.parse_wkt(F.col("w")), F.col("x"), F.col("y")).alias("v")).collect()
+    return [r["v"] for r in sorted(out)]
+
 
+def test_contains(spark):
+    assert at_points(spark, INSIDE, g.contains_point) == [c[3] for c in INSIDE]
 
-@pytest.mark.parametrize("wkt,x,y,far", [
+
+FAR = [
     (HOLE, 1, 1, 0.0), (HOLE, 5, 5, 1.0), (HOLE, 13, 14, 5.0), (HOLE, 10, 3, 0.0), (LINE, 4, 6, 2.0), (LINE, 2, 0, math.sqrt(2)),
     ("POINT (0 0)", 3, 4, 5.0), ("MULTIPOINT ((0 0), (3 3))", 3, 4, 1.0), (TWO, 3, 1, 1.0), (MIXED, 50, 51, 1.0), ("POINT EMPTY", 0, 0, None),
-])
-def test_distance(spark, wkt, x, y, far):
-    got = value(spark, wkt, lambda s: g.distance(s, F.lit(float(x)), F.lit(float(y))))
-    assert got == (None if far is None else pytest.approx(far, abs=1e-12))
+]
+
+
+def test_distance(spark):
+    for got, (_, _, _, far) in zip(at_points(spark, FAR, g.distance), FAR):
+        assert got == (None if far is None else pytest.approx(far, abs=1e-12))
 
 
-@pytest.mark.parametrize("wkt,box,meets", [
+MEETS = [
     (HOLE, (1, 1, 2, 2), True), (HOLE, (4.5, 4.5, 5.5, 5.5), False), (HOLE, (-5, -5, 20, 20), True), (HOLE, (10, 10, 12, 12), True), (HOLE, (10.1, 0, 12, 12), False),
     (LINE, (1, 0, 2, 0.5), False), (LINE, (1, 0, 2, 1), True), (LINE, (3, 0, 5, 9), True), ("POINT (1 1)", (1, 1, 2, 2), True), ("POINT (1 1)", (1.1, 1, 2, 2), False),
     (CONCAVE, (4, 6, 6, 9), False), (CONCAVE, (4, 0.5, 6, 1), True),
-])
-def test_box(spark, wkt, box, meets):
-    assert value(spark, wkt, lambda s: g.intersects_box(s, tuple(F.lit(float(v)) for v in box))) is meets
+]
+
+
+def test_box(spark):
+    rows = [(i, w, *map(float, box)) for i, (w, box, _) in enumerate(MEETS)]
+    df = spark.createDataFrame(rows, "i int, w string, a double, b double, c double, d double")
+    out = df.select("i", g.intersects_box(g.parse_wkt(F.col("w")), tuple(F.col(n) for n in "abcd")).alias("v")).collect()
+    assert [r["v"] for r in sorted(out)] == [m for _, _, m in MEETS]
 
 
 def test_types_and_bounds(spark):
