@@ -166,6 +166,13 @@ def search_resources(
 
 # --- organizations, topics, portals ----------------------------------------------------
 
+def organization_counts(datasets: DataFrame) -> DataFrame:
+    """Datasets per portal and organization. Counting by title as well keeps the pass over
+    the datasets a hash aggregation; the few groups are then put together."""
+    by_title = datasets.groupBy("portal", "org_name", "org_title").agg(F.count(F.lit(1)).alias("n"))
+    return by_title.groupBy("portal", "org_name").agg(F.max("org_title").alias("org_title"), F.sum("n").alias("n"))
+
+
 def list_organizations(
     datasets: DataFrame, organizations: DataFrame | None = None, portals: Sequence[Portal] = PORTALS
 ) -> DataFrame:
@@ -174,8 +181,7 @@ def list_organizations(
     ``organizations`` (portal, name, title, description) adds descriptions and the
     organizations that have no dataset.
     """
-    counted = datasets.where(F.col("org_name").isNotNull()).groupBy("portal", F.col("org_name").alias("name")).agg(
-        F.max("org_title").alias("org_title"), F.count(F.lit(1)).alias("n"))
+    counted = organization_counts(datasets).where(F.col("org_name").isNotNull()).withColumnRenamed("org_name", "name")
     if organizations is None:
         listed = counted.withColumns({"title": F.col("org_title"), "description": F.lit("")})
     else:
@@ -196,16 +202,14 @@ def list_topics(
     if query:
         tags = tags.where(F.lower("name").contains(query.lower()))
     counted = tags.groupBy("portal", "name").agg(F.count(F.lit(1)).alias("n"))
-    whole = counted.agg(F.count(F.lit(1)).alias("total"))
+    whole = counted.agg(F.count(F.lit(1))).scalar()
     order = [F.desc("n"), portal_rank(F.col("portal"), portals), "name"]
-    # One row on the right: it adds the total, it makes no pairs.
-    return counted.orderBy(*order).limit(limit).crossJoin(whole).orderBy(*order)
+    return counted.orderBy(*order).limit(limit).withColumn("total", whole)
 
 
 def portal_stats(datasets: DataFrame, portals_df: DataFrame, top: int = 5) -> DataFrame:
     """Per portal: dataset count and its largest organizations, one row each."""
-    per_org = datasets.groupBy("portal", "org_name").agg(
-        F.max("org_title").alias("organization"), F.count(F.lit(1)).alias("datasets"))
+    per_org = organization_counts(datasets).withColumnsRenamed({"org_title": "organization", "n": "datasets"})
     totals = per_org.groupBy("portal").agg(F.sum("datasets").alias("total_datasets"))
     place = F.row_number().over(W.partitionBy("portal").orderBy(F.desc("datasets"), "org_name"))
     best = per_org.where(F.col("org_name").isNotNull()).withColumn("place", place).where(F.col("place") <= top)
@@ -243,14 +247,13 @@ def compare_datasets(datasets: DataFrame, resources: DataFrame, ids: Sequence[st
     chosen = pick(datasets, list(ids)[:5], portals)
     files = resource_summary(resources.join(
         chosen.select("portal", F.col("id").alias("package_id")), ["portal", "package_id"], "left_semi"))
-    n = chosen.agg(F.count(F.lit(1)).alias("n_all"))
-    # At most five rows on either side of these one-row joins.
+    n = chosen.agg(F.count(F.lit(1))).scalar()
     shared = (
         chosen.select("portal", "id", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag")
-        .agg(F.count(F.lit(1)).alias("n")).crossJoin(n).where(F.col("n") == F.col("n_all"))
-        .agg(F.array_sort(F.collect_list("tag")).alias("shared_tags"))
-    )
-    return chosen.join(files, ["portal", "id"], "left").crossJoin(shared).select(
+        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n)
+        .agg(F.array_sort(F.collect_list("tag")))
+    ).scalar()
+    return chosen.join(files, ["portal", "id"], "left").withColumn("shared_tags", shared).select(
         prefixed(F.col("portal"), F.col("id")).alias("id"), "title", F.col("org_title").alias("organization"),
         F.coalesce("num_resources", F.lit(0)).alias("num_resources"), "formats", "update_frequency",
         F.col("metadata_modified").alias("last_modified"), "tags", F.col("license_title").alias("license"),

@@ -173,11 +173,11 @@ def spatial_join(
     # The outer generator keeps Spark from deriving row filters that would parse the text again.
     placed = join_by_size(levelled.select(*shapes.columns, "_shape", "_level", F.inline_outer(cells)), shapes)
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    # One row that lists the grids in use (at most nine numbers).
-    in_use = levelled.agg(F.collect_set("_level").alias("_levels"))
+    # A scalar subquery that lists the grids in use (at most nine numbers).
+    in_use = levelled.agg(F.collect_set("_level")).scalar()
     spread = (
-        points.where(x.isNotNull() & y.isNotNull()).crossJoin(in_use)
-        .withColumn("_level", F.explode("_levels")).drop("_levels")
+        points.where(x.isNotNull() & y.isNotNull())
+        .withColumn("_level", F.explode(in_use))
         .withColumns({"_cx": cell(x, size), "_cy": cell(y, size)})
     )
     met = spread.join(placed, ["_level", "_cx", "_cy"]).where(

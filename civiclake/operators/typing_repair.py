@@ -38,19 +38,15 @@ def sample_values(df: DataFrame, columns: list[str], sample: int | None) -> Data
     if sample is None:
         return cells.distinct()
     sizes = df.agg(*[F.approx_count_distinct(_quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    limits = sizes.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            F.ceil(F.lit(SPACE) * F.least(F.lit(1.0), F.lit(4.0 * sample) / F.greatest(F.col(f"c{i}"), F.lit(1))))
-            .cast("long").alias("below"),
-        )
-        for i, c in enumerate(columns)
-    ])))
+    def below(i: int):
+        share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.greatest(F.col(f"c{i}"), F.lit(1)))
+        return F.ceil(F.lit(SPACE) * share).cast("long")
+
+    limits = sizes.select(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), below(i))])).scalar()
     place = W.partitionBy("column").orderBy("hash", "value")
     return (
         cells.withColumn("hash", F.pmod(F.xxhash64("value"), F.lit(SPACE)))
-        .join(limits, "column")
-        .where(F.col("hash") < F.col("below"))
+        .where(F.col("hash") < F.element_at(limits, F.col("column")))
         .select("column", "value", "hash").distinct()
         .withColumn("place", F.row_number().over(place))
         .where(F.col("place") <= sample)

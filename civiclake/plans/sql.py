@@ -111,12 +111,10 @@ SELECT l_returnflag, l_linestatus, CAST(SUM(l_quantity) AS BIGINT) AS quantity,
 FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def share_of_total(t):
     grouped = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("q"))
-    # One total row, from the groups (their shuffle is reused, so lineitem is read once);
-    # the cross join adds a column, never a pair.
-    whole = grouped.agg(F.sum("q").alias("all_q"))
-    return grouped.crossJoin(whole).select(
+    whole = grouped.agg(F.sum("q")).scalar()
+    return grouped.select(
         "l_returnflag", "l_linestatus", F.col("q").cast("long").alias("quantity"),
-        (F.lit(100.0) * F.col("q") / F.col("all_q")).alias("share_pct"),
+        (F.lit(100.0) * F.col("q") / whole).alias("share_pct"),
     )
 
 
