@@ -86,9 +86,12 @@ class Store:
             raise KeyError(f"Resource {resource_id} is not landed; land it first.")
         return self.spark.read.parquet(row["path"])
 
-    def register_views(self) -> list[str]:
-        """A temp view per landed table, so that free SQL can name it."""
-        rows = self._current().select("table_name", "path").collect()
+    def register_views(self, sql: str | None = None) -> list[str]:
+        """A temp view per landed table (that the statement mentions), so that SQL can name it."""
+        current = self._current()
+        if sql is not None:
+            current = current.where(F.contains(F.lit(sql), F.col("table_name")))
+        rows = current.select("table_name", "path").collect()
         for row in rows:
             self.spark.read.parquet(row["path"]).createOrReplaceTempView("`" + row["table_name"].replace("`", "``") + "`")
         return [row["table_name"] for row in rows]
@@ -131,7 +134,7 @@ class Store:
         else:
             chosen = refresh_plan(registry, now)
         results = []
-        for row in chosen.collect():
+        for row in chosen.toLocalIterator():
             try:
                 self.land(load(row), row["resource_id"], row["dataset_id"], row["table_name"], row["source_url"], now=now)
                 results.append((row["resource_id"], row["table_name"], "refreshed", self._row(row["resource_id"])["row_count"], None))

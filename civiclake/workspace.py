@@ -135,10 +135,11 @@ class Workspace:
     def sql(self, sql: str, cap: int | None = RESULT_CAP) -> DataFrame:
         """Free SQL over the landed tables, by their table names."""
         check_sql(sql)
-        tables = self.store.register_views()
+        self.store.register_views(sql)
         try:
             return run_sql(self.spark, sql, cap)
         except Exception as exc:
+            tables = [r["table_name"] for r in self.store.registry().select("table_name").collect()]
             raise InvalidQuery(f"{exc}\n\nLanded tables: {tables}\nQuote table names with double quotes.") from exc
 
     def review(self, sql: str, now: Any = None) -> dict[str, DataFrame]:

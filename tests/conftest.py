@@ -12,7 +12,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "America/Toronto")  # results must not depend on it
+        .config("spark.sql.session.timeZone", "America/New_York")  # results must not depend on it
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

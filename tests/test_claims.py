@@ -70,7 +70,7 @@ def test_tolerance_against_all_pairs(spark):
 
 
 RESULTS = {
-    "permits": [("city", "Toronto", None), ("permits", None, 12345.0)],
+    "permits": [("city", "Springfield", None), ("permits", None, 12345.0)],
     "rate": [("category", "residential", None), ("rate", None, 0.452)],
     "pct": [("category", "A", None), ("pct", None, 45.2)],
     "growth": [("year", None, 2022.0), ("year", None, 2023.0), ("count", None, 100.0), ("count", None, 120.0)],
