@@ -87,7 +87,7 @@ def _points(doc, keys, weight, limit, slots, out) -> None:
         at = np.flatnonzero(weight > start)
         if not len(at):
             break
-        parts.append((doc[at], mix(keys[at] + U64(k + 1) * GOLDEN), np.full(len(at), float(start)), np.full(len(at), float(max(1, start))), weight[at]))
+        parts.append((doc[at], mix(keys[at] + U64((k + 1) * int(GOLDEN) % (1 << 64))), np.full(len(at), float(start)), np.full(len(at), float(max(1, start))), weight[at]))
         k += 1
     doc, seed, start, size, weight = map(np.concatenate, zip(*parts))
     time, drawn, step = np.zeros(len(doc)), 0, 1

@@ -31,7 +31,7 @@ from civiclake.llm.suite import LLM
 
 MARK = "▁"
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-TABLE_WORDS = 600_000
+TABLE_WORDS = 400_000
 MODEL = "piece_bpe_32k.model"
 
 

@@ -36,7 +36,7 @@ WHOLE_CHARS = 50_000
 PIECE_CHARS = 30_000
 OVERLAP = 256
 MARGIN = 64
-TABLE_UNITS = 800_000
+TABLE_UNITS = 500_000
 UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 
