@@ -7,6 +7,7 @@ are never gathered under their dataset, so a dataset may own any number of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,7 +19,6 @@ from civiclake.functions.names import bare_id, id_portal
 from civiclake.operators.ordering import sort_columns
 from civiclake.portals import PORTALS, Portal, keys
 
-PORTAL_ROWS = 50  # the most rows one portal returns for a search
 
 # Formats that count as geographic, and those listed with them.
 GEO_FORMATS = ("SHP", "KML", "GEOJSON")
@@ -124,9 +124,10 @@ def search_datasets(
     The default order is score, then last change. Ranking keeps at most ``limit`` rows
     per portal in every task before the shuffle; files are summed for the hits only.
     """
-    k = min(limit, PORTAL_ROWS)
+    k = limit
     found = matching(datasets, resources, query, **filters)
-    order = sort_columns(sort) or [F.col("score").desc(), F.desc_nulls_last("metadata_modified")]
+    # "relevance" in a sort text means the score.
+    order = sort_columns(re.sub(r"\brelevance\b", "score", sort or "")) or [F.col("score").desc(), F.desc_nulls_last("metadata_modified")]
     place = F.row_number().over(W.partitionBy("portal").orderBy(*order, "id"))
     hits = found.withColumn("place", place).where(F.col("place") <= k)
     totals = found.groupBy("portal").agg(F.count(F.lit(1)).alias("total_count"))
@@ -136,7 +137,8 @@ def search_datasets(
 
 def catalog_page(datasets: DataFrame, start: int = 0, rows: int = 10, sort: str | None = None) -> DataFrame:
     """One page of the catalogue; the order ends in a unique key."""
-    order = sort_columns(sort) or [F.desc_nulls_last("metadata_modified")]
+    # "relevance" in a sort text means the score.
+    order = sort_columns(re.sub(r"\brelevance\b", "score", sort or "")) or [F.desc_nulls_last("metadata_modified")]
     return datasets.orderBy(*order, "portal", "id").offset(start).limit(rows)
 
 
@@ -243,8 +245,8 @@ def list_resources(resources: DataFrame) -> DataFrame:
 
 
 def compare_datasets(datasets: DataFrame, resources: DataFrame, ids: Sequence[str], portals: Sequence[Portal] = PORTALS) -> DataFrame:
-    """Up to five datasets side by side, each with the tags that all of them share."""
-    chosen = pick(datasets, list(ids)[:5], portals)
+    """The named datasets side by side, each with the tags that all of them share."""
+    chosen = pick(datasets, list(ids), portals)
     files = resource_summary(resources.join(
         chosen.select("portal", F.col("id").alias("package_id")), ["portal", "package_id"], "left_semi"))
     n = chosen.agg(F.count(F.lit(1))).scalar()
@@ -264,6 +266,9 @@ def compare_datasets(datasets: DataFrame, resources: DataFrame, ids: Sequence[st
 def pick(datasets: DataFrame, ids: Sequence[str], portals: Sequence[Portal] = PORTALS) -> DataFrame:
     """The datasets named by prefixed or bare ids; a bare id means its first portal."""
     requested = datasets.sparkSession.createDataFrame([(i,) for i in ids], "request string").distinct()
+    # The ids are known, so the scan drops all other rows before anything is grouped.
+    known = f"^({'|'.join(re.escape(k) for k in sorted(keys(portals), key=len, reverse=True))}):"
+    datasets = datasets.where(F.col("id").isin(sorted({x for i in ids for x in (i, re.sub(known, "", i))})))
     found = resolve_ids(requested, datasets, portals).where("found").select("portal", F.col("bare_id").alias("id")).distinct()
     return datasets.join(found, ["portal", "id"], "left_semi")
 
@@ -302,7 +307,7 @@ def resolve_ids(requests: DataFrame, datasets: DataFrame, portals: Sequence[Port
 def related_datasets(datasets: DataFrame, sources: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """For each source dataset the ``limit`` most related ones of the same portal.
 
-    First those that carry one of the source's first five tags, newest first, then
+    First those that carry one of the source's tags, newest first, then
     others of its organization. ``sources`` (portal, id) defaults to all datasets.
 
     Newest-first makes this exact without pairing datasets: only the newest
@@ -319,7 +324,7 @@ def related_datasets(datasets: DataFrame, sources: DataFrame | None = None, limi
 
     members = datasets.select("portal", "id", "metadata_modified", F.explode(F.array_distinct("tags")).alias("tag"))
     by_tag = (
-        source.select("portal", "source_id", F.explode(F.array_distinct(F.slice("source_tags", 1, 5))).alias("tag"))
+        source.select("portal", "source_id", F.explode(F.array_distinct("source_tags")).alias("tag"))
         .join(newest(members, "tag", limit + 1), ["portal", "tag"])
         .where(F.col("id") != F.col("source_id"))
         .select("portal", "source_id", "id", "metadata_modified", F.lit(0).alias("step")).distinct()
@@ -355,7 +360,7 @@ def list_geo_datasets(
 ) -> DataFrame:
     """The geographic files of datasets that have a geographic format.
 
-    Up to ``min(limit, 50)`` datasets per format and portal, newest first; each is
+    Up to ``limit`` datasets per format and portal, newest first; each is
     listed once, and the list as a whole is cut to ``limit`` datasets.
     """
     formats = [format_filter.upper()] if format_filter else list(GEO_FORMATS)
@@ -367,7 +372,7 @@ def list_geo_datasets(
     listed = (
         source.join(carrying, ["portal", "id"])
         .select("portal", "id", "metadata_modified", "geo_format")
-        .withColumn("place", F.row_number().over(by_format)).where(F.col("place") <= min(limit, PORTAL_ROWS))
+        .withColumn("place", F.row_number().over(by_format)).where(F.col("place") <= limit)
         .groupBy("portal", "id").agg(F.min(F.struct(format_rank, "place")).alias("at"))
         .orderBy(portal_rank(F.col("portal"), portals), "at", "id").limit(limit)
     )

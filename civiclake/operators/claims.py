@@ -111,6 +111,12 @@ def value_index(results: DataFrame, key: str = "result_id") -> DataFrame:
     return results.select(key, F.inline(F.array(*cells))).where(F.col("str").isNotNull()).distinct()
 
 
+def row_markers(results: DataFrame, key: str = "result_id") -> DataFrame:
+    """One index entry per result with any row, so that rows of NULLs alone still count as rows."""
+    nothing = F.lit(None).cast("double")
+    return results.select(key).distinct().select(key, F.lit("").alias("column"), nothing.alias("num"), F.lit("").alias("str"))
+
+
 # --- matching -----------------------------------------------------------------------
 
 def close(a: Column, b: Column) -> Column:
@@ -282,18 +288,8 @@ def data_stability(log: DataFrame, registry: DataFrame, key: str = "query_id") -
         key, (F.col("unknown_tables") + F.col("refreshed_tables") == 0).alias("stable"), "unknown_tables", "refreshed_tables")
 
 
-SUMMARIES = {
-    "too_long": "The claim is too long to check.",
-    "both": "The claim disagrees with the result, and the data under it may have changed.",
-    "claim": "The claim disagrees with the query result.",
-    "data": "The data changed while it was checked; the result may be outdated.",
-    "good": "Every extracted fact is in the query result. Check for yourself before serious use.",
-    "open": "The claim could not be fully checked against the data.",
-}
-
-
 def validate_claims(claims: DataFrame, index: DataFrame, registry: DataFrame, key: str = "result_id") -> DataFrame:
-    """The combined verdict of each claim: PASS, FAIL or UNVERIFIABLE, with a summary."""
+    """The combined verdict of each claim: PASS, FAIL or UNVERIFIABLE, with a reason code and counts."""
     verdicts = claim_verdicts(claims, index, key)
     long = ~F.col("usable")
     stable = data_stability(claims.withColumnRenamed("claim_id", "query_id"), registry).select(
@@ -302,10 +298,13 @@ def validate_claims(claims: DataFrame, index: DataFrame, registry: DataFrame, ke
     moved = F.coalesce(~F.col("stable"), F.lit(False))
     right = F.coalesce(F.col("claim_valid"), F.lit(False))
     valid = F.when(long, F.lit(None).cast("boolean")).when(wrong | moved, False).when(right, True)
-    text = (
-        F.when(long, SUMMARIES["too_long"]).when(wrong & moved, SUMMARIES["both"]).when(wrong, SUMMARIES["claim"])
-        .when(moved, SUMMARIES["data"]).when(right, SUMMARIES["good"]).otherwise(SUMMARIES["open"])
+    reason = (
+        F.when(long, "length").when(wrong & moved, "facts_and_tables").when(wrong, "facts").when(moved, "tables")
+        .when(right, "confirmed").otherwise("undecided")
     )
+    text = F.concat(
+        reason, F.lit(": facts found "), F.coalesce(F.col("n_found"), F.lit(0)), F.lit(" of "), F.coalesce(F.col("n_facts"), F.lit(0)),
+        F.lit(", tables unchanged "), F.coalesce(F.col("stable").cast("string"), F.lit("unknown")))
     return (
         verdicts.join(stable, "claim_id", "left")
         .withColumns({"valid": valid, "summary": text})

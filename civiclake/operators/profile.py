@@ -30,7 +30,7 @@ def _stats(field: T.StructField):
         (F.stddev_samp(col.cast("double")) if numeric else number).alias("std"),
         *[(quart[i].cast("string") if ordered else text).alias(q) for i, q in enumerate(("q25", "q50", "q75"))],
         F.count(F.lit(1)).alias("count"),
-        F.round(F.count_if(col.isNull()) * 100 / F.count(F.lit(1)), 2).alias("null_percentage"),
+        F.round(F.try_divide(F.count_if(col.isNull()) * 100, F.count(F.lit(1))), 2).alias("null_percentage"),
     )
 
 

@@ -12,9 +12,6 @@ from civiclake.functions import statements as st
 from civiclake.functions.numbers import ntz
 from civiclake.operators.ordering import sort_columns
 
-PAGE_ROWS = 1000
-PREVIEW_ROWS = 100
-
 
 def _quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
@@ -43,10 +40,10 @@ def query_table(
     filters: Mapping[str, Any] | None = None,
     fields: Sequence[str] | None = None,
     sort: str | None = None,
-    limit: int = 100,
+    limit: int | None = 100,
     offset: int = 0,
 ) -> DataFrame:
-    """A page of at most 1,000 matching rows, in the asked order."""
+    """A page of matching rows, as many as asked (None: all), in the asked order."""
     rows = matching_rows(drop_internal(df), filters)
     if sort:
         rows = rows.orderBy(*sort_columns(sort))
@@ -54,7 +51,7 @@ def query_table(
         rows = rows.select(*[_quoted(c) for c in fields])
     if offset:
         rows = rows.offset(offset)
-    return rows.limit(min(limit, PAGE_ROWS))
+    return rows if limit is None else rows.limit(limit)
 
 
 def query_total(df: DataFrame, filters: Mapping[str, Any] | None = None) -> DataFrame:
@@ -63,11 +60,11 @@ def query_total(df: DataFrame, filters: Mapping[str, Any] | None = None) -> Data
 
 
 def preview(df: DataFrame, rows: int = 10, sort: str | None = None) -> DataFrame:
-    """The first rows, at most 100; with ``sort`` the same ones on every run."""
+    """The first rows, as many as asked; with ``sort`` the same ones on every run."""
     out = drop_internal(df)
     if sort:
         out = out.orderBy(*sort_columns(sort))
-    return out.limit(min(rows, PREVIEW_ROWS))
+    return out.limit(rows)
 
 
 def describe_columns(df: DataFrame, samples: int = 5, sort: str | None = None) -> DataFrame:

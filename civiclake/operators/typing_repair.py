@@ -54,8 +54,11 @@ def sample_values(df: DataFrame, columns: list[str], sample: int | None) -> Data
     )
 
 
-def detect_numeric_strings(df: DataFrame, threshold: float = 0.8, sample: int | None = 100) -> DataFrame:
-    """One row per text column: how many of its (sampled) values look numeric."""
+def detect_numeric_strings(df: DataFrame, threshold: float = 0.8, sample: int | None = None) -> DataFrame:
+    """One row per text column: how many of its distinct values look numeric.
+
+    All values decide; ``sample`` limits them to that many per column where asked.
+    """
     columns = text_columns(df)
     schema = "column string, n_values long, n_plain long, n_comma long, is_numeric boolean, has_commas boolean"
     if not columns:
@@ -79,22 +82,21 @@ def detect_numeric_strings(df: DataFrame, threshold: float = 0.8, sample: int |
     )
 
 
-def repair_numeric(df: DataFrame, threshold: float = 0.8, sample: int | None = 100) -> DataFrame:
+def repair_numeric(df: DataFrame, threshold: float = 0.8, sample: int | None = None) -> DataFrame:
     """Re-type the text columns found numeric to DOUBLE; other values there become NULL.
 
     The verdicts (one row per text column) come to the driver, because they decide
     the schema; the data itself is then read once, by one projection.
     """
-    verdicts = {
-        r["column"]: r["has_commas"]
-        for r in detect_numeric_strings(df, threshold, sample).where("is_numeric").collect()
-    }
+    numeric = {r["column"] for r in detect_numeric_strings(df, threshold, sample).where("is_numeric").collect()}
 
     def repaired(name: str):
-        text = F.regexp_replace(_quoted(name), ",", "") if verdicts[name] else _quoted(name)
-        return to_double(text).alias(name)
+        text = _quoted(name)
+        # Each value is judged by itself: commas go where they stand between thousands.
+        plain = F.when(stripped(text).rlike(COMMA_NUMBER), F.regexp_replace(text, ",", "")).otherwise(text)
+        return to_double(plain).alias(name)
 
-    return df.select(*[repaired(c) if c in verdicts else _quoted(c) for c in df.columns])
+    return df.select(*[repaired(c) if c in numeric else _quoted(c) for c in df.columns])
 
 
 # Texts that a CSV column may use for "no value".

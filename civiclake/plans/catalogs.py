@@ -44,7 +44,7 @@ def search(t):
 
 
 @CATALOGS.query("search_filters", search_sql(
-    word_score("brand"), "org_name = 'brand#12' AND update_frequency = 'daily' AND EXISTS (SELECT 1 FROM r WHERE r.portal = d.portal AND r.package_id = d.id AND upper(r.format) = 'CSV')", 50))
+    word_score("brand"), "org_name = 'brand#12' AND update_frequency = 'daily' AND EXISTS (SELECT 1 FROM r WHERE r.portal = d.portal AND r.package_id = d.id AND upper(r.format) = 'CSV')", 80))
 def search_filters(t):
     return joined(cat.search_datasets(
         datasets(t), resources(t), "brand", limit=80, organization="brand#12", resource_format="CSV", update_frequency="daily")).drop("name")
@@ -95,7 +95,7 @@ def topics(t):
 @CATALOGS.query("related_datasets", f"""
 WITH d AS {DATASETS},
 tagged AS (SELECT DISTINCT portal, id, metadata_modified, unnest(tags) AS tag FROM d),
-pairs AS (SELECT s.portal, s.id AS source_id, c.id, c.metadata_modified, 0 AS step FROM (SELECT portal, id, unnest(tags[1:5]) AS tag FROM d) s
+pairs AS (SELECT s.portal, s.id AS source_id, c.id, c.metadata_modified, 0 AS step FROM (SELECT portal, id, unnest(list_distinct(tags)) AS tag FROM d) s
  JOIN tagged c ON s.portal = c.portal AND s.tag = c.tag AND s.id != c.id
  UNION ALL SELECT s.portal, s.id, c.id, c.metadata_modified, 1 FROM d s JOIN d c ON s.portal = c.portal AND s.org_name = c.org_name AND s.id != c.id),
 best AS (SELECT portal, source_id, id, metadata_modified, MIN(step) AS step FROM pairs GROUP BY ALL),
@@ -144,13 +144,13 @@ def portal_stats(t):
 
 
 @CATALOGS.query("compare_datasets", f"""
-WITH d AS {DATASETS}, r AS {RESOURCES}, c AS (SELECT * FROM d WHERE id IN ('0', '1', '2', '64', '129'))
+WITH d AS {DATASETS}, r AS {RESOURCES}, c AS (SELECT * FROM d WHERE id IN ('0', '1', '2', '64', '129', '500'))
 SELECT concat(c.portal, ':', c.id) AS id, title, org_title AS organization, COALESCE(num_resources, 0) AS num_resources, formats, update_frequency,
  metadata_modified AS last_modified, array_to_string(tags, ',') AS tags, license_title AS license, CAST(NULL AS VARCHAR) AS geographic_coverage,
  (SELECT COALESCE(string_agg(tag, ',' ORDER BY tag), '') FROM (SELECT tag FROM (SELECT DISTINCT id, unnest(tags) AS tag FROM c) GROUP BY tag HAVING COUNT(*) = (SELECT COUNT(*) FROM c))) AS shared_tags
 FROM c LEFT JOIN {FILES} f ON c.portal = f.portal AND c.id = f.id""")
 def compare(t):
-    """Two to five chosen datasets: that is the operator, not a cut of the input."""
+    """Six chosen datasets: choosing is the operator."""
     return joined(cat.compare_datasets(datasets(t), resources(t), ["province:0", "1", "city_b:2", "64", "129", "500"]))
 
 
@@ -182,7 +182,7 @@ WITH d AS {DATASETS}, r AS {RESOURCES},
 f AS (SELECT d.portal, d.id, metadata_modified, geo_format FROM d JOIN (SELECT DISTINCT portal, package_id, upper(format) AS geo_format FROM r WHERE upper(format) IN ('SHP', 'KML', 'GEOJSON')) x
  ON d.portal = x.portal AND d.id = x.package_id),
 p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY portal, geo_format ORDER BY metadata_modified DESC NULLS LAST, id) AS place FROM f),
-u AS (SELECT portal, id, MIN(CASE geo_format WHEN 'SHP' THEN 1000 WHEN 'KML' THEN 2000 ELSE 3000 END + place) AS spot FROM p WHERE place <= 50 GROUP BY portal, id ORDER BY {RANK}, spot, id LIMIT 130)
+u AS (SELECT portal, id, MIN(CASE geo_format WHEN 'SHP' THEN 1000 WHEN 'KML' THEN 2000 ELSE 3000 END + place) AS spot FROM p WHERE place <= 130 GROUP BY portal, id ORDER BY {RANK}, spot, id LIMIT 130)
 SELECT concat(d.portal, ':', d.id) AS id, d.title, d.org_title AS organization, r.id AS resource_id, r.name AS resource_name, r.format, r.size
 FROM d JOIN u ON d.portal = u.portal AND d.id = u.id LEFT JOIN r ON r.portal = d.portal AND r.package_id = d.id AND upper(r.format) IN ('SHP', 'KML', 'GEOJSON', 'ZIP')""")
 def geo_datasets(t):

@@ -13,7 +13,7 @@ QUERYING = Suite()
 
 
 @QUERYING.query("query_filters", """
-SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 1000""")
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 5000""")
 def query_filters(t):
     return q.query_table(
         t.orders, {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}, ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderkey asc", 5000)
@@ -30,7 +30,7 @@ def query_total(t):
     return q.query_total(t.lineitem, {"l_returnflag": "R", "l_linenumber": [1, 2]})
 
 
-@QUERYING.query("preview", "SELECT * FROM events ORDER BY event_id LIMIT 100")
+@QUERYING.query("preview", "SELECT * FROM events ORDER BY event_id LIMIT 250")
 def preview(t):
     return q.preview(t.events, 250, "event_id")
 

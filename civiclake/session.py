@@ -32,11 +32,13 @@ def session(app: str = "civiclake", master: str | None = None, **conf: str) -> S
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder on the storage the cluster shares.
 
-    ``spark.checkpoint.dir`` names it. Only a session without that setting
-    (a unit test on one machine) falls back to a local temporary folder.
+    ``spark.checkpoint.dir`` names it. Only a local master without that setting
+    (a test on one machine) gets a temporary folder; any other raises an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="civiclake-")
     return f"{base.rstrip('/')}/civiclake-{purpose}-{uuid.uuid4().hex}"
 

@@ -24,8 +24,10 @@ def read_csv(
 
     Without a schema the types are inferred from all rows in one aggregation. Fields
     may hold line breaks; ``multi_line=False`` lets large files without any be split.
+    Columns are taken by name: a file whose header has other names, or another order, than the
+    schema (or the first file) raises an error, where Spark would read its values by place.
     """
-    reader = spark.read.option("header", True).option("sep", separator).option("escape", '"').option("multiLine", multi_line)
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("sep", separator).option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return infer_types(reader.csv(path))
@@ -79,21 +81,21 @@ def read_geojson(
         inner = next((f.dataType.elementType for f in seen.fields if f.name == "features"), seen)
         kinds = {f.name: f.dataType for f in inner.fields} if isinstance(inner, T.StructType) else {}
         found = kinds.get("properties")
-        properties = found.simpleString()[len("struct<"):-1] if isinstance(found, T.StructType) else ""
-    kind = f"struct<{properties}>" if properties else "string"
-    feature = f"properties:{kind},geometry:{GEOMETRY}"
-    schema = (
-        f"type string, features array<struct<{feature}>>, {feature.replace(':', ' ', 1).replace(',geometry:', ', geometry ')}, "
-        "crs struct<properties:struct<name:string>>"
-    )
-    if not properties:
-        schema = schema.replace("properties string", "properties string", 1)
+        inner_kind = found if isinstance(found, T.StructType) and found.fields else T.StringType()
+    else:
+        inner_kind = T.StructType.fromDDL(properties)
+    # A structure, not a text of it: property names may hold spaces or hyphens.
+    feature = T.StructType().add("properties", inner_kind).add("geometry", T.DataType.fromDDL(GEOMETRY))
+    schema = T.StructType([
+        T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(feature)), *feature.fields,
+        T.StructField("crs", T.DataType.fromDDL("struct<properties:struct<name:string>>")),
+    ])
     raw = reader.schema(schema).json(path)
     name = F.coalesce("crs.properties.name", F.lit("EPSG:4326"))
     own = F.when(F.col("type") == "Feature", F.array(F.struct("properties", "geometry")))
     rows = raw.select(name.alias("crs"), F.inline(F.coalesce("features", own)))
     out = rows.select(
-        *([F.col("properties.*")] if properties else []), geometry_wkt(F.col("geometry")).alias("geometry_wkt"), "crs")
+        *([F.col("properties.*")] if isinstance(inner_kind, T.StructType) else []), geometry_wkt(F.col("geometry")).alias("geometry_wkt"), "crs")
     return _geo(out, bounds)
 
 

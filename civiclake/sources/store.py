@@ -41,8 +41,10 @@ class Store:
 
     # --- registry ---------------------------------------------------------------
 
-    def _current(self) -> DataFrame:
+    def _current(self, resource_id: str | None = None) -> DataFrame:
         events = self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self.root}/_registry")
+        if resource_id is not None:  # before grouping, so that the scan does it
+            events = events.where(F.col("resource_id") == resource_id)
         last = events.groupBy("resource_id").agg(F.max_by(F.struct(*events.columns), "sequence").alias("e"))
         return last.select("e.*").where(~F.col("removed"))
 
@@ -53,7 +55,7 @@ class Store:
         self.spark.createDataFrame(list(events), EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/_registry")
 
     def _row(self, resource_id: str) -> Row | None:
-        return self._current().where(F.col("resource_id") == resource_id).first()
+        return self._current(resource_id).first()
 
     # --- tables -----------------------------------------------------------------
 
@@ -67,16 +69,24 @@ class Store:
         update_frequency: str | None = None,
         now: dt.datetime | None = None,
         repair: bool = True,
+        keep_for: dt.timedelta | None = None,
     ) -> str:
-        """Store (or replace) the table of one resource; returns its path."""
+        """Store (or replace) the table of one resource; returns its path.
+
+        A table name belongs to one resource: a second one under it is refused. ``keep_for`` is the
+        time to expiry where ``update_frequency`` is not known.
+        """
         now = now or utc_now()
+        other = self._current().where((F.col("table_name") == table_name) & (F.col("resource_id") != resource_id)).first()
+        if other is not None:
+            raise ValueError(f"table name {table_name!r} holds resource {other['resource_id']!r}; land {resource_id!r} under another name")
         path = f"{self.root}/tables/{table_name}/{uuid.uuid4().hex}"
         (repair_numeric(df) if repair else df).write.parquet(path)
         files = self.spark.read.parquet(path).groupBy("_metadata.file_path").agg(
             F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"))
         n, size = files.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
         word = (update_frequency or "").lower().strip()
-        expires = now + dt.timedelta(days=FREQUENCY_DAYS.get(word, DEFAULT_DAYS))
+        expires = now + (keep_for or dt.timedelta(days=FREQUENCY_DAYS.get(word, DEFAULT_DAYS)))
         self._append((resource_id, dataset_id, table_name, now, n, size, source_url, expires, path, time.time_ns(), False))
         return path
 
@@ -124,19 +134,24 @@ class Store:
         return deleted
 
     def refresh(
-        self, load: Callable[[Row], DataFrame], now: dt.datetime | None = None, resource_id: str | None = None
+        self, load: Callable[[Row], DataFrame], now: dt.datetime | None = None, resource_id: str | None = None, everything: bool = False
     ) -> DataFrame:
-        """Load stale tables (or the one named) again; one failure does not stop the rest."""
+        """Load stale tables (or the one named, or ``everything``) again; one failure does not stop the rest.
+
+        Each keeps the time between download and expiry that it was landed with.
+        """
         now = now or utc_now()
         registry = self.registry()
         if resource_id is not None:
             chosen = refresh_plan(registry.where(F.col("resource_id") == resource_id), "9999-01-01 00:00:00")
         else:
-            chosen = refresh_plan(registry, now)
+            chosen = refresh_plan(registry, "9999-01-01 00:00:00" if everything else now)
         results = []
         for row in chosen.toLocalIterator():
             try:
-                self.land(load(row), row["resource_id"], row["dataset_id"], row["table_name"], row["source_url"], now=now)
+                old = self._row(row["resource_id"])
+                keep = old["expires_at"] - old["downloaded_at"] if old["expires_at"] and old["downloaded_at"] else None
+                self.land(load(row), row["resource_id"], row["dataset_id"], row["table_name"], row["source_url"], now=now, keep_for=keep)
                 results.append((row["resource_id"], row["table_name"], "refreshed", self._row(row["resource_id"])["row_count"], None))
             except Exception as exc:  # reported per table
                 log.warning("refresh of %s failed", row["resource_id"], exc_info=True)

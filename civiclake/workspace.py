@@ -6,6 +6,7 @@ Every answer is a DataFrame (or a row); nothing here computes on the driver.
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
@@ -24,9 +25,12 @@ from civiclake.operators import spatial as sp
 from civiclake.operators.freesql import RESULT_CAP, InvalidQuery, check_sql, run_sql, truncation_report
 from civiclake.operators.staleness import check_freshness
 from civiclake.portals import PORTALS, Portal, portals_frame
+from civiclake.session import work_dir
 from civiclake.sources.ingest import ingest
 from civiclake.sources.store import Store, utc_now
 
+log = logging.getLogger(__name__)
+
 
 class Workspace:
     """Landed tables and catalogues under one folder of shared storage."""
@@ -139,8 +143,8 @@ class Workspace:
         try:
             return run_sql(self.spark, sql, cap)
         except Exception as exc:
-            tables = [r["table_name"] for r in self.store.registry().select("table_name").collect()]
-            raise InvalidQuery(f"{exc}\n\nLanded tables: {tables}\nQuote table names with double quotes.") from exc
+            names = [r["table_name"] for r in self.store.registry().select("table_name").orderBy("table_name").limit(20).collect()]
+            raise InvalidQuery(f"{exc} [tables at hand, 20 at most: {', '.join(names)}]") from exc
 
     def review(self, sql: str, now: Any = None) -> dict[str, DataFrame]:
         """What to know about a query's result: size and cap, warnings, and sources."""
@@ -174,11 +178,15 @@ class Workspace:
             "started_at", F.lit(str(started)).cast("timestamp_ntz"))
         indexes = [self.spark.createDataFrame([], "result_id string, column string, num double, str string")]
         for sql, number in numbers.items():
+            path = work_dir(self.spark, "claims")
             try:
-                result = self.sql(sql, cap=None)
-            except InvalidQuery:
-                continue  # the audit or the empty index decides
-            indexes.append(cl.value_index(result.select(F.lit(number).alias("result_id"), "*")))
+                result = self.sql(sql, cap=None).select(F.lit(number).alias("result_id"), "*")
+                # Run here, so that a statement that fails on some row fails alone.
+                cl.value_index(result).unionByName(cl.row_markers(result)).write.parquet(path)
+            except Exception:  # noqa: BLE001 - any engine error; the audit or the empty index decides
+                log.warning("statement %s failed", number, exc_info=True)
+                continue
+            indexes.append(self.spark.read.parquet(path))
         return cl.validate_claims(asked, reduce(DataFrame.unionByName, indexes), self.store.registry())
 
     def spatial(

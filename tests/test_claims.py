@@ -126,10 +126,10 @@ def test_stability_and_labels(spark):
         "table_name", "cast(d as timestamp_ntz) downloaded_at")
     got = {r["claim_id"]: r for r in c.validate_claims(claims, index, registry).collect()}
     assert got["0"]["label"] == "PASS" and got["1"]["label"] == "FAIL" and got["2"]["label"] == "UNVERIFIABLE"
-    assert got["11"]["summary"] == c.SUMMARIES["too_long"]
+    assert got["11"]["summary"].startswith("length: ")
     moved = c.validate_claims(claims, index, registry.withColumn("downloaded_at", F.lit("2024-01-03").cast("timestamp_ntz")))
     got = {r["claim_id"]: r["summary"] for r in moved.collect()}
-    assert got["0"] == c.SUMMARIES["data"] and got["1"] == c.SUMMARIES["both"]
+    assert got["0"].startswith("tables: ") and got["1"].startswith("facts_and_tables: ")
     log = claims.withColumnRenamed("claim_id", "query_id")
     gone = c.data_stability(log, registry.where("table_name = 't_a'")).first()
     assert gone["stable"] is False and gone["unknown_tables"] == 1

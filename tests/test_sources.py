@@ -109,3 +109,17 @@ def test_hub_shapes(spark, put):
     record = spark.read.option("multiLine", True).json(put({"data": {"id": "abc_0", "attributes": {"id": "abc_0", "title": "Park Lots", "url": "http://x", "license": None}}}))
     row = normalize_hub_record(record, "city", "The City").first()
     assert (row["name"], row["license_title"], row["geographic_coverage"], row["resources"][0]["id"]) == ("park-lots", "", "The City", "abc_0")
+
+
+def test_csv_with_another_header_order_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name,amount\n1,x,2\n")
+    (tmp_path / "b.csv").write_text("name,id,amount\ny,20,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path)).collect()
+
+
+def test_geojson_property_names_of_any_form(spark, put):
+    point = {"type": "Point", "coordinates": [1, 2]}
+    path = put({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"Min Delay": 5, "a-b": "x"}, "geometry": point}]})
+    row = read_geojson(spark, path).first()
+    assert row["Min Delay"] == 5 and row["a-b"] == "x" and row["geometry_wkt"] == "POINT (1 2)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from civiclake.operators.profile import duplicate_rows, profile, quality_report
 from civiclake.operators.quantiles import exact_quantiles
+from civiclake.operators.profile import profile
 from civiclake.operators.typing_repair import detect_numeric_strings, infer_types, repair_numeric, sample_values
 
 
@@ -53,6 +54,19 @@ def test_sample_is_bounded_and_stable(spark):
     assert verdicts == {"v": True, "w": False}
 
 
+def test_every_value_decides_and_commas_go_per_value(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 200 == 7, F.concat(F.lit("7,"), F.lpad(F.col("id").cast("string"), 4, "0").substr(2, 3)))
+                                  .otherwise(F.col("id").cast("string")).alias("v"))
+    out = repair_numeric(df)
+    assert out.dtypes == [("v", "double")] and out.where("v is null").count() == 0
+    assert out.where("v >= 7000 and v < 8000").count() == 25
+
+
+def test_profile_of_an_empty_table(spark):
+    got = profile(spark.createDataFrame([], "a int, b string")).collect()
+    assert [(r["column_name"], r["count"], r["null_percentage"]) for r in got] == [("a", 0, None), ("b", 0, None)]
+
+
 def test_infer_types(spark):
     df = spark.createDataFrame([
         ("1", "1", "1.5", "True", "2024-01-01", "NA", "1,000"), ("2", "n/a", "-2e3", "False", "2024-01-02", "", "2,000")],

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from civiclake.operators.freesql import InvalidQuery
+from civiclake.sources.store import Store
 from civiclake.session import work_dir
 from civiclake.sources.pages import read_catalog_pages
 from civiclake.workspace import Workspace
@@ -69,6 +70,27 @@ def test_claims(ws):
     assert [r["label"] for r in got] == ["PASS", "FAIL", "UNVERIFIABLE", "FAIL", "FAIL"]
 
 
+def test_null_rows_and_failing_statements_stand_alone(ws):
+    table = '"ds_city_a_permits_p-1"'
+    got = ws.validate([
+        (f"SELECT SUM(permits) AS n FROM {table} WHERE city = 'Z'", "There were 12 permits."),
+        (f"SELECT CAST(city AS INT) AS n FROM {table}", "There were 12 permits."),
+        (f"SELECT * FROM {table}", 'City "C7" had 7,007 permits.')]).orderBy("claim_id").collect()
+    assert [r["label"] for r in got] == ["FAIL", "UNVERIFIABLE", "PASS"]
+
+
+def test_a_name_belongs_to_one_resource_and_refresh_keeps_its_period(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.land(spark.range(3), "daily-1", "d", "ds_daily", update_frequency="daily")
+    with pytest.raises(ValueError, match="another name"):
+        store.land(spark.range(1), "daily-2", "d", "ds_daily")
+    first = store.registry().first()
+    assert store.refresh(lambda r: spark.range(4)).count() == 0
+    assert store.refresh(lambda r: spark.range(4), everything=True).first()["status"] == "refreshed"
+    again = store.registry().first()
+    assert again["row_count"] == 4 and again["expires_at"] - again["downloaded_at"] == first["expires_at"] - first["downloaded_at"]
+
+
 def test_spatial(ws):
     assert [r["zone"] for r in ws.spatial("z-1", "contains_point", 5, 1).collect()] == [4]
     assert [r["zone"] for r in ws.spatial("z-1", "within_radius", 5, 3, radius_km=112).collect()] == [4]
