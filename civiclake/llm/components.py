@@ -60,6 +60,9 @@ def _stars(edges: DataFrame) -> bool:
     return sides.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
+BLOCK = 1_024  # ids of a key that meet in one task
+
+
 def crowded(keyed: DataFrame) -> DataFrame:
     """Of distinct rows (id, key): those whose key has several ids, with their number and the key's hub, an id drawn by a hash.
 
@@ -74,7 +77,7 @@ def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare:
     """Components of ids that share a band and are similar: id, component.
 
     ``rows`` are (key, id, hub, n) of keys with several ids. ``items_of(ids)`` gives (id, data, bands) for a table of ids, bands
-    being an array of long in fixed places that holds the id's keys; ``prepare`` makes of data what ``similar`` compares.
+    being an array of long in fixed places that holds the id's keys (zero for none); ``prepare`` makes of data what ``similar`` compares.
     A pair inside one component needs no comparison, so this takes two passes:
 
     1. For a sixth of the keys, each id is compared with the key's hub.
@@ -84,7 +87,7 @@ def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare:
     So no link is lost, and a large group of copies is linear: its second pass finds one component.
     """
     items = cut(items_of(rows.select("id").distinct()))
-    pairs = rows.filter("pmod(key, 6) = 0 and id <> hub").select("id", "hub").distinct()
+    pairs = rows.filter("pmod(shiftright(key, 8), 6) = 0 and id <> hub").select("id", "hub").distinct()
     members = pairs.join(items.select("id", "data"), "id")
     centres = items.select(F.col("id").alias("hub"), F.col("data").alias("hub_data"))
     edges = cut(members.join(centres, "hub").mapInPandas(_with_hub(prepare, similar), "a long, b long"))
@@ -169,7 +172,7 @@ def _passing(group: pd.DataFrame, prepare, similar) -> tuple[list[int], list[int
 
     for start in range(0, len(row), 200_000):
         i, j = left[row[start:start + 200_000]], right[col[start:start + 200_000]]
-        same = bands[i] == bands[j]
+        same = (bands[i] == bands[j]) & (bands[i] != 0)
         mine = bands[i, same.argmax(1)] == key  # each pair belongs to the first band it shares
         i, j, shared = i[mine], j[mine], same[mine].sum(1)
         for x in np.argsort(-shared, kind="stable").tolist():

@@ -101,7 +101,7 @@ def _frequencies(words: frozenset):
         for part in parts:
             for text in part["text"]:
                 counts.update(words.intersection(words_of(text)))
-        yield pd.DataFrame({"word": list(counts), "files": list(counts.values())}, dtype=None)
+        yield pd.DataFrame({"word": list(counts), "files": list(counts.values())}, dtype=object)
 
     return run
 
@@ -119,9 +119,9 @@ def _scan(shared, similar: float):
                 if is_file and whole > score:
                     score, name = whole, whole_name
                 out.append((score, name, is_file) if score >= similar else (0.0, None, False))
-            part = part.drop(columns="text")
-            part["own_score"], part["own_license"], part["license_file"] = zip(*out) if out else ([], [], [])
-            yield part
+            score, name, is_file = map(list, zip(*out)) if out else ([], [], [])
+            paths = [p if isinstance(p, str) else None for p in part["path"]]
+            yield pd.DataFrame({"doc_id": part["doc_id"].tolist(), "path": paths, "own_score": score, "own_license": name, "license_file": is_file}, dtype=object)
 
     return run
 

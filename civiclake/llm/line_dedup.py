@@ -97,7 +97,7 @@ def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _with_bands(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"id": rows["id"], "data": rows["line"], "bands": list(bands(rows["line"].tolist()))})
+    return pd.DataFrame({"id": rows["id"].to_numpy(), "data": np.array(rows["line"].tolist(), dtype=object), "bands": list(bands(rows["line"].tolist()))})
 
 
 def _keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +152,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
         def candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                yield part[hit(bits.value, part["id"].to_numpy())].drop_duplicates("id")
+                part = part[hit(bits.value, part["id"].to_numpy())].drop_duplicates("id")
+                yield pd.DataFrame({"id": part["id"].to_numpy(np.int64), "line": np.array(part["line"].tolist(), dtype=object)})
 
         wanted = lines.select("id", "line").mapInPandas(candidates, "id long, line string").join(ids, "id", "left_semi")
         return wanted.groupBy("id").agg(F.min("line").alias("line")).mapInPandas(lambda parts: map(_with_bands, parts), "id long, data string, bands array<long>")

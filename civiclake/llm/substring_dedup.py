@@ -185,8 +185,8 @@ def _extend(window: int, buckets: int):
         candidates = _candidates(words, answers)
         one, two, _, _ = _window_keys(words, candidates)
         sent = _send(key[0], one, two, 64, buckets)
-        # The candidates themselves pass by the next step under a group of their own.
-        for name, value in (("chunk", key[0]), ("bucket", -1 - key[0]), ("data", _bits(candidates)), ("marks", b"")):
+        # The candidates themselves pass by the next step under a group of their own (chunks start at -1).
+        for name, value in (("chunk", key[0]), ("bucket", -2 - key[0]), ("data", _bits(candidates)), ("marks", b"")):
             sent[name].append(value)
         return pd.DataFrame(sent)
 
