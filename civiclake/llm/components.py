@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiclake.llm.common import cut
+from civiclake.llm.common import batches, cut
 
 
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,6 +61,7 @@ def _stars(edges: DataFrame) -> bool:
 
 
 BLOCK = 1_024  # ids of a key that meet in one task
+HELD = 4_000_000  # elements of prepared texts that a task keeps for its next comparisons
 
 
 def crowded(keyed: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare:
     """Components of ids that share a band and are similar: id, component.
 
     ``rows`` are (key, id, hub, n) of keys with several ids. ``items_of(ids)`` gives (id, data, bands) for a table of ids, bands
-    being an array of long in fixed places that holds the id's keys (zero for none); ``prepare`` makes of data what ``similar`` compares.
+    being an array of long in fixed places that holds the id's keys (zero for none); ``prepare`` makes of a list of texts the sorted arrays that ``similar`` compares.
     A pair inside one component needs no comparison, so this takes two passes:
 
     1. For a sixth of the keys, each id is compared with the key's hub.
@@ -105,14 +106,13 @@ def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare:
 
 def _with_hub(prepare, similar):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, centre = None, None
         for part in parts:
-            keep = []
-            for hub, hub_data, data in zip(part["hub"].tolist(), part["hub_data"], part["data"]):
-                if hub != last:
-                    last, centre = hub, prepare(hub_data)
-                keep.append(similar(centre, prepare(data)))
-            yield pd.DataFrame({"a": part["id"][keep], "b": part["hub"][keep]})
+            for some in batches(part["data"].tolist(), 400_000):
+                rows = part.iloc[some]
+                first, which = np.unique(rows["hub"].to_numpy(), return_index=True, return_inverse=True)[1:]
+                centres = prepare(rows["hub_data"].iloc[first].tolist())
+                keep = np.array([similar(centres[w], own) for w, own in zip(which.tolist(), prepare(rows["data"].tolist()))], dtype=bool)
+                yield pd.DataFrame({"a": rows["id"].to_numpy()[keep], "b": rows["hub"].to_numpy()[keep]}, dtype="int64")
 
     return run
 
@@ -162,7 +162,8 @@ def _passing(group: pd.DataFrame, prepare, similar) -> tuple[list[int], list[int
         todo = np.triu(todo, 1)
     row, col = np.nonzero(todo)
     found_a, found_b = [], []
-    prepared: dict[int, object] = {}
+    prepared: dict[int, np.ndarray] = {}
+    held = 0
     root = list(range(component.max() + 1))
 
     def top(x: int) -> int:
@@ -180,9 +181,13 @@ def _passing(group: pd.DataFrame, prepare, similar) -> tuple[list[int], list[int
             u, v = top(component[p]), top(component[q])
             if u == v:
                 continue
+            if held > HELD:
+                prepared.clear()
+                held = 0
             for n in (p, q):
                 if n not in prepared:
-                    prepared[n] = prepare(group["data"].iat[n])
+                    prepared[n] = prepare([group["data"].iat[n]])[0]
+                    held += len(prepared[n])
             if similar(prepared[p], prepared[q]):
                 root[max(u, v)] = min(u, v)
                 found_a.append(ids[p])

@@ -7,7 +7,7 @@ alike lines keep their first line in the order of (doc_id, place in the text); a
 Signatures: a line of up to ``SHORT`` grams takes the minimum of each of 40 hash functions; a line of at least
 ``SIMILAR * SHORT`` grams hashes once and takes the minimum of each of 40 bins, empty ones filled from the next. Alike lines
 differ in size by no more than ``SIMILAR``, so any alike pair shares a kind of signature.
-Lines are named by a 64-bit hash; equal hashes count as equal lines. Line texts and documents are only sent
+Lines are named by a 64-bit hash, grams too; equal hashes count as equal lines or grams. Line texts and documents are only sent
 where a bitmap of fixed size (a broadcast of 8 MB) says that they may take part; it lets others pass and loses none.
 
 Nulls: a null text counts as empty. Documents with a null doc_id stay as they are and are not compared. Rows that repeat a doc_id
@@ -122,13 +122,26 @@ def hit(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ((bits[(place >> U64(5)).astype(np.int64)] >> (place & U64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
 
 
-def gram_set(line: str) -> frozenset:
-    return frozenset(line[i:i + GRAM] for i in range(max(1, len(line) - GRAM + 1)))
+def gram_sets(lines: list[str]) -> list[np.ndarray]:
+    """The set of each line's grams: sorted hashes without repeats."""
+    hashes, each = grams(lines)
+    ends = np.cumsum(each)
+    for start, end in zip((ends - each).tolist(), ends.tolist()):
+        hashes[start:end].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[ends - each] = True
+    return np.split(hashes[new], np.cumsum(np.add.reduceat(new, ends - each))[:-1]) if lines else []
 
 
-def alike(a: frozenset, b: frozenset, similar: float = SIMILAR) -> bool:
-    shared = len(a & b)
-    return shared >= similar * (len(a) + len(b) - shared)
+def alike(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
+    """Whether two sets of grams have the Jaccard similarity; sets that differ too much in size need no count."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < similar * len(b):
+        return False
+    shared = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    return bool(shared >= similar * (len(a) + len(b) - shared))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -158,7 +171,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
         wanted = lines.select("id", "line").mapInPandas(candidates, "id long, line string").join(ids, "id", "left_semi")
         return wanted.groupBy("id").agg(F.min("line").alias("line")).mapInPandas(lambda parts: map(_with_bands, parts), "id long, data string, bands array<long>")
 
-    known = linked(rows, items, gram_set, alike)
+    known = linked(rows, items, gram_sets, alike)
     places = lines.select("id", "doc_id", "pos").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = cut(places.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     named = known.filter("id <> component").union(kept.select(F.col("component").alias("id"), "component")).distinct()
