@@ -65,12 +65,12 @@ HELD = 4_000_000  # elements of prepared texts that a task keeps for its next co
 
 
 def crowded(keyed: DataFrame) -> DataFrame:
-    """Of distinct rows (id, key): those whose key has several ids, with their number and the key's hub, an id drawn by a hash.
+    """Of distinct rows (id, key): those whose key has several ids, with their number and the key's hub, the id of least hash.
 
+    Ids that share several keys so share a hub too.
     Counts come before the join, so a hot key is summed in each map task and its join can be split.
     """
-    draw = F.xxhash64("id", "key")
-    hubs = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", draw).alias("hub")).filter("n > 1"))
+    hubs = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id")).alias("hub")).filter("n > 1"))
     return cut(keyed.join(hubs, "key").select("key", "id", "hub", "n"))
 
 
@@ -81,14 +81,14 @@ def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare:
     being an array of long in fixed places that holds the id's keys (zero for none); ``prepare`` makes of a list of texts the sorted arrays that ``similar`` compares.
     A pair inside one component needs no comparison, so this takes two passes:
 
-    1. For a sixth of the keys, each id is compared with the key's hub.
+    1. Each id is compared with the hubs of its keys, each of them once.
     2. For all keys whose ids lie in several components, all pairs across components are compared, each pair in the first
        band it shares. Ids of a key meet in blocks of ``BLOCK``, and only passing pairs leave a task.
 
     So no link is lost, and a large group of copies is linear: its second pass finds one component.
     """
     items = cut(items_of(rows.select("id").distinct()))
-    pairs = rows.filter("pmod(shiftright(key, 8), 6) = 0 and id <> hub").select("id", "hub").distinct()
+    pairs = rows.filter("id <> hub").select("id", "hub").distinct()
     members = pairs.join(items.select("id", "data"), "id")
     centres = items.select(F.col("id").alias("hub"), F.col("data").alias("hub_data"))
     edges = cut(members.join(centres, "hub").mapInPandas(_with_hub(prepare, similar), "a long, b long"))
@@ -117,44 +117,55 @@ def _with_hub(prepare, similar):
     return run
 
 
-def runs(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of sorted rows, put together again where a batch ends inside one."""
+def _changes(part: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Where a run of equal values starts, the first row included."""
+    values = part[columns].to_numpy()
+    return np.append(0, np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1)
+
+
+def whole_runs(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole runs of sorted rows: a run that a batch leaves open goes to the next frame."""
     held: list[pd.DataFrame] = []
     for part in parts:
         if not len(part):
             continue
-        new = (part[columns] != part[columns].shift()).any(axis=1).to_numpy()
-        new[0] = bool(held) and tuple(held[-1][columns].iloc[-1]) != tuple(part[columns].iloc[0])
-        starts = [0, *np.flatnonzero(new[1:]) + 1, len(part)] if not new[0] else [0, *np.flatnonzero(new), len(part)]
-        if new[0]:
+        if held and (held[-1][columns].to_numpy()[-1] != part[columns].to_numpy()[0]).any():
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        last = int(_changes(part, columns)[-1])
+        if last:
+            held.append(part.iloc[:last])
             yield pd.concat(held) if len(held) > 1 else held[0]
             held = []
-        starts = sorted(set(starts))
-        for i, j in zip(starts, starts[1:]):
-            held.append(part.iloc[i:j])
-            if j < len(part):
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
+        held.append(part.iloc[last:])
     if held:
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
 def _across(prepare, similar):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in runs(parts, ["key", "lo", "hi"]):
-            a, b = _passing(group, prepare, similar)
-            if a:
-                yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        names = ["key", "lo", "hi"]
+        for frame in whole_runs(parts, names):
+            starts = _changes(frame, names)
+            places = frame[names].to_numpy()[starts].tolist()
+            columns = [frame[x].to_numpy() for x in ("own", "id", "component", "bands", "data")]
+            found_a, found_b = [], []
+            for place, start, end in zip(places, starts.tolist(), [*starts[1:].tolist(), len(frame)]):
+                if end - start > 1:
+                    a, b = _passing(*place, *[x[start:end] for x in columns], prepare, similar)
+                    found_a += a
+                    found_b += b
+            yield pd.DataFrame({"a": found_a, "b": found_b}, dtype="int64")
 
     return run
 
 
-def _passing(group: pd.DataFrame, prepare, similar) -> tuple[list[int], list[int]]:
+def _passing(key, lo, hi, own, ids, component, bands, data, prepare, similar) -> tuple[list[int], list[int]]:
     """The similar pairs of a block pair that lie in different components, without those that earlier ones connect."""
-    key, lo, hi = group[["key", "lo", "hi"]].iloc[0]
-    component = pd.factorize(group["component"])[0]
-    own, ids = group["own"].to_numpy(), group["id"].tolist()
-    bands = np.stack(group["bands"].to_list())
+    component = np.unique(component, return_inverse=True)[1]
+    if not component.any():
+        return [], []
+    ids, bands = ids.tolist(), np.stack(bands)
     left = np.flatnonzero(own == lo)
     right = np.flatnonzero(own == hi)
     todo = component[left][:, None] != component[right][None, :]
@@ -186,7 +197,7 @@ def _passing(group: pd.DataFrame, prepare, similar) -> tuple[list[int], list[int
                 held = 0
             for n in (p, q):
                 if n not in prepared:
-                    prepared[n] = prepare([group["data"].iat[n]])[0]
+                    prepared[n] = prepare([data[n]])[0]
                     held += len(prepared[n])
             if similar(prepared[p], prepared[q]):
                 root[max(u, v)] = min(u, v)

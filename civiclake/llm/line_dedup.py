@@ -156,7 +156,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = lines_of(docs)
     own = Window.partitionBy("key")
     several = lines.select("id", "line").mapInPandas(_keys, "id long, key long").withColumns({
-        "low": F.min("id").over(own), "high": F.max("id").over(own), "n": F.count("*").over(own), "hub": F.min_by("id", F.xxhash64("id", "key")).over(own),
+        "low": F.min("id").over(own), "high": F.max("id").over(own), "n": F.count("*").over(own), "hub": F.min_by("id", F.xxhash64("id")).over(own),
     })
     rows = cut(several.filter("low <> high").select("key", "id", "hub", "n").distinct())
 
