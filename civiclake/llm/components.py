@@ -45,19 +45,22 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges.select("a", "b").filter("a <> b").mapInPandas(_forest, "a long, b long").distinct())
     while not _stars(edges):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.join(_least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
-        large = near.filter("a <> b").distinct()
-        low = large.join(_least(large), "a")
-        edges = cut(low.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct())
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        both = _each(edges, ("a", "b"), ("b", "a"))
+        large = cut(both.join(_least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
+        small = large.join(_least(large), "a")
+        edges = cut(_each(small, ("b", "m"), ("a", "m")).filter("a <> b").distinct())
+    return _each(edges, ("a", "b"), ("b", "b")).withColumnsRenamed({"a": "id", "b": "component"}).distinct()
+
+
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (a, b), one for each of the named pairs of columns of each row, in one reading."""
+    return rows.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])))
 
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every node hangs on one centre, and no centre hangs on another node."""
-    sides = edges.groupBy("a").agg(F.count("*").alias("up")).withColumn("down", F.lit(0))
-    sides = sides.union(edges.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("up"), F.lit(1).alias("down")).distinct())
-    return sides.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+    sides = edges.selectExpr("inline(array(named_struct('node', a, 'up', 1, 'down', 0), named_struct('node', b, 'up', 0, 'down', 1)))")
+    return sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 BLOCK = 1_024  # ids of a key that meet in one task
@@ -100,8 +103,12 @@ def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("n", "other")
     full = dealt.join(items, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = full.select("key", "lo", "hi", "own", "id", "component", "bands", "data").mapInPandas(_across(prepare, similar), "a long, b long")
-    return cut(components(edges.union(cut(more))))
+    more = cut(full.select("key", "lo", "hi", "own", "component", "bands", "data").mapInPandas(_across(prepare, similar), "a long, b long"))
+    if more.isEmpty():
+        return known
+    moved = cut(components(more)).withColumnsRenamed({"id": "component", "component": "least"})
+    every = known.union(moved.select(F.col("component").alias("id"), "component")).distinct()
+    return cut(every.join(moved, "component", "left").select("id", F.coalesce("least", "component").alias("component")))
 
 
 def _with_hub(prepare, similar):
@@ -148,7 +155,7 @@ def _across(prepare, similar):
         for frame in whole_runs(parts, names):
             starts = _changes(frame, names)
             places = frame[names].to_numpy()[starts].tolist()
-            columns = [frame[x].to_numpy() for x in ("own", "id", "component", "bands", "data")]
+            columns = [frame[x].to_numpy() for x in ("own", "component", "bands", "data")]
             found_a, found_b = [], []
             for place, start, end in zip(places, starts.tolist(), [*starts[1:].tolist(), len(frame)]):
                 if end - start > 1:
@@ -160,12 +167,12 @@ def _across(prepare, similar):
     return run
 
 
-def _passing(key, lo, hi, own, ids, component, bands, data, prepare, similar) -> tuple[list[int], list[int]]:
-    """The similar pairs of a block pair that lie in different components, without those that earlier ones connect."""
-    component = np.unique(component, return_inverse=True)[1]
-    if not component.any():
+def _passing(key, lo, hi, own, component, bands, data, prepare, similar) -> tuple[list[int], list[int]]:
+    """Pairs of components that similar texts of a block pair connect, without those that earlier pairs connect."""
+    names, component = np.unique(component, return_inverse=True)
+    if len(names) == 1:
         return [], []
-    ids, bands = ids.tolist(), np.stack(bands)
+    bands = np.stack(bands)
     left = np.flatnonzero(own == lo)
     right = np.flatnonzero(own == hi)
     todo = component[left][:, None] != component[right][None, :]
@@ -201,6 +208,6 @@ def _passing(key, lo, hi, own, ids, component, bands, data, prepare, similar) ->
                     held += len(prepared[n])
             if similar(prepared[p], prepared[q]):
                 root[max(u, v)] = min(u, v)
-                found_a.append(ids[p])
-                found_b.append(ids[q])
+                found_a.append(int(names[component[p]]))
+                found_b.append(int(names[component[q]]))
     return found_a, found_b

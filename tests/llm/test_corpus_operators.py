@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from civiclake.llm import bagminhash, decontaminate, license_scan, line_dedup, nearest, pii, quality, sentencepiece_ids, substring_dedup, token_counts
+from civiclake.llm import bagminhash, components, decontaminate, license_scan, line_dedup, nearest, pii, quality, sentencepiece_ids, substring_dedup, token_counts
 from civiclake.llm.suite import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, chunk long, id long"
@@ -164,6 +164,25 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted((x["doc_id"] or 0, x["class_id"]) for x in bagminhash.near_duplicates(nulls).collect()) == [(0, None), (3, 3), (4, 3)]
 
 
+def test_components_against_union_find(spark):
+    r = random.Random(15)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 140)] + [(r.randint(200, 400), r.randint(200, 400)) for _ in range(120)] + [(7, 7)]
+    r.shuffle(pairs)
+    group = {x: x for p in pairs for x in p}
+
+    def top(x):
+        return x if group[x] == x else top(group[x])
+
+    for a, b in pairs:
+        u, v = top(a), top(b)
+        group[max(u, v)] = min(u, v)
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(16)
+    got = components.components(edges).collect()
+    assert len(got) == len(linked) and {x["id"]: x["component"] for x in got} == {x: top(x) for x in linked}
+    assert components.components(edges.limit(0)).count() == 0
+
+
 def test_line_dedup_against_all_pairs(spark):
     r = random.Random(6)
     lines = [prose(r, r.choice([1, 4, 12, 40])) for _ in range(40)]
