@@ -106,7 +106,7 @@ def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare:
     more = cut(full.select("key", "lo", "hi", "own", "component", "bands", "data").mapInPandas(_across(prepare, similar), "a long, b long"))
     if more.isEmpty():
         return known
-    moved = cut(components(more)).withColumnsRenamed({"id": "component", "component": "least"})
+    moved = cut(components(more)).toDF("component", "least")
     every = known.union(moved.select(F.col("component").alias("id"), "component")).distinct()
     return cut(every.join(moved, "component", "left").select("id", F.coalesce("least", "component").alias("component")))
 

@@ -183,6 +183,19 @@ def test_components_against_union_find(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1_024, 3])
+def test_links_beside_a_hub_that_is_unlike_them(spark, monkeypatch, block):
+    """Key 5 is shared by all, and its hub is similar to few; numbers are similar when they differ by one at most."""
+    monkeypatch.setattr(components, "BLOCK", block)
+    numbers = {i: n for i, n in enumerate([50, 1, 2, 3, 10, 11, 30, 51, 70, 71, 72, 73])}
+    frame = spark.createDataFrame([(5, i, 0, len(numbers)) for i in numbers] + [(9, i, 8, 2) for i in (8, 9)], "key long, id long, hub long, n long")
+    data = [(i, str(n), [5, 9 if i in (8, 9) else 0]) for i, n in numbers.items()]
+    items = spark.createDataFrame(data, "id long, data string, bands array<long>")
+    got = components.linked(frame, lambda ids: items.join(ids, "id"), lambda texts: [np.array([int(x)]) for x in texts], lambda a, b: abs(int(a[0]) - int(b[0])) <= 1)
+    known = {r["id"]: r["component"] for r in got.collect()}
+    assert [known.get(i, i) for i in numbers] == [0, 1, 1, 1, 4, 4, 6, 0, 8, 8, 8, 8]
+
+
 def test_line_dedup_against_all_pairs(spark):
     r = random.Random(6)
     lines = [prose(r, r.choice([1, 4, 12, 40])) for _ in range(40)]
