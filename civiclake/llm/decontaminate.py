@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are lower-cased words (runs of letters, digits and underscores). Runs of ``GRAM`` words (an item with fewer words is one
-run as a whole) link documents to test items. The document frequency of every such run is counted over all
-documents, and an item's seeds are the rarest three quarters of its runs, ties included, so an item keeps seeds
-however often it leaked. Each seed hit gives a diagonal; diagonals of a pair fall into bins of ``BIN`` words, and the part of
-the document around a bin is aligned with the item, many pairs at once in numpy. A pair is kept when its best local
-score (a match counts 1, a mismatch or a gap -0.5) reaches ``SIMILAR`` of the item's words.
+run as a whole) link documents to test items. Every run that a document shares with an item is a seed, however many documents
+hold it: of an edited copy that occurs often, the few runs left are frequent ones. Each seed hit gives a diagonal; diagonals of a
+pair fall into bins of ``BIN`` words, and the part of the document around a bin is aligned with the item, many pairs at once in
+numpy. A pair is kept when its best local score (a match counts 1, a mismatch or a gap -0.5) reaches ``SIMILAR`` of the item's
+words; parts that hold too few of these words to reach it are not aligned. Pairs that share no run are not found.
 
 The items' runs are tested on the documents' side through a bitmap of fixed size (8 MB), which lets others pass and
 loses none; the join on the run decides. Whole documents are read; only parts around a bin are aligned.
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiclake.llm.common import batches, cut, hash_words, rolling, slices, windows
+from civiclake.llm.common import batches, cut, hash_words, rolling, slices
 from civiclake.llm.line_dedup import bitmap, hit
 from civiclake.llm.suite import LLM
 
@@ -92,14 +92,27 @@ def smith_waterman(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarr
     return best
 
 
-def _aligned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        for start in range(0, len(part), 500):
-            some = part.iloc[start:start + 500]
-            items = [hash_words(words_of(x)).view(np.int64) for x in some["item_text"]]
-            texts = [hash_words(x.split(" ")).view(np.int64) for x in some["part"]]
-            score = smith_waterman(items, texts) / np.array([len(x) for x in items])
-            yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "item_id": some["item_id"].to_numpy(), "score": score})
+def _hashed(texts: list[list[str]]) -> list[np.ndarray]:
+    flat = hash_words([w for words in texts for w in words]).view(np.int64)
+    return np.split(flat, np.cumsum([len(x) for x in texts])[:-1])
+
+
+def _aligned(similar: float):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for start in range(0, len(part), 500):
+                some = part.iloc[start:start + 500]
+                items = _hashed([words_of(x) for x in some["item_text"]])
+                texts = _hashed([x.split(" ") for x in some["part"]])
+                # No score is above the number of the item's words that the part holds.
+                fit = [i for i, (x, y) in enumerate(zip(items, texts)) if np.isin(x, y).sum() >= similar * len(x)]
+                if not fit:
+                    continue
+                items, texts, some = [items[i] for i in fit], [texts[i] for i in fit], some.iloc[fit]
+                score = smith_waterman(items, texts) / np.array([len(x) for x in items])
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "item_id": some["item_id"].to_numpy(), "score": score})
+
+    return run
 
 
 def _cut_parts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,17 +146,12 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) ->
                 keep = hit(bits.value, key)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[some][number[keep]], "id": key[keep], "pos": place[keep]})
 
-    known = runs.select("id").distinct()
-    hits = cut(docs.mapInPandas(probe, "doc_id long, id long, pos long").join(known, "id", "left_semi"))
-    frequency = hits.select("id", "doc_id").distinct().groupBy("id").agg(F.count("*").alias("docs"))
-    counted = runs.join(frequency, "id", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-    limit = F.percentile("docs", F.lit(0.75)).over(Window.partitionBy("item_id"))
-    seeds = cut(counted.withColumn("most", limit).filter("docs > 0 and docs <= most").select("id", "item_id", "at", "size"))
-    bins = hits.join(seeds, "id").select("doc_id", F.struct("item_id", F.floor((F.col("pos") - F.col("at")) / BIN).alias("bin"), "size").alias("one")).distinct()
+    hits = docs.mapInPandas(probe, "doc_id long, id long, pos long").join(runs, "id")
+    bins = hits.select("doc_id", F.struct("item_id", F.floor((F.col("pos") - F.col("at")) / BIN).alias("bin"), "size").alias("one")).distinct()
     by_doc = bins.groupBy("doc_id").agg(F.collect_list("one").alias("bins"))
     parts = docs.join(by_doc, "doc_id").select("doc_id", "text", "bins").mapInPandas(_cut_parts, "doc_id long, item_id long, part string")
     texts = items.groupBy("item_id").agg(F.min("text").alias("item_text"))
-    scored = parts.join(texts, "item_id").select("doc_id", "item_id", "part", "item_text").mapInPandas(_aligned, "doc_id long, item_id long, score double")
+    scored = parts.join(texts, "item_id").select("doc_id", "item_id", "part", "item_text").mapInPandas(_aligned(similar), "doc_id long, item_id long, score double")
     return scored.filter(F.col("score") >= similar).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 

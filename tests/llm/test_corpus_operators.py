@@ -235,6 +235,18 @@ def test_contamination_finds_exact_and_edited_passages(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_contamination_finds_copies_with_every_fifth_word_changed(spark):
+    rng = random.Random(13)
+    alone, beside = ([f"{name}{i}" for i in range(50)] for name in "ab")
+    edited = lambda words: " ".join(f"x{rng.randrange(10**9)}" if i % 5 == 4 else w for i, w in enumerate(words))
+    texts = [edited(alone), " ".join(beside)]
+    texts += [prose(rng, 80) + " " + edited(beside) + " " + prose(rng, 80) for _ in range(8)]
+    bench = spark.createDataFrame([(1, " ".join(alone)), (2, " ".join(beside))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got.keys() == {(0, 1)} | {(i, 2) for i in range(1, 10)}
+    assert got[0, 1] == pytest.approx(0.7, abs=0.02) and got[1, 2] == 1.0
+
+
 def test_alignment_against_the_table():
     def plain(a, b):
         h, best = np.zeros((len(a) + 1, len(b) + 1)), 0.0
