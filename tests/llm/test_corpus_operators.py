@@ -280,6 +280,21 @@ def test_nearest_against_brute_force(spark):
     assert nearest.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["one long", "log-normal"])
+def test_nearest_of_unequal_norms(spark, kind):
+    r = np.random.default_rng(10)
+    x = r.standard_normal((4_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.exp(r.standard_normal(len(x)))[:, None] if kind == "log-normal" else np.where(np.arange(len(x)) == 7, 10.0, 1.0)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = nearest.nearest(df, F.col("vec_id") % 40 == 0).collect()
+    score = x[::40] @ x.T
+    score[np.arange(100), np.arange(0, 4_000, 40)] = -np.inf
+    true = {(40 * q, int(i)) for q, order in enumerate(np.argsort(-score, axis=1)[:, :20]) for i in order}
+    assert len(found) == 2_000
+    assert len(true & {(y["query_id"], y["vec_id"]) for y in found}) >= 0.95 * len(true)
+
+
 def test_quality_learns_and_keeps_clean_documents(spark):
     r = random.Random(10)
     texts, labels = [], []
