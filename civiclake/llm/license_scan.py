@@ -1,7 +1,8 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
 Every line of a text is a possible header, and a text as a whole is a possible licence file. Both are compared with
-templates by the cosine of TF-IDF vectors over lower-cased words. Document frequencies of the templates' words are counted over all
+templates by the cosine of TF-IDF vectors over lower-cased words: lines with the notices (templates of one line), whole texts with
+these and with whole licence texts (templates of several lines, which weigh words by their own vocabulary). Document frequencies of the templates' words are counted over all
 files; a word that no template holds weighs like one that no file holds, so foreign text lowers a score.
 The best template at ``SIMILAR`` or more is a file's own licence (ties: the smaller name). A file whose whole text reaches it is a licence
 file and speaks for its directory (ties in a directory: the higher score, then the smaller path, then name). A file without
@@ -20,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log, sqrt
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,7 +55,14 @@ TEMPLATES = [
 
 
 def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, text string")
+    """The notices, and the whole texts in the folder ``licenses``, named by their files."""
+    folder = Path(__file__).parent / "licenses"
+    whole = [(x.name.removesuffix(".txt"), x.read_text("utf-8")) for x in sorted(folder.glob("*.txt"))]
+    return spark.createDataFrame([*TEMPLATES, *whole], "license string, text string")
+
+
+def is_whole(text: str) -> bool:
+    return "\n" in text.strip()
 
 
 def words_of(text: str) -> list[str]:
@@ -108,13 +117,16 @@ def _frequencies(words: frozenset):
 
 def _scan(shared, similar: float):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = shared.value
+        notices, texts = shared.value
         for part in parts:
             out = []
             for text in part["text"]:
                 lines = [x for x in text.split("\n") if x.strip()]
-                score, name = max((matcher.best(x) for x in set(lines)), key=lambda x: (x[0], [-ord(c) for c in x[1] or ""]), default=(0.0, None))
-                whole, whole_name = matcher.best(text) if len(lines) > 1 and score else (score, name)
+                score, name = max((notices.best(x) for x in set(lines)), key=lambda x: (x[0], [-ord(c) for c in x[1] or ""]), default=(0.0, None))
+                whole, whole_name = notices.best(text) if len(lines) > 1 and score else (score, name)
+                found, found_name = texts.best(text)
+                if found > whole + 1e-12:
+                    whole, whole_name = found, found_name
                 is_file = whole >= similar
                 if is_file and whole > score:
                     score, name = whole, whole_name
@@ -159,15 +171,16 @@ def scan_licenses(files: DataFrame, templates: DataFrame, similar: float = SIMIL
 
 
 class _Shared:
-    """The matcher of a broadcast, made once per worker."""
+    """The matchers of a broadcast (notices, whole texts), made once per worker."""
 
     def __init__(self, data):
         self.data, self.made = data, None
 
     @property
-    def value(self) -> Matcher:
+    def value(self) -> tuple[Matcher, Matcher]:
         if self.made is None:
-            self.made = Matcher(*self.data.value)
+            rows, frequency, files = self.data.value
+            self.made = tuple(Matcher([x for x in rows if is_whole(x[1]) == whole], frequency, files) for whole in (False, True))
         return self.made
 
 

@@ -329,3 +329,16 @@ def test_license_scores_and_nearest_directory(spark):
     assert got[3]["license_file"] is False and got[1]["license_file"] is True
     assert license_scan.scan_licenses(files.limit(0), license_scan.template_table(spark)).count() == 0
     assert license_scan.scan_licenses(files, license_scan.template_table(spark).limit(0)).where("license is not null").count() == 0
+
+
+def test_license_files_of_whole_texts(spark):
+    texts = {r["license"]: r["text"] for r in license_scan.template_table(spark).collect() if license_scan.is_whole(r["text"])}
+    mit = re.sub(r"<[^>]*>", "2021", "Copyright of Some One and Others\n" + texts["MIT"])
+    files = spark.createDataFrame([
+        (1, "m/LICENSE", mit), (2, "m/src/x.py", "code here"), (3, "a/LICENSE", " ".join(texts["Apache-2.0"].split())), (4, "a/x/y/z.py", "more code"),
+        (5, "g/COPYING", texts["GPL-3.0"].replace("\n\n", "\n \n")), (6, "g/q.py", None), (7, "n/README", prose(random.Random(3), 500)), (8, "g/old/COPYING", texts["GPL-2.0"]), (9, "g/old/r.py", "")],
+        "doc_id long, path string, text string")
+    got = rows(license_scan.scan_licenses(files, license_scan.template_table(spark)))
+    assert {k: (v["license"], v["inherited_from"], v["license_file"]) for k, v in got.items()} == {
+        1: ("MIT", None, True), 2: ("MIT", "m", False), 3: ("Apache-2.0", None, True), 4: ("Apache-2.0", "a", False), 5: ("GPL-3.0", None, True),
+        6: ("GPL-3.0", "g", False), 7: (None, None, False), 8: ("GPL-2.0", None, True), 9: ("GPL-2.0", "g/old", False)}
