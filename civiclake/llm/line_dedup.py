@@ -4,9 +4,9 @@ A line is a part of a text between line feeds; blank lines are left alone. Two l
 their sets of ``GRAM`` consecutive characters is at least ``SIMILAR`` (a shorter line is one gram as a whole). Components of
 alike lines keep their first line in the order of (doc_id, place in the text); all others go, and equal lines are the simplest case.
 
-Signatures: a line of up to ``SHORT`` grams takes the minimum of each of 40 hash functions; a line of at least
-``SIMILAR * SHORT`` grams hashes once and takes the minimum of each of 40 bins, empty ones filled from the next. Alike lines
-differ in size by no more than ``SIMILAR``, so any alike pair shares a kind of signature.
+Signatures: a line of up to ``SHORT`` distinct grams takes the minimum of each of 40 hash functions; a line of at least
+``SIMILAR * SHORT`` distinct grams hashes once and takes the minimum of each of 40 bins, empty ones filled from the next. The sets of
+alike lines differ in size by no more than ``SIMILAR``, however often the lines repeat their grams, so any alike pair shares a kind of signature.
 Lines are named by a 64-bit hash, grams too; equal hashes count as equal lines or grams. Line texts and documents are only sent
 where a bitmap of fixed size (a broadcast of 8 MB) says that they may take part; it lets others pass and loses none.
 
@@ -73,11 +73,21 @@ def signatures(hashes: np.ndarray, each: np.ndarray, short: bool) -> np.ndarray:
     return filled
 
 
+def distinct(hashes: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """How many different grams each line has. Lines of fewer than ``SIMILAR * SHORT`` grams are short either way and keep their count."""
+    out, ends = each.copy(), np.cumsum(each)
+    for i in np.flatnonzero(each >= SIMILAR * SHORT):
+        own = np.sort(hashes[ends[i] - each[i]:ends[i]])
+        out[i] = 1 + np.count_nonzero(own[1:] != own[:-1])
+    return out
+
+
 def bands(lines: list[str]) -> np.ndarray:
     """(line, 2 x BANDS) keys, those of functions before those of bins; zero where a line has no such signature."""
     out = np.zeros((len(lines), 2 * BANDS), np.int64)
     hashes, each = grams(lines)
-    for kind, chosen in enumerate((each <= SHORT, each >= SIMILAR * SHORT)):
+    size = distinct(hashes, each)
+    for kind, chosen in enumerate((size <= SHORT, size >= SIMILAR * SHORT)):
         at = np.flatnonzero(chosen)
         if not len(at):
             continue

@@ -221,6 +221,17 @@ def test_line_dedup_against_all_pairs(spark):
     assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_of_lines_that_repeat_their_grams(spark):
+    r = random.Random(12)
+    phrase, long = prose(r, 8) + " ", prose(r, 60) + " "
+    lines = ["-" * 60, "-" * 200, "-" * 1_000, "=-" * 40, "=-" * 300, phrase * 2, phrase * 9, long * 2, long * 5, prose(r, 60)]
+    sets = [{x[k:k + 8] for k in range(len(x) - 7)} for x in lines]
+    alone = [i for i, a in enumerate(sets) if not any(len(a & b) >= 0.8 * len(a | b) for b in sets[:i])]
+    assert alone == [0, 3, 5, 7, 9]
+    out = line_dedup.dedup_lines(docs(spark, lines)).collect()
+    assert {x["doc_id"]: x["text"] for x in out} == {i: x if i in alone else "" for i, x in enumerate(lines)}
+
+
 def test_contamination_finds_exact_and_edited_passages(spark):
     r = random.Random(7)
     items = [prose(r, n) for n in (30, 15, 50, 3)]
