@@ -67,17 +67,24 @@ def keep_within(df: DataFrame, degrees: Column, reach: float) -> DataFrame:
     return df.withColumn("_degrees", F.explode(F.filter(F.array(degrees), lambda d: d <= reach)))
 
 
-def contains_point(df: DataFrame, lon: float, lat: float, limit: int | None = 100, wkt: str = "geometry_wkt") -> DataFrame:
+def _first(found: DataFrame, limit: int | None, *by: str) -> DataFrame:
+    """The first ``limit`` rows by the given columns, then by the whole row, so every run gives the same ones."""
+    if limit is None:
+        return found
+    return found.orderBy(*by, F.to_json(F.struct(*[F.col(f"`{c}`") for c in found.columns]))).limit(limit)
+
+
+def contains_point(df: DataFrame, lon: float, lat: float, limit: int | None = None, wkt: str = "geometry_wkt") -> DataFrame:
     """Geometries whose interior holds the point, with their planar ``distance``."""
     check_point(lon, lat)
     x, y = F.lit(float(lon)), F.lit(float(lat))
     found = _near(df, (lon, lat, lon, lat), wkt).where(g.contains_point(g.parse_wkt(F.col(wkt)), x, y))
     found = found.withColumn("distance", g.distance(g.parse_wkt(F.col(wkt)), x, y))
-    return found if limit is None else found.limit(limit)
+    return _first(found, limit)
 
 
 def within_radius(
-    df: DataFrame, lon: float, lat: float, km: float, limit: int | None = 100, wkt: str = "geometry_wkt",
+    df: DataFrame, lon: float, lat: float, km: float, limit: int | None = None, wkt: str = "geometry_wkt",
     tie: Sequence[str] = (), great_circle: bool = False,
 ) -> DataFrame:
     """Geometries within ``km`` (at 111 km per degree), nearest first, with ``distance_km``.
@@ -94,8 +101,8 @@ def within_radius(
     km_away = F.col("_degrees") * g.KM_PER_DEGREE
     if great_circle:
         km_away = haversine_km(F.get(g.vertices(g.parse_wkt(F.col(wkt))), F.lit(0)), x, y)
-    found = found.withColumn("distance_km", km_away).drop("_degrees").orderBy("distance_km", *tie)
-    return found if limit is None else found.limit(limit)
+    found = found.withColumn("distance_km", km_away).drop("_degrees")
+    return found.orderBy("distance_km", *tie) if limit is None else _first(found, limit, "distance_km", *tie)
 
 
 def haversine_km(point: Column, x: Column, y: Column) -> Column:
@@ -104,12 +111,12 @@ def haversine_km(point: Column, x: Column, y: Column) -> Column:
     return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * 2 * 6371.0088
 
 
-def within_bbox(df: DataFrame, box: Sequence[float], limit: int | None = 100, wkt: str = "geometry_wkt") -> DataFrame:
+def within_bbox(df: DataFrame, box: Sequence[float], limit: int | None = None, wkt: str = "geometry_wkt") -> DataFrame:
     """Geometries that meet the box (min lon, min lat, max lon, max lat); touching counts."""
     check_box(box)
     sides = tuple(F.lit(float(v)) for v in box)
     found = _near(df, box, wkt).where(g.intersects_box(g.parse_wkt(F.col(wkt)), sides))
-    return found if limit is None else found.limit(limit)
+    return _first(found, limit)
 
 
 def valid_probes(probes: DataFrame) -> DataFrame:

@@ -134,3 +134,11 @@ def test_range_join_against_all_pairs(spark):
     right = spark.createDataFrame(ranges, "r int, lo double, hi double")
     got = sorted((r["p"], r["r"]) for r in range_join(left, right, "v", "lo", "hi", width=1.0).collect())
     assert got == sorted((p, r) for p, v in points if v is not None for r, lo, hi in ranges if lo <= v <= hi)
+
+
+def test_spatial_searches_give_all_rows_and_a_fixed_first_part(spark):
+    df = spark.range(150).selectExpr("id", "'POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))' AS geometry_wkt")
+    for search in (lambda d, **x: sp.contains_point(d, 1, 1, **x), lambda d, **x: sp.within_radius(d, 1, 1, 50, **x), lambda d, **x: sp.within_bbox(d, [0, 0, 1, 1], **x)):
+        assert search(df).count() == 150
+        parts = [{r["id"] for r in search(d, limit=5).collect()} for d in (df, df.orderBy(F.desc("id")))]
+        assert parts[0] == parts[1] and len(parts[0]) == 5
