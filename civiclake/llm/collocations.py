@@ -45,25 +45,31 @@ PLAIN = bytes.maketrans(MARKS + b"\t", b"\n" * len(MARKS) + b" ")
 STEP = U64(0x9E3779B97F4A7C15)
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) - 1
+        return number
+
+
 class Words:
     """The words of some texts end to end, numbered from 1, with 0 after each piece."""
 
     def __init__(self, texts: list[str]):
         data = b"\n".join([x.encode() for x in texts]).lower().translate(PLAIN)
-        numbers: dict[bytes, int] = {b"": -1, b"\n": 0}
+        numbers = _Numbers({b"": -1, b"\n": 0})
         parts, start = [], 0
         while start < len(data):  # a few megabytes at a time, cut at a blank
             end = data.find(b" ", start + SLICE_CHARS)
             end = len(data) if end < 0 else end + 1
             tokens = data[start:end].replace(b"\n", b" \n ").split(b" ")
-            for word in set(tokens).difference(numbers):
-                numbers[word] = len(numbers) - 1
             found = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
             parts.append(found[found >= 0])
             start = end
         self.names = list(numbers)[2:]
         self.ids = np.concatenate([*parts, np.zeros(DEPTH, np.int32)])
-        self.hashes = np.concatenate([np.zeros(1, U64), hash_words(self.names)])
+        self.hashes = word_hashes(self.names)
 
     def suffixes(self, block: int = 1_000_000) -> Iterator[list[np.ndarray]]:
         """Blocks of suffixes as one array for each of their words; 0 after a piece's end."""
@@ -76,6 +82,11 @@ class Words:
                 yield columns
 
 
+def word_hashes(names: list[bytes]) -> np.ndarray:
+    """Hashes by word number; 0 for the end of a piece."""
+    return np.concatenate([np.zeros(1, U64), pd.util.hash_array(np.array(names, dtype=object), categorize=False)]) if names else np.zeros(1, U64)
+
+
 def lead_hashes(columns: list[np.ndarray], hashes: np.ndarray, lang: str) -> list[np.ndarray]:
     """Hashes of the first one, two ... words of each suffix, but for the last."""
     out, held = [], hash_words([lang])
@@ -218,7 +229,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bucket_chars: int = BUCKE
     docs = docs.filter("text <> ''")
     chars = docs.agg(F.sum(F.length("text").cast("long")).alias("n")).first()["n"] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * tasks, -(-chars // bucket_chars))
+    buckets = max(2 * tasks, -(-chars // bucket_chars))
     bits = spark.sparkContext.broadcast(crowded_leads(docs, buckets))
 
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +249,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bucket_chars: int = BUCKE
         out = []
         for lang, own in rows.groupby("lang", sort=False):
             names, columns, weights = unpack(own)
-            crowded = route(columns, np.concatenate([np.zeros(1, U64), hash_words(names)]), lang, bits.value)[1]
+            crowded = route(columns, word_hashes(names), lang, bits.value)[1]
             out.append((lang, "", 0, int(weights.sum()), False))
             for d, flags in enumerate(crowded):
                 if flags.any():  # this bucket's share of crowded leads, of any size
