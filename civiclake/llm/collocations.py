@@ -104,10 +104,10 @@ class Sorted:
     An equal partition holds the suffixes that agree in so many words; its weight is their count. Parts that weigh less than ``least`` are abandoned.
 
     ``pointer, words, weight``: a suffix of each equal partition, how many words agree, the weight. ``ends, end_weight``: a suffix for each different
-    whole suffix that was not abandoned, and its weight.
+    whole suffix that was not abandoned, and its weight; ``ends_only`` stops at single suffixes, whose longer partitions then go untold.
     """
 
-    def __init__(self, columns: list[np.ndarray], weights: np.ndarray, least: int = 1):
+    def __init__(self, columns: list[np.ndarray], weights: np.ndarray, least: int = 1, ends_only: bool = False):
         keys = np.stack(columns)
         order = np.argsort(columns[0], kind="stable")
         words = columns[0][order]
@@ -120,8 +120,7 @@ class Sorted:
             enough = weight >= least
             told = enough & equal
             found.append((order[starts[told]], depth[told], weight[told]))
-            # A single suffix of its kind needs no further step where nothing is abandoned.
-            done = enough & ((equal & (depth == DEPTH)) | ((sizes == 1) & (least <= 1)))
+            done = enough & ((equal & (depth == DEPTH)) | ((sizes == 1) & ends_only))
             ends.append((order[starts[done]], weight[done]))
             enough &= ~done
             order, sizes, depth = order[np.repeat(enough, sizes)], sizes[enough], depth[enough]
@@ -236,7 +235,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bucket_chars: int = BUCKE
         for part in parts:
             for lang, words in by_lang(part):
                 for columns in words.suffixes():
-                    own = Sorted(columns, np.ones(len(columns[0]), np.int64))
+                    own = Sorted(columns, np.ones(len(columns[0]), np.int64), ends_only=True)
                     columns = [c[own.ends] for c in columns]
                     key = route(columns, words.hashes, lang, bits.value)[0]
                     bucket = ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
