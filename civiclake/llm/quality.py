@@ -26,12 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiclake.llm.common import U64, hash_words
+from civiclake.llm.common import U64, batches, hash_words
 from civiclake.llm.suite import LLM
 
 LABELLED, POOL = 4_000, 2_000
 ROUNDS, GROWTH, SURE = 3, 200, 0.95
 WORD_BITS, FORM_BITS, PAGE_BITS = 17, 10, 9
+SLICE_CHARS, TABLE_WORDS = 300_000, 150_000  # what a task holds of texts and of words at a time
 STEPS, DECAY, CHANCE = 120, 0.5, 5.0
 META = "doc_id long, text string, lang string, source string, n_chars long"
 DIGIT = re.compile(r"[0-9]")
@@ -46,17 +47,17 @@ def form(word: str) -> str:
     return case + ("|" if word.isalpha() or not DIGIT.search(word) else "d|") + tail
 
 
-_words: dict[str, tuple[int, int]] = {}
+_words: dict[str, int] = {}
 
 
 def number_words(words: set[str]) -> None:
-    """Put feature numbers of new words (as itself, its form) into the task's table, which starts anew when full."""
-    if len(_words) > 400_000:
+    """Put feature numbers of new words (as itself in the high half, its form in the low one) into the task's table, which starts anew when full."""
+    if len(_words) > TABLE_WORDS:
         _words.clear()
     new = [w for w in words if w not in _words]
     plain = hash_words([w.lower().strip(".,;:!?\"'()*%&$#|") for w in new]) % U64(1 << WORD_BITS)
     forms = hash_words([form(w) for w in new]) % U64(1 << FORM_BITS) + U64(1 << WORD_BITS)
-    _words.update(zip(new, zip(plain.tolist(), forms.tolist())))
+    _words.update(zip(new, (plain << U64(32) | forms).tolist()))
 
 
 def text_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +66,9 @@ def text_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.array([last + 1]), np.array([1.0])
     counts = Counter(words)
-    pairs = np.array([_words[w] for w in counts], dtype=np.int64)
-    plain = np.unique(pairs[:, 0])
-    forms, place = np.unique(pairs[:, 1], return_inverse=True)
+    pairs = np.fromiter(map(_words.__getitem__, counts), np.int64, len(counts))
+    plain = np.unique(pairs >> 32)
+    forms, place = np.unique(pairs & 0xFFFFFFFF, return_inverse=True)
     share = np.bincount(place, np.fromiter(counts.values(), np.float64, len(counts))) * (4 / len(words))
     return np.concatenate([plain, forms, [last, last + 1]]), np.concatenate([np.ones(len(plain)), share, [4 * len(counts) / len(words), 1.0]])
 
@@ -237,8 +238,7 @@ def scorer(docs: DataFrame, models: dict):
     @F.pandas_udf("quality double, toxic double")
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         out = []
-        for start in range(0, len(text), 500):
-            some = slice(start, start + 500)
+        for some in batches(text.tolist(), SLICE_CHARS):
             views = views_of(pd.DataFrame({"text": text[some], "lang": lang[some], "source": source[some], "n_chars": n_chars[some]}))
             n = views[0].n
             out.append(np.column_stack([combined(m, views) if m else np.full(n, empty) for m, empty in ((shared.value["quality"], 1.0), (shared.value["toxic"], 0.0))]))
