@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         return wanted.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("data")).join(signed_groups, "id")
 
     rows = crowded(signed_groups.select("id", F.explode("bands").alias("key")))
-    known = linked(rows, items, lambda texts: [bag(x) for x in texts], lambda a, b: weighted_jaccard(a, b) >= similar).withColumnRenamed("id", "known")
+    known = linked(rows, items, lambda texts: [bag(x) for x in texts], lambda a, b: weighted_jaccard(a, b) >= similar, similar).withColumnRenamed("id", "known")
     class_of = cut(groups.join(known, groups["id"] == known["known"], "left").select("one", "two", F.coalesce("component", "id").alias("class_id")))
     found = own.join(class_of, ["one", "two"]).select("doc_id", "class_id")
     return found.union(signed.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))

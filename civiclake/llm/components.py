@@ -77,11 +77,12 @@ def crowded(keyed: DataFrame) -> DataFrame:
     return cut(keyed.join(hubs, "key").select("key", "id", "hub", "n"))
 
 
-def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable) -> DataFrame:
+def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, least: float | None = None) -> DataFrame:
     """Components of ids that share a band and are similar: id, component.
 
     ``rows`` are (key, id, hub, n) of keys with several ids. ``items_of(ids)`` gives (id, data, bands) for a table of ids, bands
-    being an array of long in fixed places that holds the id's keys (zero for none); ``prepare`` makes of a list of texts the sorted arrays that ``similar`` compares.
+    being an array of long in fixed places that holds the id's keys (zero for none); ``prepare`` makes of a list of texts what ``similar`` compares. If it makes sorted sets of 64-bit hashes, and ``similar`` asks for a Jaccard similarity of ``least``,
+    pairs whose sets are too different for it are told by counts before they are compared.
     A pair inside one component needs no comparison, so this takes two passes:
 
     1. Each id is compared with the hubs of its keys, each of them once.
@@ -103,7 +104,7 @@ def linked(rows: DataFrame, items_of: Callable[[DataFrame], DataFrame], prepare:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("n", "other")
     full = dealt.join(items, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = cut(full.select("key", "lo", "hi", "own", "component", "bands", "data").mapInPandas(_across(prepare, similar), "a long, b long"))
+    more = cut(full.select("key", "lo", "hi", "own", "component", "bands", "data").mapInPandas(_across(prepare, similar, least), "a long, b long"))
     if more.isEmpty():
         return known
     moved = cut(components(more)).toDF("component", "least")
@@ -149,7 +150,7 @@ def whole_runs(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _across(prepare, similar):
+def _across(prepare, similar, least):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["key", "lo", "hi"]
         for frame in whole_runs(parts, names):
@@ -159,7 +160,7 @@ def _across(prepare, similar):
             found_a, found_b = [], []
             for place, start, end in zip(places, starts.tolist(), [*starts[1:].tolist(), len(frame)]):
                 if end - start > 1:
-                    a, b = _passing(*place, *[x[start:end] for x in columns], prepare, similar)
+                    a, b = _passing(*place, *[x[start:end] for x in columns], prepare, similar, least)
                     found_a += a
                     found_b += b
             yield pd.DataFrame({"a": found_a, "b": found_b}, dtype="int64")
@@ -167,7 +168,32 @@ def _across(prepare, similar):
     return run
 
 
-def _passing(key, lo, hi, own, component, bands, data, prepare, similar) -> tuple[list[int], list[int]]:
+CELLS = 256  # parts of the space of hashes in which the elements of a set are counted
+
+
+def _profile(texts: list[str], prepare) -> tuple[np.ndarray, np.ndarray]:
+    """How many elements each text's set has in each cell, and in all."""
+    out = []
+    for some in batches(texts, 400_000):
+        sets = prepare(texts[some])
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        cell = (np.concatenate(sets).astype(np.uint64) >> np.uint64(56)).astype(np.int64)
+        out.append(np.bincount(np.repeat(np.arange(len(sets)) * CELLS, sizes) + cell, minlength=len(sets) * CELLS).reshape(-1, CELLS))
+    counts = np.concatenate(out)
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32), counts.sum(1)
+
+
+def _possible(counts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs can reach the similarity: two sets share in each cell no more than the smaller of their counts."""
+    out = np.empty(len(i), bool)
+    for start in range(0, len(i), 20_000):
+        a, b = i[start:start + 20_000], j[start:start + 20_000]
+        shared = np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64)
+        out[start:start + 20_000] = shared >= least * (sizes[a] + sizes[b] - shared) - 1e-6
+    return out
+
+
+def _passing(key, lo, hi, own, component, bands, data, prepare, similar, least) -> tuple[list[int], list[int]]:
     """Pairs of components that similar texts of a block pair connect, without those that earlier pairs connect."""
     names, component = np.unique(component, return_inverse=True)
     if len(names) == 1:
@@ -182,18 +208,27 @@ def _passing(key, lo, hi, own, component, bands, data, prepare, similar) -> tupl
     found_a, found_b = [], []
     prepared: dict[int, np.ndarray] = {}
     held = 0
-    root = list(range(component.max() + 1))
+    root = np.arange(component.max() + 1)
+    profile = None
 
     def top(x: int) -> int:
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
-        return x
+        return int(x)
 
     for start in range(0, len(row), 200_000):
         i, j = left[row[start:start + 200_000]], right[col[start:start + 200_000]]
         same = (bands[i] == bands[j]) & (bands[i] != 0)
         mine = bands[i, same.argmax(1)] == key  # each pair belongs to the first band it shares
         i, j, shared = i[mine], j[mine], same[mine].sum(1)
+        if not len(i):
+            continue
+        if least is not None and profile is None and len(i) > 4:
+            profile = _profile(data.tolist(), prepare)
+        if profile is not None:
+            may = _possible(*profile, i, j, least)
+            i, j, shared = i[may], j[may], shared[may]
         for x in np.argsort(-shared, kind="stable").tolist():
             p, q = int(i[x]), int(j[x])
             u, v = top(component[p]), top(component[q])

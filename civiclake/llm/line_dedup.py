@@ -179,15 +179,30 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"id": part["id"].to_numpy(np.int64), "line": np.array(part["line"].tolist(), dtype=object)})
 
         wanted = lines.select("id", "line").mapInPandas(candidates, "id long, line string").join(ids, "id", "left_semi")
-        return wanted.groupBy("id").agg(F.min("line").alias("line")).mapInPandas(lambda parts: map(_with_bands, parts), "id long, data string, bands array<long>")
+        return wanted.groupBy("id").agg(F.min("line").alias("line")).mapInPandas(_signed, "id long, data string, bands array<long>")
 
-    known = linked(rows, items, gram_sets, alike)
+    known = linked(rows, items, gram_sets, alike, SIMILAR)
     places = lines.select("id", "doc_id", "pos").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = cut(places.groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     named = known.filter("id <> component").union(kept.select(F.col("component").alias("id"), "component")).distinct()
     return cut(named.join(kept, "component").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")))
 
 
+def _without(text: pd.Series, ids: pd.Series, pos: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """Texts without the lines that stand at a place ``pos`` and have the id ``gone`` beside it."""
+    out = []
+    for whole, own, at, line in zip(text, ids, pos, gone):
+        if at is None or not len(at):
+            out.append(("", 0))
+            continue
+        at = np.asarray(at, dtype=np.int64)
+        here = at < len(own)
+        drop = np.zeros(len(own), bool)
+        drop[at[here][own[at[here]] == np.asarray(line, dtype=np.int64)[here]]] = True
+        out.append(("\n".join([x for x, d in zip(whole.split("\n"), drop.tolist()) if not d]), int(drop.sum())))
+    return pd.DataFrame(out, columns=["kept", "n_removed"])
+
+
 def dedup_lines(docs: DataFrame, counted: str | None = None) -> DataFrame:
     """All columns of ``docs`` (doc_id, text and any others), with the duplicate lines taken out of text; ``counted`` names a further column for their number."""
     spark = docs.sparkSession
@@ -207,11 +222,11 @@ def dedup_lines(docs: DataFrame, counted: str | None = None) -> DataFrame:
     hits = lines_of(plain.filter(changed)).join(found, "id").filter("doc_id <> first_doc or pos <> first_pos")
     gone = hits.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "id")).alias("gone")).withColumnRenamed("doc_id", "gone_doc")
     some = whole.filter(changed).join(gone, F.col("doc_id") == F.col("gone_doc"), "left")
-    none = F.expr("cast(array() as array<struct<pos:int,id:bigint>>)")
-    some = some.withColumn("gone", F.coalesce("gone", none))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", F.struct(i.alias("pos"), F.xxhash64(x).alias("id"))))
-    some = some.withColumn("kept", F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("row.text")))
-    some = some.select("row", "kept", (F.size(F.split("text", "\n")) - F.size(kept)).cast("long").alias("n_removed"))
+    ids = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))
+    without = F.pandas_udf(_without, "kept string, n_removed long")
+    some = some.withColumn("left", without("text", ids, F.col("gone.pos"), F.col("gone.id")))
+    kept = F.when(F.col("left.n_removed") > 0, F.col("left.kept")).otherwise(F.col("row.text"))
+    some = some.select("row", kept.alias("kept"), F.col("left.n_removed").alias("n_removed"))
     rest = whole.filter(~changed | F.col("doc_id").isNull()).select("row", F.col("row.text").alias("kept"), F.lit(0).cast("long").alias("n_removed"))
     columns = [F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
     return some.union(rest).select(*columns, *([F.col("n_removed").alias(counted)] if counted else []))
