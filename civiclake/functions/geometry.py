@@ -23,7 +23,7 @@ def geometry_type(wkt: Column) -> Column:
 def parse_wkt(wkt: Column) -> Column:
     """The components of a geometry; NULL for NULL."""
     def point(text: Column) -> Column:
-        numbers = F.split(F.btrim(text), r"\s+")
+        numbers = F.split(F.btrim(text, F.lit(" \t\r\n")), r"\s+")
         return F.struct(F.get(numbers, F.lit(0)).cast("double").alias("x"), F.get(numbers, F.lit(1)).cast("double").alias("y"))
 
     def rings(member: Column) -> Column:

@@ -7,6 +7,7 @@ them the box comes from the text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,26 +22,31 @@ BOX = ("minx", "miny", "maxx", "maxy")
 CELL_SIZES = tuple(0.01 * 4**k for k in range(9))
 
 
+class BadArgument(ValueError):
+    """A value that no answer can be given for. ``code`` is ``latitude``, ``longitude``, ``radius`` or ``box``."""
+
+    def __init__(self, code: str, value: object):
+        super().__init__(f"{code}: {value!r}")
+        self.code, self.value = code, value
+
+
 def check_point(lon: float, lat: float) -> None:
-    if not -90 <= lat <= 90:
-        raise ValueError(f"Latitude {lat} out of range (-90 to 90)")
-    if not -180 <= lon <= 180:
-        raise ValueError(f"Longitude {lon} out of range (-180 to 180)")
+    for code, value, most in (("latitude", lat, 90), ("longitude", lon, 180)):
+        if not abs(value) <= most:
+            raise BadArgument(code, value)
 
 
 def check_radius(km: float) -> None:
-    if km <= 0:
-        raise ValueError(f"Radius must be positive, got {km}")
+    if not km > 0:
+        raise BadArgument("radius", km)
 
 
 def check_box(box: Sequence[float]) -> None:
+    """Four values: the least longitude and latitude, then the greatest."""
     if len(box) != 4:
-        raise ValueError(f"A bounding box has 4 values (min lon, min lat, max lon, max lat), got {len(box)}")
-    for lon, lat in (box[:2], box[2:]):
-        if not -180 <= lon <= 180:
-            raise ValueError(f"Bounding box longitude {lon} out of range (-180 to 180)")
-        if not -90 <= lat <= 90:
-            raise ValueError(f"Bounding box latitude {lat} out of range (-90 to 90)")
+        raise BadArgument("box", tuple(box))
+    check_point(*box[:2])
+    check_point(*box[2:])
 
 
 def with_bounds(df: DataFrame, wkt: str = "geometry_wkt") -> DataFrame:
@@ -87,28 +93,44 @@ def within_radius(
     df: DataFrame, lon: float, lat: float, km: float, limit: int | None = None, wkt: str = "geometry_wkt",
     tie: Sequence[str] = (), great_circle: bool = False,
 ) -> DataFrame:
-    """Geometries within ``km`` (at 111 km per degree), nearest first, with ``distance_km``.
+    """Geometries within ``km``, nearest first, with ``distance_km``.
 
-    ``great_circle`` filters the same way but reports the haversine length to the first vertex.
+    Distances are planar, at 111 km per degree. With ``great_circle`` both the filter and the order go by the haversine length
+    to the nearest vertex (0 inside an area).
     """
     check_point(lon, lat)
     check_radius(km)
-    reach = km / g.KM_PER_DEGREE
     x, y = F.lit(float(lon)), F.lit(float(lat))
-    near = _near(df, (lon - reach, lat - reach, lon + reach, lat + reach), wkt)
-    away = g.distance(g.parse_wkt(F.col(wkt)), x, y)
-    found = keep_within(near, away, reach)
-    km_away = F.col("_degrees") * g.KM_PER_DEGREE
+    shape = g.parse_wkt(F.col(wkt))
     if great_circle:
-        km_away = haversine_km(F.get(g.vertices(g.parse_wkt(F.col(wkt))), F.lit(0)), x, y)
-    found = found.withColumn("distance_km", km_away).drop("_degrees")
+        length = F.array_min(F.transform(g.vertices(shape), lambda p: haversine_km(p, x, y)))
+        away = F.when(F.exists(shape, lambda c: c["kind"] == "area") & g.contains_point(shape, x, y), 0.0).otherwise(length)
+        found = keep_within(_near(df, _great_circle_box(lon, lat, km), wkt), away, km)
+        found = found.withColumnRenamed("_degrees", "distance_km")
+    else:
+        reach = km / g.KM_PER_DEGREE
+        found = keep_within(_near(df, (lon - reach, lat - reach, lon + reach, lat + reach), wkt), g.distance(shape, x, y), reach)
+        found = found.withColumn("distance_km", F.col("_degrees") * g.KM_PER_DEGREE).drop("_degrees")
     return found.orderBy("distance_km", *tie) if limit is None else _first(found, limit, "distance_km", *tie)
 
 
+EARTH_KM = 6371.0088
+
+
+def _great_circle_box(lon: float, lat: float, km: float) -> tuple[float, float, float, float]:
+    """A box that holds all points within ``km``; all longitudes where it would pass a pole or the date line."""
+    angle = km / EARTH_KM
+    low, high = lat - math.degrees(angle), lat + math.degrees(angle)
+    if low <= -90 or high >= 90 or angle >= math.pi / 2:
+        return -180.0, low, 180.0, high
+    across = math.degrees(math.asin(min(1.0, math.sin(angle) / math.cos(math.radians(lat))))) * (1 + 1e-12)
+    return (lon - across, low, lon + across, high) if -180 <= lon - across and lon + across <= 180 else (-180.0, low, 180.0, high)
+
+
 def haversine_km(point: Column, x: Column, y: Column) -> Column:
     lat1, lat2 = F.radians(point["y"]), F.radians(y)
     h = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin(F.radians(x - point["x"]) / 2), 2)
-    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * 2 * 6371.0088
+    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * 2 * EARTH_KM
 
 
 def within_bbox(df: DataFrame, box: Sequence[float], limit: int | None = None, wkt: str = "geometry_wkt") -> DataFrame:

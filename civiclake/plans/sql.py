@@ -627,3 +627,81 @@ SELECT event_type, COUNT(*) AS n, CAST(SUM(CAST(json_extract_string(props, '$.k'
 def json_props(t):
     return t.events.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"))
+
+
+# --- functions and statements that only free SQL has -----------------------------------------
+
+ZONES = """WITH zones AS (SELECT p_partkey AS id, p_partkey * 29 % 350 - 178 AS x0, p_partkey * 17 % 165 - 88 AS y0,
+  p_partkey * 29 % 350 - 178 + p_partkey % 7 + 2 AS x1, p_partkey * 17 % 165 - 88 + p_partkey % 5 + 3 AS y1 FROM "part")"""
+GAP = "sqrt(pow(greatest(x0 - 10, 10 - x1, 0), 2) + pow(greatest(y0 - 20, 20 - y1, 0), 2))"
+LINE_GAP = "CASE WHEN y1 >= -10 AND y0 <= -10 AND x1 >= 0 AND x0 <= 40 THEN 0 ELSE sqrt(pow(greatest(x0 - 40, 0 - x1, 0), 2) + pow(greatest(y0 + 10, -10 - y1, 0), 2)) END"
+
+
+@SQL.query("sql_spatial", f"""
+{ZONES} SELECT id, ROUND({GAP}, 6) AS away, x0 < -156.5 AND x1 > -156.5 AND y0 < -79 AND y1 > -79 AS holds, ROUND({LINE_GAP}, 6) AS from_line
+FROM zones WHERE {GAP} < 40 OR id % 3 = 0""")
+def sql_spatial(t):
+    """Rectangles as text, asked with spatial functions in a select list and in a condition."""
+    shapes = """, shapes AS (SELECT id, concat('POLYGON ((', x0, ' ', y0, ', ', x1, ' ', y0, ', ', x1, ' ', y1, ', ', x0, ' ', y1, ', ', x0, ' ', y0, '))') AS geometry_wkt FROM zones)"""
+    return run_sql(t.register("part"), f"""{ZONES}{shapes}
+SELECT id, ROUND(ST_Distance(ST_GeomFromText(geometry_wkt), ST_Point(10, 20)), 6) AS away,
+  ST_Contains(ST_GeomFromText(geometry_wkt), ST_Point(-156.5, -79)) AS holds,
+  ROUND(ST_Distance(ST_GeomFromText(geometry_wkt), 'LINESTRING (0 -10, 40 -10)'), 6) AS from_line
+FROM shapes WHERE ST_DISTANCE(geometry_wkt, ST_POINT(10, 20)) < 40 OR id % 3 = 0""", cap=None)
+
+
+EPOCHS = """SELECT event_type, COUNT(*) AS n, CAST(MIN(EPOCH(ts)) AS DOUBLE) AS first_second, CAST(floor(EPOCH(MAX(ts)) / 3600) AS BIGINT) AS last_hour,
+  CAST(SUM(CAST(floor(EPOCH(ts) / 86400) AS BIGINT)) AS BIGINT) AS days FROM "events" WHERE EPOCH(ts) > 1704100000 GROUP BY event_type"""
+
+
+@SQL.query("sql_epoch", EPOCHS)
+def sql_epoch(t):
+    return run_sql(t.register("events"), EPOCHS, cap=None)
+
+
+JSON_PATHS = """SELECT event_type, COUNT(*) AS n, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum,
+  COUNT(json_extract_string(props, '/k')) AS with_k, COUNT(json_extract_string(props, 'nothing')) AS with_nothing
+FROM "events" WHERE json_extract_string(props, 'k') <> '7' GROUP BY event_type"""
+
+
+@SQL.query("sql_json", JSON_PATHS)
+def sql_json(t):
+    return run_sql(t.register("events"), JSON_PATHS, cap=None)
+
+
+@SQL.query("sql_summarize", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, CAST(MIN({c}) AS VARCHAR) AS "min", CAST(MAX({c}) AS VARCHAR) AS "max", COUNT(*) AS "count",
+  ROUND(CAST(AVG({c}) AS DOUBLE), 6) AS avg, ROUND(CAST(STDDEV_SAMP({c}) AS DOUBLE), 6) AS std FROM orders WHERE o_orderstatus = 'F'""" for c in ("o_orderkey", "o_custkey", "o_totalprice")))
+def sql_summarize(t):
+    """The profile of a query, asked for as a statement."""
+    found = run_sql(t.register("orders"), "SUMMARIZE SELECT o_orderkey, o_custkey, o_totalprice FROM \"orders\" WHERE o_orderstatus = 'F'", cap=None)
+    return found.select("column_name", "min", "max", "count", F.round("avg", 6).alias("avg"), F.round("std", 6).alias("std"))
+
+
+ORDERED_LIST = """SELECT c_nationkey, string_agg(upper(c_name), '; ' ORDER BY c_acctbal DESC, c_custkey) AS richest, COUNT(*) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM "customer") AS ranked
+WHERE place <= 3 GROUP BY c_nationkey"""
+
+
+@SQL.query("sql_string_agg", ORDERED_LIST)
+def sql_string_agg(t):
+    """The dialect's ordered list, of at most three names a group."""
+    return run_sql(t.register("customer"), ORDERED_LIST, cap=None)
+
+
+PIVOTED = """SELECT * FROM (SELECT l_suppkey, l_returnflag, l_quantity FROM "lineitem")
+PIVOT (SUM(l_quantity) FOR l_returnflag IN ('A' AS flag_a, 'N' AS flag_n, 'R' AS flag_r))"""
+
+
+@SQL.query("sql_pivot", PIVOTED)
+def sql_pivot(t):
+    return run_sql(t.register("lineitem"), PIVOTED, cap=None)
+
+
+UNPIVOTED = """SELECT l_orderkey, l_linenumber, l_partkey, measure, amount FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_tax FROM "lineitem")
+UNPIVOT (amount FOR measure IN (l_discount, l_tax)) WHERE amount > 0.05"""
+
+
+@SQL.query("sql_unpivot", UNPIVOTED)
+def sql_unpivot(t):
+    return run_sql(t.register("lineitem"), UNPIVOTED, cap=None)

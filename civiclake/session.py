@@ -29,6 +29,16 @@ def session(app: str = "civiclake", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session beside the given one, with its options but with views and functions of its own."""
+    other = spark.newSession()
+    have = other.conf.getAll
+    for key, value in spark.conf.getAll.items():
+        if have.get(key) != value and other.conf.isModifiable(key):
+            other.conf.set(key, value)
+    return other
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder on the storage the cluster shares.
 

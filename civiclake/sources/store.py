@@ -96,14 +96,14 @@ class Store:
             raise KeyError(f"Resource {resource_id} is not landed; land it first.")
         return self.spark.read.parquet(row["path"])
 
-    def register_views(self, sql: str | None = None) -> list[str]:
-        """A temp view per landed table (that the statement mentions), so that SQL can name it."""
+    def register_views(self, sql: str | None = None, session: SparkSession | None = None) -> list[str]:
+        """A temp view per landed table (that the statement mentions), so that SQL can name it; in the given session or the store's own."""
         current = self._current()
         if sql is not None:
             current = current.where(F.contains(F.lit(sql), F.col("table_name")))
         rows = current.select("table_name", "path").collect()
         for row in rows:
-            self.spark.read.parquet(row["path"]).createOrReplaceTempView("`" + row["table_name"].replace("`", "``") + "`")
+            (session or self.spark).read.parquet(row["path"]).createOrReplaceTempView("`" + row["table_name"].replace("`", "``") + "`")
         return [row["table_name"] for row in rows]
 
     def remove(self, resource_id: str) -> bool:

@@ -25,7 +25,7 @@ from civiclake.operators import spatial as sp
 from civiclake.operators.freesql import RESULT_CAP, InvalidQuery, check_sql, run_sql, truncation_report
 from civiclake.operators.staleness import check_freshness
 from civiclake.portals import PORTALS, Portal, portals_frame
-from civiclake.session import work_dir
+from civiclake.session import own_session, work_dir
 from civiclake.sources.ingest import ingest
 from civiclake.sources.store import Store, utc_now
 
@@ -137,25 +137,27 @@ class Workspace:
         return q.describe_columns(self.table(resource_id), samples, sort)
 
     def sql(self, sql: str, cap: int | None = RESULT_CAP) -> DataFrame:
-        """Free SQL over the landed tables, by their table names."""
+        """Free SQL over the landed tables, by their table names, in a session beside the workspace's own."""
         check_sql(sql)
-        self.store.register_views(sql)
+        session = own_session(self.spark)
+        self.store.register_views(sql, session)
         try:
-            return run_sql(self.spark, sql, cap)
+            return run_sql(session, sql, cap)
         except Exception as exc:
             names = [r["table_name"] for r in self.store.registry().select("table_name").orderBy("table_name").limit(20).collect()]
-            raise InvalidQuery(f"{exc} [tables at hand, 20 at most: {', '.join(names)}]") from exc
+            raise InvalidQuery("engine", f"{exc} [tables at hand, 20 at most: {', '.join(names)}]") from exc
 
     def review(self, sql: str, now: Any = None) -> dict[str, DataFrame]:
         """What to know about a query's result: size and cap, warnings, and sources."""
-        whole = self.sql(sql, cap=None)
-        report = truncation_report(whole).persist()
+        path = work_dir(self.spark, "review")
+        truncation_report(self.sql(sql, cap=None)).write.parquet(path)  # once for both uses
+        report = self.spark.read.parquet(path)
         log = report.select(F.lit(1).alias("query_id"), F.lit(sql).alias("sql"), F.col("returned").alias("result_rows"))
         registry = self.store.registry()
         named = self.spark.range(1).select(F.explode(table_names(F.lit(sql))).alias("table_name")).distinct()
-        sizes = reg.registry_by_tables(named, registry).select("table_name", "row_count").collect()
+        sizes = reg.registry_by_tables(named, registry).select("table_name", "row_count", "resource_id").collect()
         stats = self.spark.createDataFrame(
-            [(r["table_name"], r["row_count"], self.spark.table(f"`{r['table_name']}`").columns) for r in sizes],
+            [(r["table_name"], r["row_count"], self.store.table(r["resource_id"]).columns) for r in sizes],
             "table_name string, row_count long, columns array<string>")
         return {"size": report, "warnings": q.query_warnings(log, stats), "sources": q.provenance(log, registry, now or utc_now())}
 
@@ -189,21 +191,14 @@ class Workspace:
             indexes.append(self.spark.read.parquet(path))
         return cl.validate_claims(asked, reduce(DataFrame.unionByName, indexes), self.store.registry())
 
-    def spatial(
-        self, resource_id: str, operation: str, longitude: float | None = None, latitude: float | None = None,
-        radius_km: float | None = None, bbox: Sequence[float] | None = None, limit: int | None = None,
-    ) -> DataFrame:
-        """``contains_point``, ``within_radius`` or ``within_bbox`` on a landed geographic table."""
-        df = self.table(resource_id)
-        point = longitude is not None and latitude is not None
-        if point:
-            sp.check_point(longitude, latitude)
-        if operation == "contains_point" and point:
-            return sp.contains_point(df, longitude, latitude, limit)
-        if operation == "within_radius" and point and radius_km is not None:
-            return sp.within_radius(df, longitude, latitude, radius_km, limit)
-        if operation == "within_bbox" and bbox:
-            return sp.within_bbox(df, bbox, limit)
-        raise ValueError(
-            f"Invalid operation {operation!r} or missing values: contains_point (longitude, latitude), "
-            "within_radius (longitude, latitude, radius_km), within_bbox (bbox)")
+    def containing(self, resource_id: str, lon: float, lat: float, limit: int | None = None) -> DataFrame:
+        """Features of a geographic table whose interior holds the point."""
+        return sp.contains_point(self.table(resource_id), lon, lat, limit)
+
+    def nearby(self, resource_id: str, lon: float, lat: float, km: float, limit: int | None = None) -> DataFrame:
+        """Features within ``km`` of the point, nearest first."""
+        return sp.within_radius(self.table(resource_id), lon, lat, km, limit)
+
+    def in_box(self, resource_id: str, box: Sequence[float], limit: int | None = None) -> DataFrame:
+        """Features that meet the box."""
+        return sp.within_bbox(self.table(resource_id), box, limit)

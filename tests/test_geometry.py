@@ -77,13 +77,15 @@ def test_types_and_bounds(spark):
 
 def test_arguments(spark):
     df = spark.createDataFrame([("POINT (1 2)",)], "geometry_wkt string")
-    for call, message in [
-        (lambda: sp.contains_point(df, -79.0, 9999), "Latitude"), (lambda: sp.contains_point(df, 999, 43.0), "Longitude"),
-        (lambda: sp.within_radius(df, -79.0, 43.0, -5), "positive"), (lambda: sp.within_bbox(df, [1, 2, 3]), "4 values"),
-        (lambda: sp.within_bbox(df, [0, 0, 200, 1]), "longitude"), (lambda: sp.within_bbox(df, [0, -100, 20, 1]), "latitude"),
+    for call, code, value in [
+        (lambda: sp.contains_point(df, -79.0, 9999), "latitude", 9999), (lambda: sp.contains_point(df, 999, 43.0), "longitude", 999),
+        (lambda: sp.within_radius(df, -79.0, 43.0, -5), "radius", -5), (lambda: sp.within_bbox(df, [1, 2, 3]), "box", (1, 2, 3)),
+        (lambda: sp.within_bbox(df, [0, 0, 200, 1]), "longitude", 200), (lambda: sp.within_bbox(df, [0, -100, 20, 1]), "latitude", -100),
+        (lambda: sp.contains_point(df, float("nan"), 0.0), "longitude", None),
     ]:
-        with pytest.raises(ValueError, match=message):
+        with pytest.raises(sp.BadArgument) as caught:
             call()
+        assert caught.value.code == code and (value is None or caught.value.value == value)
 
 
 def test_radius_order_and_limit(spark):
@@ -94,6 +96,24 @@ def test_radius_order_and_limit(spark):
     assert km == pytest.approx(111.195, abs=0.01)
 
 
+def test_great_circle_filters_and_sorts_by_one_length(spark):
+    rnd = random.Random(8)
+    places = [(i, rnd.uniform(-180, 180), rnd.uniform(-89, 89)) for i in range(400)] + [(400 + i, rnd.uniform(-2, 2) + 178, 70 + rnd.uniform(-3, 3)) for i in range(50)]
+    df = sp.with_bounds(spark.createDataFrame([(i, f"POINT ({x!r} {y!r})") for i, x, y in places], "id int, geometry_wkt string"))
+
+    def length(x, y, lon, lat):
+        h = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2
+        return 2 * sp.EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+    for lon, lat, km in ((179.0, 70.0, 300.0), (0.0, 60.0, 2500.0), (10.0, 89.0, 1500.0), (-40.0, -5.0, 4000.0)):
+        got = [(r["id"], r["distance_km"]) for r in sp.within_radius(df, lon, lat, km, great_circle=True, tie=["id"]).collect()]
+        want = sorted((length(x, y, lon, lat), i) for i, x, y in places if length(x, y, lon, lat) <= km)
+        assert [i for i, _ in got] == [i for _, i in want]
+        assert [d for _, d in got] == pytest.approx([d for d, _ in want])
+    area = spark.createDataFrame([(1, HOLE), (2, None), (3, "POINT EMPTY")], "id int, geometry_wkt string")
+    assert [tuple(r)[::2] for r in sp.within_radius(area, 1, 1, 1, great_circle=True).collect()] == [(1, 0.0)]
+
+
 def test_spatial_join_against_all_pairs(spark):
     rnd = random.Random(5)
     boxes = []

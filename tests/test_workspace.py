@@ -92,13 +92,20 @@ def test_a_name_belongs_to_one_resource_and_refresh_keeps_its_period(spark, tmp_
 
 
 def test_spatial(ws):
-    assert [r["zone"] for r in ws.spatial("z-1", "contains_point", 5, 1).collect()] == [4]
-    assert [r["zone"] for r in ws.spatial("z-1", "within_radius", 5, 3, radius_km=112).collect()] == [4]
-    assert sorted(r["zone"] for r in ws.spatial("z-1", "within_bbox", bbox=[4, 1, 6, 1.5]).collect()) == [2, 4, 6]
-    with pytest.raises(ValueError, match="Invalid operation"):
-        ws.spatial("z-1", "touches", 1, 1)
-    with pytest.raises(ValueError, match="Latitude"):
-        ws.spatial("z-1", "contains_point", 1, 100)
+    assert [r["zone"] for r in ws.containing("z-1", 5, 1).collect()] == [4]
+    assert [r["zone"] for r in ws.nearby("z-1", 5, 3, 112).collect()] == [4]
+    assert sorted(r["zone"] for r in ws.in_box("z-1", [4, 1, 6, 1.5]).collect()) == [2, 4, 6]
+    with pytest.raises(ValueError, match="latitude"):
+        ws.containing("z-1", 1, 100)
+
+
+def test_free_sql_leaves_the_session_alone(ws):
+    table = ws.store.registry().where("resource_id = 'p-1'").first()["table_name"]
+    options, views = ws.spark.conf.getAll, {t.name for t in ws.spark.catalog.listTables()}
+    assert ws.sql(f'SELECT ST_X(ST_POINT(permits, 1)) AS x FROM "{table}" ORDER BY 1 LIMIT 1').count() == 1
+    assert ws.sql(f'SUMMARIZE "{table}"').count() == 3
+    assert ws.spark.conf.getAll == options and {t.name for t in ws.spark.catalog.listTables()} == views
+    assert not ws.spark.catalog.functionExists("st_point")
 
 
 def test_removal(ws):
