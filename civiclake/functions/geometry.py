@@ -134,22 +134,29 @@ def distance(geometry: Column, x: Column, y: Column) -> Column:
     )))
 
 
-def intersects_box(geometry: Column, box: tuple[Column, Column, Column, Column]) -> Column:
-    """True if the geometry meets the box; touching counts."""
+def _segment_meets(s: Column, box: tuple[Column, Column, Column, Column]) -> Column:
     minx, miny, maxx, maxy = box
+    overlap = (
+        (F.least(s["x1"], s["x2"]) <= maxx) & (F.greatest(s["x1"], s["x2"]) >= minx)
+        & (F.least(s["y1"], s["y2"]) <= maxy) & (F.greatest(s["y1"], s["y2"]) >= miny)
+    )
+    corners = [side(s, cx, cy) for cx in (minx, maxx) for cy in (miny, maxy)]
+    return overlap & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
 
-    def in_box(p: Column) -> Column:
-        return p["x"].between(minx, maxx) & p["y"].between(miny, maxy)
 
-    def meets(s: Column) -> Column:
-        overlap = (
-            (F.least(s["x1"], s["x2"]) <= maxx) & (F.greatest(s["x1"], s["x2"]) >= minx)
-            & (F.least(s["y1"], s["y2"]) <= maxy) & (F.greatest(s["y1"], s["y2"]) >= miny)
-        )
-        corners = [side(s, cx, cy) for cx in (minx, maxx) for cy in (miny, maxy)]
-        return overlap & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+def _point_in(p: Column, box: tuple[Column, Column, Column, Column]) -> Column:
+    minx, miny, maxx, maxy = box
+    return p["x"].between(minx, maxx) & p["y"].between(miny, maxy)
+
 
+def edge_meets_box(geometry: Column, box: tuple[Column, Column, Column, Column]) -> Column:
+    """True if a point, a line or the edge of an area meets the box; touching counts."""
+    return F.exists(geometry, lambda c: F.exists(c["points"], lambda p: _point_in(p, box)) | F.exists(c["segments"], lambda s: _segment_meets(s, box)))
+
+
+def intersects_box(geometry: Column, box: tuple[Column, Column, Column, Column]) -> Column:
+    """True if the geometry meets the box; touching counts."""
     return F.exists(geometry, lambda c: (
-        F.when(c["kind"] == "point", F.exists(c["points"], in_box))
-        .otherwise(F.exists(c["segments"], meets) | ((c["kind"] == "area") & _encloses(c, minx, miny)))
+        F.when(c["kind"] == "point", F.exists(c["points"], lambda p: _point_in(p, box)))
+        .otherwise(F.exists(c["segments"], lambda s: _segment_meets(s, box)) | ((c["kind"] == "area") & _encloses(c, box[0], box[1])))
     ))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from civiclake.functions import geometry as g
 from civiclake.operators import spatial as sp
+from civiclake.operators.cover import count_in_shapes
+from civiclake.operators.nearest_join import nearest_k_join
 from civiclake.plans.fixtures import GEO_POINTS, GEO_POLYS, geo_points, geo_polys
 from civiclake.plans.suite import Suite
 
@@ -118,3 +120,34 @@ def radius_join(t):
     points = geo_points(t).select(F.col("id").alias("point_id"), "lon", "lat")
     polys = geo_polys(t).select(F.col("id").alias("poly_id"), "geometry_wkt")
     return sp.spatial_join(points, polys, within_km=200).select("point_id", "poly_id", F.round("distance_km", 6).alias("distance_km"))
+
+
+@PLACES.query("count_in_shapes", f"""
+SELECT r.id AS poly_id, COUNT(p.id) AS points FROM {GEO_POLYS} r LEFT JOIN {GEO_POINTS} p ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1 GROUP BY r.id""")
+def counted_in_shapes(t):
+    """Points per shape by quadtree cover: a row per shape, however many points there are."""
+    return count_in_shapes(geo_points(t).select("lon", "lat"), geo_polys(t).select(F.col("id").alias("poly_id"), "geometry_wkt"), "poly_id")
+
+
+@PLACES.query("nearest_k_join", f"""
+SELECT probe_id, CAST(rank AS INTEGER) AS rank, target_id, ROUND(d * 111.0::DOUBLE, 6) AS distance_km FROM (
+ SELECT p.id AS probe_id, r.id AS target_id, sqrt(pow(r.x0 - p.lon, 2) + pow(r.y0 - p.lat, 2)) AS d,
+ row_number() OVER (PARTITION BY p.id ORDER BY sqrt(pow(r.x0 - p.lon, 2) + pow(r.y0 - p.lat, 2)), r.id) AS rank
+ FROM {GEO_POINTS} p CROSS JOIN {GEO_POLYS} r) WHERE rank <= 5""")
+def nearest_joined(t):
+    """The five nearest rectangle corners of every customer's point."""
+    probes = geo_points(t).select(F.col("id").alias("probe_id"), "lon", "lat")
+    targets = geo_polys(t).select(F.col("id").alias("target_id"), F.col("x0").alias("lon"), F.col("y0").alias("lat"))
+    return nearest_k_join(probes, targets, 5, "probe_id", "target_id").withColumn("distance_km", F.round("distance_km", 6))
+
+
+@PLACES.query("nearest_k_within", f"""
+SELECT probe_id, CAST(rank AS INTEGER) AS rank, target_id, ROUND(d * 111.0::DOUBLE, 6) AS distance_km FROM (
+ SELECT p.id AS probe_id, r.id AS target_id, sqrt(pow(r.x0 - p.lon, 2) + pow(r.y0 - p.lat, 2)) AS d,
+ row_number() OVER (PARTITION BY p.id ORDER BY sqrt(pow(r.x0 - p.lon, 2) + pow(r.y0 - p.lat, 2)), r.id) AS rank
+ FROM {GEO_POINTS} p CROSS JOIN {GEO_POLYS} r WHERE sqrt(pow(r.x0 - p.lon, 2) + pow(r.y0 - p.lat, 2)) <= 555 / 111.0::DOUBLE) WHERE rank <= 5""")
+def nearest_within(t):
+    """The same within 555 km: many points have fewer than five."""
+    probes = geo_points(t).select(F.col("id").alias("probe_id"), "lon", "lat")
+    targets = geo_polys(t).select(F.col("id").alias("target_id"), F.col("x0").alias("lon"), F.col("y0").alias("lat"))
+    return nearest_k_join(probes, targets, 5, "probe_id", "target_id", within_km=555).withColumn("distance_km", F.round("distance_km", 6))
