@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,25 +48,56 @@ def profile(df: DataFrame) -> DataFrame:
     return out
 
 
-def repeated_rows(df: DataFrame) -> DataFrame:
-    """Each tuple that occurs more than once, with how often. NULLs compare equal."""
+MAP_BITS = 26  # a bit per hash prefix: 8 MB, whatever the number of rows
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """Comparable forms of all columns in ``row``, and two 64-bit hashes of them."""
     keys = [
         F.to_json(f"`{f.name}`").alias(f.name)
         if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    rows = df.select(F.struct(*keys).alias("row"))
+    # A null leaves a hash as it is; beside each value stands whether it is there.
+    there = [F.col("row")[f.name].isNull() for f in df.schema.fields]
+    return rows.withColumns({"one": F.xxhash64("row", *there), "two": F.xxhash64(F.lit(2), "row", *there)})
+
+
+def _repeats(keyed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows whose hash may be in ``counts``: those whose bit is set in a map of fixed size that every task holds."""
+    def place(one: Column) -> Column:
+        return F.shiftrightunsigned(one, 64 - MAP_BITS)
+
+    maps = counts.groupBy(F.shiftright(place(F.col("one")), 15).alias("block")).agg(
+        F.bitmap_construct_agg(place(F.col("one")).bitwiseAND(F.lit(32767))).alias("bits"))
+    bit = place(F.col("one")).bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = keyed.withColumn("block", F.shiftright(place(F.col("one")), 15)).join(F.broadcast(maps), "block")  # 2,048 rows of 4 kB at most
+    return marked.where(F.call_function("getbit", byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("block", "bits")
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """``row`` and ``copies`` of each tuple that occurs more than once.
+
+    Two hashes of a row are counted first; whole rows are only shuffled where a hash occurs twice, and then compared by value.
+    """
+    keyed = _keyed(df)
+    twice = keyed.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _repeats(keyed, twice).groupBy("row").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """Each tuple that occurs more than once, with how often in ``copies``. NULLs compare equal."""
+    return _repeated(df).select("row.*", "copies")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """How many rows, all members counted, have a twin."""
-    return repeated_rows(df).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("duplicate_rows"))
+    return _repeated(df).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("duplicate_rows"))
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """Row count and duplicate rows, from one grouped pass."""
-    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    return counted.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("_copies") > 1, F.col("_copies"))), F.lit(0)).alias("duplicate_rows"),
-    )
+    """Row count and duplicate rows."""
+    twins = duplicate_rows(df).select("duplicate_rows").scalar()
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select("row_count", twins.alias("duplicate_rows"))

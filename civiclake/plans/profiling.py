@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from civiclake.operators.profile import duplicate_rows, profile, quality_report, repeated_rows
 from civiclake.operators.quantiles import exact_quantiles
+from civiclake.operators.statistics import profile_merged, update_statistics
 from civiclake.operators.typing_repair import detect_numeric_strings, infer_types, repair_numeric
 from civiclake.plans.fixtures import DUP_ROWS, MESSY, dup_rows, messy
 from civiclake.plans.suite import Suite
+from civiclake.session import work_dir
 
 PROFILING = Suite()
 
+EVENT_COLUMNS = ["event_id", "user_id", "event_type", "value", "props"]
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -84,10 +87,23 @@ def profile_quantiles(t):
     return exact_quantiles(t.lineitem.select(*NUMERIC), NUMERIC, [0.25, 0.5, 0.75]).withColumn("quantile", F.round("quantile", 6))
 
 
-@PROFILING.query("profile_events")
+@PROFILING.query("profile_events", union("""
+SELECT '{c}' AS column_name, CAST(MIN({c}) AS VARCHAR) AS "min", CAST(MAX({c}) AS VARCHAR) AS "max", COUNT(*) AS "count",
+ ROUND((COUNT(*) - COUNT({c})) * 100 / COUNT(*), 2) AS null_percentage, true AS unique_close, true AS quartiles_close FROM events""", EVENT_COLUMNS))
 def profile_events(t):
-    """The whole profile row, estimates included (so without an exact twin)."""
-    return profile(t.events)
+    """The whole profile row of each column; estimates are compared with exact values."""
+    found = profile(t.events.select(*EVENT_COLUMNS))
+    exact = t.events.agg(*[F.countDistinct(c).alias(c) for c in EVENT_COLUMNS]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in EVENT_COLUMNS])))
+    numbers = ["event_id", "user_id", "value"]
+    ends = exact_quantiles(t.events, numbers, [0.2, 0.3, 0.45, 0.55, 0.7, 0.8]).groupBy(F.col("column").alias("column_name")).agg(
+        F.map_from_entries(F.collect_list(F.struct("prob", "quantile"))).alias("q"))
+    inside = F.lit(True)
+    for name, low, high in (("q25", 0.2, 0.3), ("q50", 0.45, 0.55), ("q75", 0.7, 0.8)):
+        inside &= F.col(name).try_cast("double").between(F.col("q")[F.lit(low)], F.col("q")[F.lit(high)])
+    return found.join(exact, "column_name").join(ends, "column_name", "left").select(
+        "column_name", "min", "max", "count", "null_percentage", (F.abs(F.col("approx_unique") - F.col("n")) <= 0.15 * F.col("n")).alias("unique_close"),
+        F.when(F.col("q").isNull(), True).otherwise(inside).alias("quartiles_close"))
 
 
 @PROFILING.query("profile_repaired", f"""
@@ -117,3 +133,25 @@ SELECT COUNT(*) AS row_count, COUNT(*) FILTER (WHERE c > 1) AS duplicate_rows FR
 (SELECT COUNT(*) OVER (PARTITION BY l_partkey, l_linenumber, l_returnflag, q) AS c FROM {DUP_ROWS})""")
 def quality(t):
     return quality_report(dup_rows(t))
+
+
+@PROFILING.query("profile_merged", union("""
+SELECT '{c}' AS column_name, 'double' AS column_type, CAST(MIN({c}) AS DOUBLE) AS low, CAST(MAX({c}) AS DOUBLE) AS high, COUNT(*) AS "count",
+ true AS mean_close, true AS spread_close, true AS unique_close, true AS middle_close FROM lineitem""", NUMERIC))
+def merged(t):
+    """lineitem landed in three steps; each step reads only its new files, and the profile only the statistics."""
+    folder = work_dir(t.spark, "statistics")
+    rows = t.lineitem.select("l_orderkey", *NUMERIC)
+    for step in range(3):
+        rows.where(F.col("l_orderkey") % 3 == step).drop("l_orderkey").write.mode("append").parquet(f"{folder}/table")
+        update_statistics(t.spark, f"{folder}/table", f"{folder}/statistics")
+    found = profile_merged(t.spark, f"{folder}/table", f"{folder}/statistics")
+    # Against exact values: means and deviations but for rounding, distinct counts within 5 %, the middle between the exact 45 % and 55 % quantiles.
+    exact = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in NUMERIC])))
+    distinct = exact.groupBy("column_name").agg(F.countDistinct("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("spread"))
+    ends = exact_quantiles(rows, NUMERIC, [0.45, 0.55]).groupBy(F.col("column").alias("column_name")).agg(F.min("quantile").alias("a"), F.max("quantile").alias("b"))
+    return found.join(distinct, "column_name").join(ends, "column_name").select(
+        "column_name", "column_type", F.col("min").cast("double").alias("low"), F.col("max").cast("double").alias("high"), "count",
+        (F.abs(F.col("avg") - F.col("mean")) <= 1e-9 * F.col("mean")).alias("mean_close"),
+        (F.abs(F.col("std") - F.col("spread")) <= 1e-9 * F.col("spread")).alias("spread_close"),
+        (F.abs(F.col("approx_unique") - F.col("n")) <= 0.05 * F.col("n")).alias("unique_close"), F.col("q50").between(F.col("a"), F.col("b")).alias("middle_close"))
