@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from civiclake.functions.names import bare_id, id_portal
 from civiclake.operators.ordering import sort_columns
+from civiclake.operators.skew import spread_join
 from civiclake.portals import PORTALS, Portal, keys
 
 
@@ -294,9 +295,9 @@ def resolve_ids(requests: DataFrame, datasets: DataFrame, portals: Sequence[Port
     names = F.array(*[F.lit(k) for k in keys(portals)])
     wanted = portal_rank(F.col("wanted_portal"), portals)
     rank = F.when(F.col("wanted_portal").isNull(), F.get("ranks", F.lit(0))).when(F.array_contains("ranks", wanted), wanted)
+    asked = requests.withColumns({"wanted_portal": id_portal(F.col("request"), portals), "bare_id": bare_id(F.col("request"), portals)})
     return (
-        requests.withColumns({"wanted_portal": id_portal(F.col("request"), portals), "bare_id": bare_id(F.col("request"), portals)})
-        .join(homes, "bare_id", "left")
+        spread_join(asked, homes, ["bare_id"])
         .withColumn("portal", F.get(names, (rank - 1).cast("int")))
         .withColumn("found", F.col("portal").isNotNull())
         .withColumn("tried", F.when(~F.col("found"), F.coalesce("wanted_portal", F.lit(", ".join(keys(portals))))))
@@ -323,16 +324,15 @@ def related_datasets(datasets: DataFrame, sources: DataFrame | None = None, limi
         return rows.withColumn("place", place).where(F.col("place") <= n).drop("place")
 
     members = datasets.select("portal", "id", "metadata_modified", F.explode(F.array_distinct("tags")).alias("tag"))
+    tagged = source.select("portal", "source_id", F.explode(F.array_distinct("source_tags")).alias("tag"))
     by_tag = (
-        source.select("portal", "source_id", F.explode(F.array_distinct("source_tags")).alias("tag"))
-        .join(newest(members, "tag", limit + 1), ["portal", "tag"])
+        spread_join(tagged, newest(members, "tag", limit + 1), ["portal", "tag"], "inner")
         .where(F.col("id") != F.col("source_id"))
         .select("portal", "source_id", "id", "metadata_modified", F.lit(0).alias("step")).distinct()
     )
     in_org = datasets.where(F.col("org_name") != "").select("portal", "id", "metadata_modified", "org_name")
     by_org = (
-        source.select("portal", "source_id", "org_name")
-        .join(newest(in_org, "org_name", 2 * limit + 1), ["portal", "org_name"])
+        spread_join(source.select("portal", "source_id", "org_name"), newest(in_org, "org_name", 2 * limit + 1), ["portal", "org_name"], "inner")
         .where(F.col("id") != F.col("source_id"))
         .select("portal", "source_id", "id", "metadata_modified", F.lit(1).alias("step"))
     )

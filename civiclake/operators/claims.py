@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from civiclake.functions import statements as st
 from civiclake.functions.numbers import to_double
 from civiclake.operators.query import audit_sql
+from civiclake.operators.skew import spread_join
 
 # What is a fact in a claim, and how closely a number must agree.
 PERCENTAGE = r"(?U)(\d[\d,]*\.?\d*)\s*%"
@@ -22,7 +23,6 @@ NUMBER = r"(?U)(?=\d)(?<![%\w])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d+)(?![%\
 QUOTED = r"""["']([^"']+)["']"""
 RELATIVE = 0.005
 ABSOLUTE = 0.5
-LONGEST_CLAIM = 10_000
 
 NUMERIC_KINDS = ("percentage", "integer", "float")
 
@@ -169,7 +169,7 @@ def match_facts(facts: DataFrame, index: DataFrame, key: str = "result_id") -> D
     by 100; strings equal after normalising.
     """
     own = list(facts.columns)
-    return _look_up(_probes(facts), index, key).groupBy(*own).agg(F.min("column").alias("found_in"))
+    return _look_up(_probes(facts), index, key, facts).groupBy(*own).agg(F.min("column").alias("found_in"))
 
 
 def _probes(facts: DataFrame, extra: Column | None = None) -> DataFrame:
@@ -202,12 +202,12 @@ def _probes(facts: DataFrame, extra: Column | None = None) -> DataFrame:
     return both.select(*facts.columns, F.inline(by_kind))
 
 
-def _look_up(probes: DataFrame, index: DataFrame, key: str) -> DataFrame:
+def _look_up(probes: DataFrame, index: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     """Left join of probes with the index, reduced to one row per (key, way, at).
 
     A probe meets at most one index row, so the join keeps the size of its left side
-    however often a value or a result is asked for; a crowded key there is one that
-    adaptive execution splits. ``column`` is where the probe was found, else NULL.
+    however often a value or a result is asked for. Results that many rows of ``asked`` are about
+    are dealt over several tasks, and their reduced index rows with them. ``column`` is where the probe was found, else NULL.
     """
     num = F.col("num")
 
@@ -227,21 +227,21 @@ def _look_up(probes: DataFrame, index: DataFrame, key: str) -> DataFrame:
     )
     column = F.when((F.col("way") != "near") | close(F.col("least.num"), F.col("wanted")), F.col("least.column")).when(
         close(F.col("most.num"), F.col("wanted")), F.col("most.column"))
-    met = probes.join(held, [key, "way", "at"], "left").withColumn("column", column)
+    met = spread_join(probes, held, [key, "way", "at"], heavy_on=[key], counted=asked).withColumn("column", column)
     return met.drop("way", "at", "wanted", "least", "most")
 
 
 # --- verdicts -----------------------------------------------------------------------
 
-def claim_verdicts(claims: DataFrame, index: DataFrame, key: str = "result_id") -> DataFrame:
+def claim_verdicts(claims: DataFrame, index: DataFrame, key: str = "result_id", longest: int | None = None) -> DataFrame:
     """Per claim: facts, facts found, and ``claim_valid`` (true, false or NULL).
 
-    NULL: no facts, nothing in the result, a claim too long, or only numbers missing
+    NULL: no facts, nothing in the result, a claim of more than ``longest`` characters (any length if None), or only numbers missing
     while something else was found (they may be derived). A claim whose statement the
     audit rejects is false. Claims are read once: a probe for the mere presence of rows
     keeps those without facts.
     """
-    usable = F.length("claim") <= LONGEST_CLAIM
+    usable = F.lit(True) if longest is None else F.length("claim") <= longest
     audited = audit_sql(claims) if "sql" in claims.columns else claims.withColumn("verdict", F.lit("ok"))
     texts = audited.select(
         "claim_id", key, F.when(usable, F.col("claim")).otherwise("").alias("claim"), usable.alias("usable"),
@@ -252,13 +252,16 @@ def claim_verdicts(claims: DataFrame, index: DataFrame, key: str = "result_id")
     # The rows probe carries the first fact's place, so it is told apart by its way.
     asked = probes.withColumn("about_rows", F.col("way") == "rows")
     fact_found = found & ~F.col("about_rows")
-    counted = _look_up(asked, index, key).groupBy("claim_id", key).agg(
+    # A fact first, from its several probes, then the claim: no list of facts is gathered, so a claim may be of any length.
+    facts_met = _look_up(asked, index, key, texts).groupBy("claim_id", key, "position").agg(
+        F.first("usable").alias("usable"), F.first("allowed").alias("allowed"), F.first("kind").alias("kind"),
+        F.bool_or(fact_found).alias("found"), F.bool_or(F.col("about_rows") & found).alias("rows_found"))
+    counted = facts_met.groupBy("claim_id", key).agg(
         F.first("usable").alias("usable"), F.first("allowed").alias("allowed"),
         F.coalesce(F.max("position") + 1, F.lit(0)).alias("n_facts"),
-        # Places of found facts: no more than fit in one claim of bounded length.
-        F.size(F.collect_set(F.when(fact_found, F.col("position")))).alias("n_found"),
-        F.bool_or(F.col("about_rows") & found).alias("has_rows"),
-        F.bool_or((F.col("kind") == "string") & ~F.col("about_rows") & ~found).alias("string_missing"),
+        F.count_if("found").cast("int").alias("n_found"),
+        F.coalesce(F.bool_or("rows_found"), F.lit(False)).alias("has_rows"),
+        F.bool_or((F.col("kind") == "string") & ~F.col("found")).alias("string_missing"),
     )
     verdict = (
         F.when(~F.col("usable"), F.lit(None).cast("boolean"))
@@ -288,9 +291,11 @@ def data_stability(log: DataFrame, registry: DataFrame, key: str = "query_id") -
         key, (F.col("unknown_tables") + F.col("refreshed_tables") == 0).alias("stable"), "unknown_tables", "refreshed_tables")
 
 
-def validate_claims(claims: DataFrame, index: DataFrame, registry: DataFrame, key: str = "result_id") -> DataFrame:
+def validate_claims(
+    claims: DataFrame, index: DataFrame, registry: DataFrame, key: str = "result_id", longest: int | None = None
+) -> DataFrame:
     """The combined verdict of each claim: PASS, FAIL or UNVERIFIABLE, with a reason code and counts."""
-    verdicts = claim_verdicts(claims, index, key)
+    verdicts = claim_verdicts(claims, index, key, longest)
     long = ~F.col("usable")
     stable = data_stability(claims.withColumnRenamed("claim_id", "query_id"), registry).select(
         F.col("query_id").alias("claim_id"), "stable")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civiclake.operators import claims as c
+from civiclake.operators import skew
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -104,7 +105,7 @@ def frames(spark, sql='SELECT * FROM "t"'):
 
 def test_verdicts(spark):
     index, claims = frames(spark)
-    got = {r["claim_id"]: r["claim_valid"] for r in c.claim_verdicts(claims, index).collect()}
+    got = {r["claim_id"]: r["claim_valid"] for r in c.claim_verdicts(claims, index, longest=10_000).collect()}
     assert [got[str(i)] for i in range(len(VERDICTS))] == [v for _, _, v in VERDICTS]
 
 
@@ -124,7 +125,7 @@ def test_stability_and_labels(spark):
     index, claims = frames(spark, 'SELECT * FROM "t_a" JOIN "t_b" ON 1 = 1')
     registry = spark.createDataFrame([("t_a", "2024-01-01"), ("t_b", "2024-01-01")], "table_name string, d string").selectExpr(
         "table_name", "cast(d as timestamp_ntz) downloaded_at")
-    got = {r["claim_id"]: r for r in c.validate_claims(claims, index, registry).collect()}
+    got = {r["claim_id"]: r for r in c.validate_claims(claims, index, registry, longest=10_000).collect()}
     assert got["0"]["label"] == "PASS" and got["1"]["label"] == "FAIL" and got["2"]["label"] == "UNVERIFIABLE"
     assert got["11"]["summary"].startswith("length: ")
     moved = c.validate_claims(claims, index, registry.withColumn("downloaded_at", F.lit("2024-01-03").cast("timestamp_ntz")))
@@ -133,3 +134,48 @@ def test_stability_and_labels(spark):
     log = claims.withColumnRenamed("claim_id", "query_id")
     gone = c.data_stability(log, registry.where("table_name = 't_a'")).first()
     assert gone["stable"] is False and gone["unknown_tables"] == 1
+
+
+def test_claims_of_any_length(spark):
+    """A claim of 300,000 characters and 20,000 facts: all found but one."""
+    index = spark.range(20_000).select(F.lit("q").alias("result_id"), F.lit("n").alias("column"), (F.col("id") * 3).cast("double").alias("num"), (F.col("id") * 3).cast("string").alias("str"))
+    text = " and ".join(str(i * 3) for i in range(20_000))
+    claims = spark.createDataFrame([("a", "q", text), ("b", "q", text + " and 'nothing'"), ("c", "q", text + " and 7")], "claim_id string, result_id string, claim string")
+    got = {r["claim_id"]: (r["n_facts"], r["n_found"], r["claim_valid"]) for r in c.claim_verdicts(claims, index).collect()}
+    assert got == {"a": (20_000, 20_000, True), "b": (20_001, 20_000, False), "c": (20_001, 20_000, None)}
+
+
+def test_hot_result_is_dealt_over_tasks(spark):
+    """Nine claims of ten are about one result, and all of them name one number."""
+    index = spark.createDataFrame([("hot", "n", 5.0, "5"), ("q1", "n", 6.0, "6")], "result_id string, column string, num double, str string")
+    claims = spark.range(4_000).select(
+        F.col("id").cast("string").alias("claim_id"), F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("q"), F.col("id") % 3)).alias("result_id"), F.lit("It was 5.").alias("claim"))
+    probes = c._probes(c.extract_facts(claims))
+    met = c._look_up(probes, index, "result_id", claims)
+    sizes = [r["count"] for r in skew.spread_join(claims, index, ["result_id"]).hint("rebalance").groupBy(F.spark_partition_id()).count().collect()]
+    parts = skew.heavy_keys(claims, ["result_id"]).collect()
+    assert sum(sizes) == 4_000 and [(r["result_id"], r["_parts"]) for r in parts if r["result_id"] == "hot"] == [("hot", 32)]
+    assert met.where("result_id = 'hot' and column = 'n'").count() == 3_600 and met.where("result_id <> 'hot' and column is not null").count() == 0
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = skew.spread_join(claims, index, ["result_id"], "inner").withColumn("task", F.spark_partition_id())
+        tasks = [r["count"] for r in joined.groupBy("task").count().collect()]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "hashpartitioning(result_id" in plan and "_part" in plan
+    assert len(tasks) == 4 and max(tasks) < 0.6 * sum(tasks)  # four shuffle partitions; without the parts one would hold all 3,600
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_a_join(spark, how):
+    left = spark.range(2_000).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 7).alias("k"), (F.col("id") % 5).alias("j"), "id")
+    right = spark.createDataFrame([(k, j, k * 10 + j) for k in range(5) for j in range(4)], "k long, j long, v int")
+    want = sorted(map(str, left.join(right, ["k", "j"], how).collect()))
+    for heavy_on, share in ((None, 0.01), (["k"], 0.05), (["k"], 0.9)):
+        assert sorted(map(str, skew.spread_join(left, right, ["k", "j"], how, heavy_on=heavy_on, share=share).collect())) == want
+    with pytest.raises(ValueError):
+        skew.spread_join(left, right, ["k"], "full")
