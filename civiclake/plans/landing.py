@@ -9,7 +9,7 @@ from civiclake.plans.fixtures import DATASETS, GEO_POLYS, MESSY, datasets, geo_p
 from civiclake.plans.suite import Suite
 from civiclake.operators.catalog import split_catalog
 from civiclake.session import work_dir
-from civiclake.sources.files import feature_json, read_csv, read_geojson, read_json, read_kml
+from civiclake.sources.files import feature_json, read_csv, read_csv_by_name, read_geojson, read_json, read_kml
 from civiclake.sources.hub import normalize_hub_catalog, normalize_hub_record
 from civiclake.sources.pages import read_catalog_pages, read_datastore_pages
 from civiclake.sources.store import Store
@@ -32,6 +32,19 @@ def scan_csv(t):
     return read_csv(t.spark, path).withColumn("p_size", F.col("p_size").cast("int"))
 
 
+@LANDING.query("scan_csv_reordered", """
+SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_size AS BIGINT) END AS p_size, CASE WHEN p_partkey % 3 = 2 THEN concat(p_brand, chr(10), 'x') END AS "The Note" FROM part""")
+def scan_csv_reordered(t):
+    """One dataset in three landings: the same columns in another order, then one column less and another one, with line breaks."""
+    path = work_dir(t.spark, "csv")
+    size = F.col("p_size").cast("long")
+    shapes = [["p_partkey", "p_name", size], [size, "p_name", "p_partkey"], ["p_name", F.concat("p_brand", F.lit("\nx")).alias("The Note"), "p_partkey"]]
+    for i, shape in enumerate(shapes):
+        rows = t.part.where(F.col("p_partkey") % 3 == i).select(*shape)
+        rows.write.option("header", True).option("escape", '"').option("quoteAll", i == 2).mode("append").csv(path)
+    return read_csv_by_name(t.spark, path).select("p_partkey", "p_name", F.col("p_size").cast("long").alias("p_size"), "The Note")
+
+
 @LANDING.query("scan_json", "SELECT event_id, user_id, event_type, value FROM events WHERE event_id IS NOT NULL")
 def scan_json(t):
     path = work_dir(t.spark, "json")
@@ -61,7 +74,8 @@ def scan_geojson(t):
 
 @LANDING.query("scan_kml", f"""
 SELECT concat('shape ', id) AS "Name", CAST(NULL AS VARCHAR) AS "Description", CAST(x0 AS VARCHAR) AS west,
- CASE WHEN id % 2 = 0 THEN geometry_wkt ELSE concat('POINT (', x0, ' ', y0, ')') END AS geometry_wkt, CASE WHEN id % 2 = 0 THEN 'Polygon' ELSE 'Point' END AS geometry_type,
+ CASE WHEN id % 2 = 0 THEN concat('POLYGON Z ((', x0, ' ', y0, ' 0, ', x1, ' ', y0, ' 0, ', x1, ' ', y1, ' 0, ', x0, ' ', y1, ' 0, ', x0, ' ', y0, ' 0))')
+  ELSE concat('POINT (', x0, ' ', y0, ')') END AS geometry_wkt, CASE WHEN id % 2 = 0 THEN 'Polygon' ELSE 'Point' END AS geometry_type,
  'EPSG:4326' AS crs FROM {GEO_POLYS}""")
 def scan_kml(t):
     path = work_dir(t.spark, "kml")

@@ -7,6 +7,8 @@ with one record per line are split further.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +22,50 @@ from civiclake.operators.typing_repair import infer_types
 def read_csv(
     spark: SparkSession, path: str, schema: str | T.StructType | None = None, multi_line: bool = True, separator: str = ","
 ) -> DataFrame:
-    """CSV with a header row.
+    """CSV with a header row, the same in every file.
 
     Without a schema the types are inferred from all rows in one aggregation. Fields
     may hold line breaks; ``multi_line=False`` lets large files without any be split.
-    Columns are taken by name: a file whose header has other names, or another order, than the
-    schema (or the first file) raises an error, where Spark would read its values by place.
+    A file whose header has other names, or another order, than the schema (or the first file) raises an error, where Spark would
+    read its values by place; ``read_csv_by_name`` takes such files.
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False).option("sep", separator).option("escape", '"').option("multiLine", multi_line)
+    reader = _csv(spark, separator, multi_line).option("enforceSchema", False)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return infer_types(reader.csv(path))
 
 
+def _csv(spark: SparkSession, separator: str, multi_line: bool):
+    return spark.read.option("header", True).option("sep", separator).option("escape", '"').option("multiLine", multi_line)
+
+
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, header, broken: the first line of each file, and whether any field may hold a line break.
+
+    One pass over the lines. A line with an odd number of quotes opens or closes a field with a break in it.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"))
+    odd = F.regexp_count("value", F.lit('"')) % 2
+    return lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), (F.max(odd) == 1).alias("broken"))
+
+
+def read_csv_by_name(spark: SparkSession, path: str, separator: str = ",", infer: bool = True) -> DataFrame:
+    """CSV files whose headers differ in order or in names, as one table by column name.
+
+    Files are grouped by their header line and read group by group; a column that a file does not have is null there. Files without
+    a line break in a field are split among tasks, others are read whole. Columns stand in the order in which the files, by
+    name, first have them. A header must be one line.
+    """
+    headers = csv_headers(spark, path).groupBy("header", "broken").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    groups = headers.orderBy(F.get("files", F.lit(0))).collect()  # one row per different header, with addresses of files
+    if not groups:
+        return spark.createDataFrame([], T.StructType())
+    parts = [_csv(spark, separator, bool(g["broken"])).csv([unquote(f) for f in g["files"]]) for g in groups]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return infer_types(whole) if infer else whole
+
+
 def read_json(spark: SparkSession, path: str, lines: bool = False, schema: str | T.StructType | None = None) -> DataFrame:
     """An array of records per file, or (``lines``) a record per line."""
     reader = spark.read.option("multiLine", not lines)
@@ -122,10 +155,20 @@ PLACEMARK = (
 )
 
 
+def _high() -> Column:
+    """Whether any vertex of a placemark has an altitude; the others then have 0, as KML has it."""
+    number = r"[-+0-9.eE]+"
+    return F.to_json(F.struct("Point", "LineString", "Polygon", "MultiGeometry")).rlike(f"{number},{number},{number}")
+
+
 def _tuples(text: Column) -> Column:
-    """KML coordinate tuples ``x,y[,z] x,y[,z]`` as ``x y, x y``."""
-    parts = F.split(F.btrim(text, F.lit(" \t\r\n")), r"\s+")
-    return F.array_join(F.transform(parts, lambda p: F.array_join(F.slice(F.split(p, ","), 1, 2), " ")), ", ")
+    """KML coordinate tuples ``x,y[,z] x,y[,z]`` as ``x y[ z], x y[ z]``."""
+    def vertex(part: Column) -> Column:
+        flat = F.split(part, ",")
+        tall = F.slice(F.concat(flat, F.array(F.lit("0"))), 1, 3)
+        return F.array_join(F.when(F.col("_high"), tall).otherwise(F.slice(flat, 1, 2)), " ")
+
+    return F.array_join(F.transform(F.split(F.btrim(text, F.lit(" \t\r\n")), r"\s+"), vertex), ", ")
 
 
 def _polygon(shape: Column) -> Column:
@@ -137,7 +180,7 @@ def _polygon(shape: Column) -> Column:
 
 
 def _member(kind: str, body: Column) -> Column:
-    return F.concat(F.lit(f"{kind} "), body)
+    return F.concat(F.lit(f"{kind} "), F.when(F.col("_high"), "Z ").otherwise(""), body)
 
 
 def placemark_wkt() -> Column:
@@ -162,7 +205,7 @@ def placemark_wkt() -> Column:
         .when((points > 0) & (lines + areas == 0), _member("MULTIPOINT", joined("Point", line)))
         .when((lines > 0) & (points + areas == 0), _member("MULTILINESTRING", joined("LineString", line)))
         .when((areas > 0) & (points + lines == 0), _member("MULTIPOLYGON", joined("Polygon", _polygon)))
-        .when(points + lines + areas > 0, F.concat(F.lit("GEOMETRYCOLLECTION ("), F.array_join(members, ", "), F.lit(")")))
+        .when(points + lines + areas > 0, F.concat(F.when(F.col("_high"), "GEOMETRYCOLLECTION Z (").otherwise("GEOMETRYCOLLECTION ("), F.array_join(members, ", "), F.lit(")")))
     )
 
 
@@ -178,7 +221,7 @@ def read_kml(
     nothing = F.lit(None).cast("array<struct<_name:string,value:string>>")
     simple = F.transform("ExtendedData.SchemaData.SimpleData", lambda d: F.struct(d["_name"].alias("_name"), d["_VALUE"].alias("value")))
     pairs = F.map_from_entries(F.coalesce(F.col("ExtendedData.Data"), simple, nothing))
-    rows = raw.withColumn("_extra", pairs)
+    rows = raw.withColumns({"_extra": pairs, "_high": _high()})
     if fields is None:
         # The names become columns, so the driver must know them: one short row per name.
         fields = [r[0] for r in rows.select(F.explode(F.map_keys("_extra")).alias("k")).distinct().orderBy("k").collect()]

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from civiclake.functions.names import table_name
 from civiclake.operators.spatial import geo_summary
-from civiclake.sources.files import read_csv, read_geojson, read_json, read_kml
+from civiclake.sources.files import read_csv_by_name, read_geojson, read_json, read_kml
 from civiclake.sources.pages import read_datastore_pages
 from civiclake.sources.store import Store
 
-TABULAR = {"CSV": read_csv, "TXT": read_csv, "JSON": read_json, "GEOJSON": read_geojson}
+TABULAR = {"CSV": read_csv_by_name, "TXT": read_csv_by_name, "JSON": read_json, "GEOJSON": read_geojson}
 GEOGRAPHIC = {"GEOJSON": read_geojson, "KML": read_kml}
 
 
@@ -74,7 +74,7 @@ def ingest(
         df = read_geo_resource(store.spark, path, fmt, **options)
     else:
         df = read_resource(store.spark, path, fmt, datastore_active, **options)
-    name = name_table(store.spark, dataset_name, resource_id, portal, geo)
+    name = store.free_name(name_table(store.spark, dataset_name, resource_id, portal, geo), resource_id)
     store.land(df, resource_id, dataset_id, name, source_url or path, update_frequency)
     landed = store.table(resource_id)
     report = {"status": "landed", "table_name": name, "columns": landed.dtypes}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import logging
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from civiclake.operators.registry import REGISTRY_SCHEMA, refresh_plan
 from civiclake.operators.staleness import DEFAULT_DAYS, FREQUENCY_DAYS
 from civiclake.operators.typing_repair import repair_numeric
+from civiclake.sources.manifest import Manifest
 
 log = logging.getLogger(__name__)
 
@@ -25,38 +28,51 @@ def utc_now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
+def _newest(events: DataFrame) -> DataFrame:
+    """The newest event of each resource."""
+    last = events.groupBy("resource_id").agg(F.max_by(F.struct(*events.columns), "sequence").alias("e"))
+    return last.select("e.*")
+
+
 class Store:
     """A folder on shared storage.
 
     A table is written in full under a new path before the registry learns of it, so
     a load that fails, or loses its executors, leaves the former table in place. The
-    registry is a log of events; the newest event per resource is its current state.
+    registry is a log of events under a versioned manifest, which several writers can extend at the same time; the newest event per
+    resource is its current state.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        for name, schema in (("_registry", EVENT_SCHEMA), ("_metadata", METADATA_SCHEMA)):
-            spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(f"{self.root}/{name}")
+        self._log = Manifest(spark, f"{self.root}/_registry", EVENT_SCHEMA)
+        self._records = Manifest(spark, f"{self.root}/_metadata", METADATA_SCHEMA)
 
     # --- registry ---------------------------------------------------------------
 
     def _current(self, resource_id: str | None = None) -> DataFrame:
-        events = self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self.root}/_registry")
+        events = self._log.read()
         if resource_id is not None:  # before grouping, so that the scan does it
             events = events.where(F.col("resource_id") == resource_id)
-        last = events.groupBy("resource_id").agg(F.max_by(F.struct(*events.columns), "sequence").alias("e"))
-        return last.select("e.*").where(~F.col("removed"))
+        return _newest(events).where(~F.col("removed"))
 
     def registry(self) -> DataFrame:
         return self._current().drop("path", "sequence", "removed")
 
-    def _append(self, *events: tuple) -> None:
-        self.spark.createDataFrame(list(events), EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/_registry")
+    def _append(self, event: tuple, check: Callable[[DataFrame], None] | None = None) -> None:
+        self._log.add(self.spark.createDataFrame([event], EVENT_SCHEMA).coalesce(1), check)
 
     def _row(self, resource_id: str) -> Row | None:
         return self._current(resource_id).first()
 
+    def free_name(self, table_name: str, resource_id: str) -> str:
+        """The table name, with twelve digits of the id's hash behind it where another resource has the name."""
+        other = self._current().where((F.col("table_name") == table_name) & (F.col("resource_id") != resource_id))
+        if other.isEmpty():
+            return table_name
+        return f"{table_name}_{hashlib.sha256(resource_id.encode()).hexdigest()[:12]}"
+
     # --- tables -----------------------------------------------------------------
 
     def land(
@@ -77,9 +93,13 @@ class Store:
         time to expiry where ``update_frequency`` is not known.
         """
         now = now or utc_now()
-        other = self._current().where((F.col("table_name") == table_name) & (F.col("resource_id") != resource_id)).first()
-        if other is not None:
-            raise ValueError(f"table name {table_name!r} holds resource {other['resource_id']!r}; land {resource_id!r} under another name")
+
+        def free(events: DataFrame) -> None:
+            other = _newest(events).where(~F.col("removed") & (F.col("table_name") == table_name) & (F.col("resource_id") != resource_id)).first()
+            if other is not None:
+                raise ValueError(f"table name {table_name!r} holds resource {other['resource_id']!r}; land {resource_id!r} under another name")
+
+        free(self._log.read())
         path = f"{self.root}/tables/{table_name}/{uuid.uuid4().hex}"
         (repair_numeric(df) if repair else df).write.parquet(path)
         files = self.spark.read.parquet(path).groupBy("_metadata.file_path").agg(
@@ -87,7 +107,7 @@ class Store:
         n, size = files.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
         word = (update_frequency or "").lower().strip()
         expires = now + (keep_for or dt.timedelta(days=FREQUENCY_DAYS.get(word, DEFAULT_DAYS)))
-        self._append((resource_id, dataset_id, table_name, now, n, size, source_url, expires, path, time.time_ns(), False))
+        self._append((resource_id, dataset_id, table_name, now, n, size, source_url, expires, path, time.time_ns(), False), free)
         return path
 
     def table(self, resource_id: str) -> DataFrame:
@@ -115,16 +135,16 @@ class Store:
         return True
 
     def remove_all(self) -> int:
-        rows = self._current().collect()
-        if rows:
-            self._append(*[tuple(r[c] for c in r.__fields__[:-2]) + (time.time_ns(), True) for r in rows])
-        for row in rows:
-            self.spark.catalog.dropTempView(row["table_name"])
-        return len(rows)
+        """Remove every table: one event each, written where the rows are."""
+        events = self._current().withColumns({"sequence": F.lit(time.time_ns()), "removed": F.lit(True)})
+        n = events.count()
+        if n:
+            self._log.add(events)
+        return n
 
     def vacuum(self) -> int:
         """Delete the folders of replaced and removed tables; returns how many."""
-        events = self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self.root}/_registry")
+        events = self._log.read()
         old = events.select("path").distinct().join(self._current().select("path"), "path", "left_anti")
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         deleted = 0
@@ -134,9 +154,10 @@ class Store:
         return deleted
 
     def refresh(
-        self, load: Callable[[Row], DataFrame], now: dt.datetime | None = None, resource_id: str | None = None, everything: bool = False
+        self, load: Callable[[Row], DataFrame], now: dt.datetime | None = None, resource_id: str | None = None, everything: bool = False,
+        at_once: int = 4,
     ) -> DataFrame:
-        """Load stale tables (or the one named, or ``everything``) again; one failure does not stop the rest.
+        """Load stale tables (or the one named, or ``everything``) again, ``at_once`` side by side; one failure does not stop the rest.
 
         Each keeps the time between download and expiry that it was landed with.
         """
@@ -146,16 +167,19 @@ class Store:
             chosen = refresh_plan(registry.where(F.col("resource_id") == resource_id), "9999-01-01 00:00:00")
         else:
             chosen = refresh_plan(registry, "9999-01-01 00:00:00" if everything else now)
-        results = []
-        for row in chosen.toLocalIterator():
+
+        def again(row: Row) -> tuple:
             try:
                 old = self._row(row["resource_id"])
                 keep = old["expires_at"] - old["downloaded_at"] if old["expires_at"] and old["downloaded_at"] else None
                 self.land(load(row), row["resource_id"], row["dataset_id"], row["table_name"], row["source_url"], now=now, keep_for=keep)
-                results.append((row["resource_id"], row["table_name"], "refreshed", self._row(row["resource_id"])["row_count"], None))
+                return row["resource_id"], row["table_name"], "refreshed", self._row(row["resource_id"])["row_count"], None
             except Exception as exc:  # reported per table
                 log.warning("refresh of %s failed", row["resource_id"], exc_info=True)
-                results.append((row["resource_id"], row["table_name"], "error", None, str(exc).split("\n")[0]))
+                return row["resource_id"], row["table_name"], "error", None, str(exc).split("\n")[0]
+
+        with ThreadPoolExecutor(max(1, at_once)) as pool:  # each table is a few Spark jobs of its own
+            results = list(pool.map(again, chosen.toLocalIterator()))
         return self.spark.createDataFrame(
             results, "resource_id string, table_name string, status string, row_count long, error string")
 
@@ -163,15 +187,15 @@ class Store:
 
     def put_metadata(self, records: DataFrame, key: str = "id", now: dt.datetime | None = None) -> None:
         """Store whole records as JSON under the named id column."""
-        records.select(
+        self._records.add(records.select(
             F.col(key).cast("string").alias("dataset_id"),
             F.to_json(F.struct(*records.columns)).alias("metadata"),
             F.lit(str(now or utc_now())).cast("timestamp_ntz").alias("cached_at"),
             F.lit(time.time_ns()).alias("sequence"),
-        ).write.mode("append").parquet(f"{self.root}/_metadata")
+        ))
 
     def metadata(self) -> DataFrame:
         """The newest JSON per dataset id."""
-        rows = self.spark.read.schema(METADATA_SCHEMA).parquet(f"{self.root}/_metadata")
+        rows = self._records.read()
         return rows.groupBy("dataset_id").agg(
             F.max_by("metadata", "sequence").alias("metadata"), F.max("cached_at").alias("cached_at"))

@@ -52,8 +52,9 @@ class Workspace:
             self._catalogs.land(df, f"{name}-{portal}", portal, f"{name}_{portal}", repair=False)
 
     def _catalog(self, name: str) -> DataFrame:
-        landed = {r["resource_id"] for r in self._catalogs.registry().select("resource_id").collect()}
-        parts = [self._catalogs.table(f"{name}-{p.key}") for p in self.portals if f"{name}-{p.key}" in landed]
+        wanted = [f"{name}-{p.key}" for p in self.portals]
+        landed = {r["resource_id"] for r in self._catalogs.registry().where(F.col("resource_id").isin(wanted)).select("resource_id").collect()}
+        parts = [self._catalogs.table(w) for w in wanted if w in landed]
         if not parts:
             raise LookupError("No catalogue is landed; use add_catalog first")
         return reduce(DataFrame.unionByName, parts)
@@ -122,8 +123,11 @@ class Workspace:
     def clear(self) -> int:
         return self.store.remove_all()
 
-    def refresh(self, load: Callable[[Row], DataFrame], resource_id: str | None = None, now: dt.datetime | None = None) -> DataFrame:
-        return self.store.refresh(load, now, resource_id and self._bare(resource_id))
+    def refresh(
+        self, load: Callable[[Row], DataFrame], resource_id: str | None = None, now: dt.datetime | None = None, everything: bool = False
+    ) -> DataFrame:
+        """Load stale tables, the one named, or ``everything`` again."""
+        return self.store.refresh(load, now, resource_id and self._bare(resource_id), everything)
 
     # --- questions ---------------------------------------------------------------------
 

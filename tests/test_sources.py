@@ -4,9 +4,10 @@ import json
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from civiclake.session import work_dir
-from civiclake.sources.files import read_csv, read_geojson, read_json, read_kml
+from civiclake.sources.files import csv_headers, read_csv, read_csv_by_name, read_geojson, read_json, read_kml
 from civiclake.sources.hub import normalize_hub_catalog, normalize_hub_record
 from civiclake.sources.pages import IncompletePages, read_catalog_pages, read_datastore_pages
 
@@ -66,7 +67,7 @@ def test_kml(spark, put):
   <Point><coordinates>-79.4,43.7,0</coordinates></Point></Placemark>
  <Folder><Placemark><name>way</name><LineString><coordinates>
    0,0,0
-   1,1,0 2,0,0
+   1,1 2,0,7.5
  </coordinates></LineString></Placemark></Folder>
  <Placemark><name>area</name><ExtendedData><Data name="ward"><value>9</value></Data></ExtendedData>
   <Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 4,0 4,4 0,0</coordinates></LinearRing></outerBoundaryIs>
@@ -75,8 +76,8 @@ def test_kml(spark, put):
  <Placemark><name>nowhere</name></Placemark>
 </Document></kml>""")
     rows = {r["Name"]: r for r in read_kml(spark, path).collect()}
-    assert rows["dot"]["geometry_wkt"] == "POINT (-79.4 43.7)" and rows["dot"]["ward"] == "7" and rows["dot"]["kind"] == "a"
-    assert rows["way"]["geometry_wkt"] == "LINESTRING (0 0, 1 1, 2 0)" and rows["way"]["geometry_type"] == "LineString"
+    assert rows["dot"]["geometry_wkt"] == "POINT Z (-79.4 43.7 0)" and rows["dot"]["ward"] == "7" and rows["dot"]["kind"] == "a"
+    assert rows["way"]["geometry_wkt"] == "LINESTRING Z (0 0 0, 1 1 0, 2 0 7.5)" and rows["way"]["geometry_type"] == "LineString"
     assert rows["area"]["geometry_wkt"] == "POLYGON ((0 0, 4 0, 4 4, 0 0), (1 0.5, 2 0.5, 2 1, 1 0.5))" and rows["area"]["ward"] == "9"
     assert rows["both"]["geometry_wkt"] == "MULTIPOINT ((5 6), (7 8))"
     assert rows["nowhere"]["geometry_wkt"] is None
@@ -118,6 +119,29 @@ def test_csv_with_another_header_order_is_refused(spark, tmp_path):
         read_csv(spark, str(tmp_path)).collect()
 
 
+def test_csv_with_other_headers_is_read_by_name(spark, tmp_path):
+    folder = tmp_path / "a folder%"
+    folder.mkdir()
+    (folder / "a.csv").write_text('id,name,amount\n1,x,2\n')
+    (folder / "b.csv").write_text('name,id,amount\n"y, with ""quotes""",20,2.5\n')
+    (folder / "c.csv").write_text('"id","Total EV","name"\n3,"4","z\nand more"\n4,"5","w"\n')
+    (folder / "d.csv").write_text('id,name,amount\n')
+    df = read_csv_by_name(spark, str(folder))
+    assert df.columns == ["id", "name", "amount", "Total EV"]
+    assert sorted(map(tuple, df.collect())) == [(1, "x", 2.0, None), (3, "z\nand more", None, 4), (4, "w", None, 5), (20, 'y, with "quotes"', 2.5, None)]
+    broken = {r["header"].split(",")[0]: r["broken"] for r in csv_headers(spark, str(folder)).collect()}
+    assert broken == {"id": False, "name": False, '"id"': True}
+    big = spark.range(50_000).selectExpr("id", "concat('n', id) AS name")
+    big.coalesce(1).write.option("header", True).csv(str(tmp_path / "big"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert read_csv_by_name(spark, str(tmp_path / "big"), infer=False).select(F.spark_partition_id()).distinct().count() > 3
+        assert read_csv_by_name(spark, str(tmp_path / "big")).count() == 50_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_geojson_property_names_of_any_form(spark, put):
     point = {"type": "Point", "coordinates": [1, 2]}
     path = put({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"Min Delay": 5, "a-b": "x"}, "geometry": point}]})

@@ -91,6 +91,32 @@ def test_a_name_belongs_to_one_resource_and_refresh_keeps_its_period(spark, tmp_
     assert again["row_count"] == 4 and again["expires_at"] - again["downloaded_at"] == first["expires_at"] - first["downloaded_at"]
 
 
+def test_a_second_resource_gets_a_name_of_its_own(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a\n1\n")
+    ws = Workspace(spark, str(tmp_path / "lake"))
+    names = [ws.land(str(tmp_path / "x.csv"), "CSV", f"12345678-{i}", "d", "Same name")["table_name"] for i in range(3)]
+    assert len(set(names)) == 3 and all(n.startswith(names[0]) for n in names)
+    assert ws.land(str(tmp_path / "x.csv"), "CSV", "12345678-1", "d", "Same name", force=True)["table_name"] == names[1]
+    assert ws.sql(f'SELECT * FROM "{names[2]}"').count() == 1
+
+
+def test_refresh_of_everything_side_by_side(spark, tmp_path):
+    ws = Workspace(spark, str(tmp_path))
+    for i in range(6):
+        ws.store.land(spark.range(2), f"r{i}", "d", f"ds_{i}")
+
+    def load(row):
+        if row["resource_id"] == "r3":
+            raise OSError("gone")
+        return spark.range(5)
+
+    assert ws.refresh(load).count() == 0
+    got = {r["resource_id"]: (r["status"], r["row_count"], r["error"]) for r in ws.refresh(load, everything=True).collect()}
+    assert got.pop("r3") == ("error", None, "gone") and set(got.values()) == {("refreshed", 5, None)}
+    assert {r["resource_id"]: r["row_count"] for r in ws.store.registry().collect()} == {**{f"r{i}": 5 for i in range(6)}, "r3": 2}
+    assert ws.clear() == 6 and ws.store.registry().count() == 0
+
+
 def test_spatial(ws):
     assert [r["zone"] for r in ws.containing("z-1", 5, 1).collect()] == [4]
     assert [r["zone"] for r in ws.nearby("z-1", 5, 3, 112).collect()] == [4]
