@@ -140,7 +140,7 @@ def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key = list(bands(signed, BANDS, ROWS))
             empty = np.isin(np.arange(n), doc, invert=True)
             yield pd.DataFrame({
-                "doc_id": part["doc_id"].iloc[some].to_numpy(), "one": one.view(np.int64), "two": two.view(np.int64),
+                **{c: part[c].iloc[some].to_numpy() for c in ("doc_id", "text_id", "row_id")}, "one": one.view(np.int64), "two": two.view(np.int64),
                 "bands": [None if e else key[p] for e, p in zip(empty, place)],
             })
 
@@ -161,24 +161,39 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id: the smallest doc_id of its class."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
-    signed = cut(docs.mapInPandas(_signed, "doc_id long, one long, two long, bands array<long>"))
-    own = signed.filter("doc_id is not null")
-    groups = cut(own.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
+def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, text_id, class_id, kept, copies: one row per different (doc_id, text) of documents with a doc_id.
 
+    A text is named by its doc_id and ``text_id``, a 64-bit hash of the text, so rows that repeat a doc_id are told apart. ``class_id`` is the smallest
+    doc_id of the class; ``kept`` marks one row of each class, of that doc_id; ``copies`` counts equal rows.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).filter("doc_id is not null")
+    docs = docs.withColumn("text_id", F.xxhash64("text")).withColumn("row_id", F.xxhash64("doc_id", "text_id"))
+    signed = cut(docs.mapInPandas(_signed, "doc_id long, text_id long, row_id long, one long, two long, bands array<long>"))
+    own = signed.groupBy("doc_id", "text_id", "row_id", "one", "two").agg(F.count("*").alias("copies"))
+    first = F.struct("doc_id", "row_id")
+    groups = cut(signed.groupBy("one", "two").agg(F.min(first).alias("first"), F.min_by("bands", first).alias("bands")).select("one", "two", "first.doc_id", F.col("first.row_id").alias("id"), "bands"))
     signed_groups = groups.filter("bands is not null").select("id", "bands")
 
     def items(ids: DataFrame) -> DataFrame:
-        wanted = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        return wanted.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("data")).join(signed_groups, "id")
+        wanted = docs.join(ids.withColumnRenamed("id", "row_id"), "row_id", "left_semi")
+        return wanted.groupBy(F.col("row_id").alias("id")).agg(F.min("text").alias("data")).join(signed_groups, "id")
 
     rows = crowded(signed_groups.select("id", F.explode("bands").alias("key")))
     known = linked(rows, items, lambda texts: [bag(x) for x in texts], lambda a, b: weighted_jaccard(a, b) >= similar, similar).withColumnRenamed("id", "known")
-    class_of = cut(groups.join(known, groups["id"] == known["known"], "left").select("one", "two", F.coalesce("component", "id").alias("class_id")))
-    found = own.join(class_of, ["one", "two"]).select("doc_id", "class_id")
-    return found.union(signed.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    placed = cut(groups.join(known, groups["id"] == known["known"], "left").select("one", "two", "doc_id", "id", "component"))
+    linked_ones = placed.filter("component is not null")
+    least = linked_ones.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("least"))
+    class_of = cut(linked_ones.join(least, "component").select("one", "two", "least").union(placed.filter("component is null").select("one", "two", F.struct("doc_id", "id"))))
+    found = own.join(class_of, ["one", "two"])
+    return found.select("doc_id", "text_id", F.col("least.doc_id").alias("class_id"), (F.col("row_id") == F.col("least.id")).alias("kept"), "copies")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id: the smallest doc_id of its class, a row per row of docs; a null doc_id has a null class."""
+    found = classes(docs, similar)
+    rows = found.select("doc_id", "class_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "class_id")
+    return rows.union(docs.filter(F.col("doc_id").cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id")))
 
 
 @LLM.query("op7_near_duplicates")

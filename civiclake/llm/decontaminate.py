@@ -110,7 +110,7 @@ def _aligned(similar: float):
                     continue
                 items, texts, some = [items[i] for i in fit], [texts[i] for i in fit], some.iloc[fit]
                 score = smith_waterman(items, texts) / np.array([len(x) for x in items])
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "item_id": some["item_id"].to_numpy(), "score": score})
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "text_id": some["text_id"].to_numpy(), "item_id": some["item_id"].to_numpy(), "score": score})
 
     return run
 
@@ -119,22 +119,27 @@ def _cut_parts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The words around each bin of diagonals of a document."""
     for part in parts:
         out = []
-        for doc_id, text, bins in zip(part["doc_id"], part["text"], part["bins"]):
+        for doc_id, text_id, text, bins in zip(part["doc_id"], part["text_id"], part["text"], part["bins"]):
             words = words_of(text)
             for one in bins:
                 item_id, place, size = one["item_id"], one["bin"] * BIN, one["size"]
                 slack = max(32, size // 4)
                 own = words[max(0, place - slack):max(0, place + BIN + size + slack)]
                 if own:
-                    out.append((doc_id, item_id, " ".join(own)))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "part"])
+                    out.append((doc_id, text_id, item_id, " ".join(own)))
+        yield pd.DataFrame(out, columns=["doc_id", "text_id", "item_id", "part"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, item_id, score (share of the item's words), for each pair that reaches ``similar``."""
+def contaminated_texts(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, text_id, item_id, score (share of the item's words), for each pair that reaches ``similar``.
+
+    Texts go by doc_id and ``text_id``, a 64-bit hash of the text, and every different text of an item_id is an item by itself, so repeated ids lose none.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
-    runs = cut(items.mapInPandas(_item_grams, "item_id long, id long, at long, size long"))
+    docs = docs.withColumn("text_id", F.xxhash64("text"))
+    items = items.select(F.col("item_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text")).filter("own_id is not null and text is not null").distinct()
+    items = items.withColumn("item_id", F.xxhash64("own_id", "text"))
+    runs = cut(items.select("item_id", "text").mapInPandas(_item_grams, "item_id long, id long, at long, size long"))
     wide = {r[0] for r in runs.select(F.least("size", F.lit(GRAM))).distinct().collect()}  # at most GRAM values
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(runs.select("id")))
 
@@ -144,15 +149,23 @@ def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) ->
             for some in batches(texts):
                 number, place, key = gram_rows(texts[some], wide)
                 keep = hit(bits.value, key)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[some][number[keep]], "id": key[keep], "pos": place[keep]})
-
-    hits = docs.mapInPandas(probe, "doc_id long, id long, pos long").join(runs, "id")
-    bins = hits.select("doc_id", F.struct("item_id", F.floor((F.col("pos") - F.col("at")) / BIN).alias("bin"), "size").alias("one")).distinct()
-    by_doc = bins.groupBy("doc_id").agg(F.collect_list("one").alias("bins"))
-    parts = docs.join(by_doc, "doc_id").select("doc_id", "text", "bins").mapInPandas(_cut_parts, "doc_id long, item_id long, part string")
-    texts = items.groupBy("item_id").agg(F.min("text").alias("item_text"))
-    scored = parts.join(texts, "item_id").select("doc_id", "item_id", "part", "item_text").mapInPandas(_aligned(similar), "doc_id long, item_id long, score double")
-    return scored.filter(F.col("score") >= similar).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+                own = {c: part[c].to_numpy()[some][number[keep]] for c in ("doc_id", "text_id")}
+                yield pd.DataFrame({**own, "id": key[keep], "pos": place[keep]})
+
+    hits = docs.mapInPandas(probe, "doc_id long, text_id long, id long, pos long").join(runs, "id")
+    bins = hits.select("doc_id", "text_id", F.struct("item_id", F.floor((F.col("pos") - F.col("at")) / BIN).alias("bin"), "size").alias("one")).distinct()
+    by_doc = bins.groupBy("doc_id", "text_id").agg(F.collect_list("one").alias("bins"))
+    parts = docs.join(by_doc, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "bins").mapInPandas(_cut_parts, "doc_id long, text_id long, item_id long, part string")
+    texts = items.select("item_id", F.col("text").alias("item_text"))
+    scored = parts.join(texts, "item_id").select("doc_id", "text_id", "item_id", "part", "item_text").mapInPandas(_aligned(similar), "doc_id long, text_id long, item_id long, score double")
+    best = scored.filter(F.col("score") >= similar).groupBy("doc_id", "text_id", "item_id").agg(F.max("score").alias("score"))
+    named = best.join(items.select("item_id", "own_id"), "item_id")
+    return named.groupBy("doc_id", "text_id", F.col("own_id").alias("item_id")).agg(F.max("score").alias("score"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, item_id, score of the pairs that reach ``similar``, the best over the texts of a doc_id and of an item_id."""
+    return contaminated_texts(docs, items, similar).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 @LLM.query("op10_decontaminate")

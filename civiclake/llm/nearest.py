@@ -33,6 +33,7 @@ from civiclake.llm.common import cut
 from civiclake.llm.suite import LLM
 
 K = 20
+LARGEST = 1.7976931348623157e308  # of doubles
 TABLES = 6
 FUNCTIONS = 3
 WIDTH = 1.3
@@ -144,7 +145,8 @@ def _least(x: np.ndarray, ids: np.ndarray, sample: tuple[np.ndarray, np.ndarray]
     """For each query (a unit vector), a score that its k-th best on all vectors reaches."""
     if sample is None or len(sample[0]) <= k:
         return np.full(len(x), -np.inf)
-    score = x @ sample[1].T
+    with np.errstate(all="ignore"):
+        score = np.nan_to_num(x @ sample[1].T, nan=-np.inf, posinf=LARGEST)
     score[ids[:, None] == sample[0][None, :]] = -np.inf
     return np.partition(score, -k, axis=1)[:, -k]
 
@@ -156,7 +158,8 @@ def _probing(shared, scales, tables, functions, width, success, k):
                 for start in range(0, len(rows), 200):
                     some = rows.iloc[start:start + 200]
                     x, ids = _matrix(some["vector"], int(dim)), some["vec_id"].to_numpy()
-                    unit = x / _norms(x)[:, None]  # only the direction of a query matters
+                    unit = x / np.abs(x).max(1)[:, None]
+                    unit /= _norms(unit)[:, None]  # only the direction of a query matters
                     least = _least(unit, ids, shared.value.get(int(dim)), k)
                     data = np.array([v.tobytes() for v in x], dtype=object)
                     for (length, one), scale in scales.items():
@@ -198,13 +201,17 @@ def _best(k: int):
             for dim, ids, vectors, q_ids, q_vectors in part[["dim", "ids", "vectors", "q_ids", "q_vectors"]].itertuples(index=False):
                 ids, q_ids = np.asarray(ids, np.int64), np.asarray(q_ids, np.int64)
                 x, q = (np.frombuffer(b"".join(v)).reshape(-1, dim) for v in (vectors, q_vectors))
-                score = q @ x.T
+                with np.errstate(all="ignore"):  # a product that is not a number takes no part
+                    score = q @ x.T
+                score[np.isnan(score)] = -np.inf
                 score[q_ids[:, None] == ids[None, :]] = -np.inf
                 at = min(k, len(ids)) - 1
                 least = -np.partition(-score, at, axis=1)[:, at]
                 # A margin above rounding keeps all ties of the last place.
-                row, col = np.nonzero((score >= least[:, None] - 1e-9 * np.abs(least[:, None])) & (score > -np.inf))
-                exact = (q[row] * x[col]).sum(1)
+                margin = np.where(np.isfinite(least), 1e-9 * np.abs(least), 0)
+                row, col = np.nonzero((score >= (least - margin)[:, None]) & (score > -np.inf))
+                with np.errstate(all="ignore"):
+                    exact = (q[row] * x[col]).sum(1)
                 order = np.lexsort((ids[col], -exact, row))
                 row, col, exact = row[order], col[order], exact[order]
                 first = np.searchsorted(row, row)
@@ -231,10 +238,12 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = K, vec_id: str = "
     rows = usable(embeddings, vec_id, embedding)
     size = F.array_max(F.transform("vector", F.abs))  # keeps the squares finite
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("size")) * (x / F.col("size")))
-    rows = rows.withColumn("size", size).withColumn("norm", F.col("size") * F.sqrt(norm)).drop("size")
-    n, greatest = rows.agg(F.count("*"), F.max("norm")).first()
+    # Components near the largest double have no finite norm; its logarithm is finite.
+    rows = rows.withColumn("size", size).withColumn("share", F.sqrt(norm)).withColumn("log_norm", F.log2("size") + F.log2("share"))
+    rows = rows.withColumn("norm", F.least(F.col("size") * F.col("share"), F.lit(LARGEST))).drop("size", "share")
+    n, greatest = rows.agg(F.count("*"), F.max("log_norm")).first()
     # Range 0 goes down to half the greatest norm, range 1 to a quarter, and so on.
-    rows = rows.withColumn("number", F.greatest(F.lit(0), F.floor(F.log2(F.lit(greatest or 1.0)) - F.log2("norm"))).cast("int"))
+    rows = rows.withColumn("number", F.greatest(F.lit(0), F.floor(F.lit(greatest or 0.0) - F.col("log_norm"))).cast("int")).drop("log_norm")
     ranges = rows.groupBy(F.size("vector").alias("dim"), "number").agg(F.max("norm").alias("scale")).collect()  # a row per length and halving of the norm
     scales = {(r["dim"], r["number"]): r["scale"] for r in ranges}
     same = Window.partitionBy("vector").orderBy("vec_id")

@@ -8,7 +8,7 @@ characters into the next; pieces are encoded apart, with offsets, and spliced wh
 begin a pre-token at the same character. The splitter reads left to right and decides by the text from a
 boundary on, so two scans that share one boundary agree from there: the splice is proven, as long as it stays ``MARGIN``
 characters before the end of the left piece, beyond what the splitter and a special string look ahead. Where an overlap holds
-no common boundary (one run of letters, say) it is doubled, and at last the two pieces become one.
+no common boundary (one run of letters, say) it is doubled, and the left piece grows by doubling too, so that a run costs time in proportion to its length.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens). Repeated rows and null doc_ids pass row by row. An
 empty table gives an empty result. Other columns are not read.
@@ -37,6 +37,7 @@ PIECE_CHARS = 30_000
 OVERLAP = 256
 MARGIN = 64
 TABLE_UNITS = 500_000
+LONGEST_UNIT = 100  # characters; so the table is bounded in bytes too
 UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 
@@ -69,12 +70,23 @@ class Units:
         if self.numbers.full():
             self.table = self.table[self.numbers.shrink()]
         number = self.numbers.__getitem__
-        found = [np.array(list(map(number, [x] if OTHER_SPACE.search(x) else UNIT.findall(x))), dtype=np.int64) for x in texts]
+        # What would fill the table without coming again, a whole text or a very long unit, is counted beside it.
+        apart, found = [], []
+        for i, x in enumerate(texts):
+            own = [x] if OTHER_SPACE.search(x) else UNIT.findall(x)
+            long = [u for u in own if len(u) > LONGEST_UNIT]
+            if long:
+                apart += [(i, u) for u in long]
+                own = [u for u in own if len(u) <= LONGEST_UNIT]
+            found.append(np.array(list(map(number, own)), dtype=np.int64))
         if self.numbers.fresh:
             self.table = np.append(self.table, np.array(self.lengths(self.numbers.fresh), dtype=np.int64))
             self.numbers.fresh = []
         self.numbers.used(found)
-        return [int(self.table[x].sum()) for x in found]
+        out = [int(self.table[x].sum()) for x in found]
+        for (i, _), n in zip(apart, self.lengths([u for _, u in apart])):
+            out[i] += n
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -106,32 +118,28 @@ def splice(left: Piece, right: Piece) -> int | None:
 
 
 def count_huge(encode, text: str, piece_chars: int = PIECE_CHARS, overlap: int = OVERLAP) -> int:
-    """Tokens of one text by pieces; ``encode`` takes a list of strings."""
-    starts = list(range(0, len(text), piece_chars))
-    spans = [(a, min(len(text), a + piece_chars + overlap)) for a in starts]
-    total, begin, k = 0, 0, 0
-    left = None
-    while k < len(spans):
-        ahead = spans[k:k + 4]  # a few pieces at a time bound the memory
-        pieces = [Piece(e, a, b) for e, (a, b) in zip(encode([text[a:b] for a, b in ahead]), ahead)]
-        for piece in pieces:
-            k += 1
-            if left is None:
-                left = piece
-                continue
-            at, more = splice(left, piece), overlap
-            while at is None:
-                more *= 2
-                end = min(len(text), piece.start + more)
-                if end >= piece.end:  # the overlap has become the whole next piece
-                    left = Piece(encode([text[left.start:piece.end]])[0], left.start, piece.end)
-                    break
-                left = Piece(encode([text[left.start:end]])[0], left.start, end)
-                at = splice(left, piece)
-            if at is not None:
-                total += left.tokens_before(at) - left.tokens_before(begin)
-                left, begin = piece, at
-    return total + len(left.starts) - left.tokens_before(begin) if left is not None else 0
+    """Tokens of one text by pieces; ``encode`` takes a list of strings.
+
+    Where an overlap holds no common boundary, it is doubled, and with it the left piece once the overlap has come to half of it:
+    so a run of any length is encoded a bounded number of times its length.
+    """
+    def piece(start: int, end: int) -> Piece:
+        end = min(len(text), end)
+        return Piece(encode([text[start:end]])[0], start, end)
+
+    left, begin, total, more = piece(0, piece_chars + overlap), 0, 0, overlap
+    while left.end < len(text):
+        start = left.end - more
+        right = piece(start, start + piece_chars + more)
+        at = splice(left, right)
+        if at is not None:
+            total += left.tokens_before(at) - left.tokens_before(begin)
+            left, begin, more = right, at, overlap
+            continue
+        more *= 2
+        if more > (left.end - left.start) // 2:
+            left = piece(left.start, left.start + 2 * (left.end - left.start))
+    return total + len(left.starts) - left.tokens_before(begin)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, whole_chars: int = WHOLE_CHARS) -> DataFrame:
