@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes each result as Parquet in the
 shared work folder and reads it again, so a lost executor costs one stage's tasks at most. All but the last return the columns of
-documents, further columns included. Rows with a null doc_id pass the stages that compare documents.
+documents, further columns included. Rows with a null doc_id pass the stages that compare documents, a null text counts as empty, and an empty
+table gives an empty result. Documents are told apart by doc_id and text: rows of one doc_id with different texts are judged one by one
+(their lines share places in the line stage), equal rows leave one, and of a class of near duplicates the text of the smallest doc_id
+stays; with the same doc_id, that of the smaller hash.
 """
 
 from __future__ import annotations
@@ -39,16 +42,23 @@ def remove_duplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one of smallest doc_id."""
+    """One row of each class of near duplicates, of the smallest doc_id; of equal rows one.
+
+    Rows go by doc_id and text, so a doc_id that repeats with another text is a document by itself.
+    """
     ship(spark)
-    classes = bagminhash.near_duplicates(docs)
-    return _without(docs, classes.filter("class_id <> doc_id"))
+    found = bagminhash.classes(docs)
+    gone = found.filter("not kept")
+    twice = found.filter("kept and copies > 1")
+    once = _named(docs, gone.union(twice), "left_anti")
+    again = _named(docs, twice, "left_semi", first_only=True)
+    return once.union(again)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Rows that hold no passage of the benchmark; another text under the same doc_id stays."""
     ship(spark)
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return _named(docs, decontaminate.contaminated_texts(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +71,14 @@ def _names(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
-def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    gone = found.select(F.col("doc_id").alias(OWN + "id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(OWN + "id"), "left_anti")
+def _named(docs: DataFrame, found: DataFrame, how: str, first_only: bool = False) -> DataFrame:
+    """Rows of docs whose (doc_id, text) is (``left_semi``) or is not (``left_anti``) among those found; one of equal ones if ``first_only``."""
+    rows = docs.withColumns({OWN + "id": F.col("doc_id").cast("long"), OWN + "text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    wanted = found.select(F.col("doc_id").alias(OWN + "id"), F.col("text_id").alias(OWN + "text")).distinct()
+    rows = rows.join(wanted, [OWN + "id", OWN + "text"], how)
+    if first_only:
+        rows = rows.dropDuplicates([OWN + "id", OWN + "text"])
+    return rows.select(*_names(docs))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -75,7 +90,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", encode),
 ]
 
-# SQL has neither the classifier nor the tokenizer; the tests compare the stages with plain Python.
+# SQL has neither the classifier nor the tokenizer; tests/llm/test_pipeline.py compares the stages with plain Python.
 ORACLE_SQL = None
 
 
