@@ -125,7 +125,7 @@ def bands(signature: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
 def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         texts = part["text"].tolist()
-        for some in batches(texts, 1_500_000):
+        for some in batches(texts, 600_000):
             doc, keys, weight = bags(texts[some])
             n = len(texts[some])
             one, two = np.zeros(n, U64), np.zeros(n, U64)

@@ -64,7 +64,8 @@ def _stars(edges: DataFrame) -> bool:
 
 
 BLOCK = 1_024  # ids of a key that meet in one task
-HELD = 4_000_000  # elements of prepared texts that a task keeps for its next comparisons
+PAIRS = 50_000  # pairs that are looked at together
+HELD = 2_000_000  # elements of prepared texts that a task keeps for its next comparisons
 
 
 def crowded(keyed: DataFrame) -> DataFrame:
@@ -217,8 +218,8 @@ def _passing(key, lo, hi, own, component, bands, data, prepare, similar, least)
             x = root[x]
         return int(x)
 
-    for start in range(0, len(row), 200_000):
-        i, j = left[row[start:start + 200_000]], right[col[start:start + 200_000]]
+    for start in range(0, len(row), PAIRS):
+        i, j = left[row[start:start + PAIRS]], right[col[start:start + PAIRS]]
         same = (bands[i] == bands[j]) & (bands[i] != 0)
         mine = bands[i, same.argmax(1)] == key  # each pair belongs to the first band it shares
         i, j, shared = i[mine], j[mine], same[mine].sum(1)

@@ -146,7 +146,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, similar: float = SIMIL
     def probe(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = part["text"].tolist()
-            for some in batches(texts):
+            for some in batches(texts, 600_000):
                 number, place, key = gram_rows(texts[some], wide)
                 keep = hit(bits.value, key)
                 own = {c: part[c].to_numpy()[some][number[keep]] for c in ("doc_id", "text_id")}

@@ -31,7 +31,7 @@ from civiclake.llm.suite import LLM
 
 MARK = "▁"
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -104,7 +104,7 @@ def _per_batch(docs: DataFrame, path: str, row, schema: str) -> DataFrame:
         model = encoder(path)
         for part in rows:
             texts, doc_id = part["text"].tolist(), part["doc_id"]
-            for cut in batches(texts):
+            for cut in batches(texts, 600_000):
                 out = pd.DataFrame([row(model, ids) for ids in model.ids(texts[cut])])
                 out.insert(0, "doc_id", doc_id.iloc[cut].to_numpy())
                 yield out
