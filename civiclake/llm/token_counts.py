@@ -37,7 +37,7 @@ PIECE_CHARS = 30_000
 OVERLAP = 256
 MARGIN = 64
 TABLE_UNITS = 500_000
-LONGEST_UNIT = 100  # characters; so the table is bounded in bytes too
+TABLE_CHARS = 8_000_000  # of all units in the table, but for those of the last slice
 UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 
@@ -55,7 +55,7 @@ class Units:
 
     def __init__(self, path: str, size: int = TABLE_UNITS):
         self.model = tokenizer(path)
-        self.numbers, self.table = Numbered(size), np.zeros(0, np.int64)
+        self.numbers, self.table, self.chars = Numbered(size), np.zeros(0, np.int64), 0
 
     def encode(self, texts: list[str]):
         return self.model.encode_batch(texts, add_special_tokens=False)
@@ -67,26 +67,19 @@ class Units:
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        if self.numbers.full():
+        if self.numbers.full() or self.chars > TABLE_CHARS:
             self.table = self.table[self.numbers.shrink()]
+            self.chars = sum(map(len, self.numbers))
+            if self.chars > TABLE_CHARS:  # few units that are long: start anew
+                self.numbers, self.table, self.chars = Numbered(self.numbers.limit), np.zeros(0, np.int64), 0
         number = self.numbers.__getitem__
-        # What would fill the table without coming again, a whole text or a very long unit, is counted beside it.
-        apart, found = [], []
-        for i, x in enumerate(texts):
-            own = [x] if OTHER_SPACE.search(x) else UNIT.findall(x)
-            long = [u for u in own if len(u) > LONGEST_UNIT]
-            if long:
-                apart += [(i, u) for u in long]
-                own = [u for u in own if len(u) <= LONGEST_UNIT]
-            found.append(np.array(list(map(number, own)), dtype=np.int64))
+        found = [np.array(list(map(number, [x] if OTHER_SPACE.search(x) else UNIT.findall(x))), dtype=np.int64) for x in texts]
         if self.numbers.fresh:
             self.table = np.append(self.table, np.array(self.lengths(self.numbers.fresh), dtype=np.int64))
+            self.chars += sum(map(len, self.numbers.fresh))
             self.numbers.fresh = []
         self.numbers.used(found)
-        out = [int(self.table[x].sum()) for x in found]
-        for (i, _), n in zip(apart, self.lengths([u for _, u in apart])):
-            out[i] += n
-        return out
+        return [int(self.table[x].sum()) for x in found]
 
 
 @lru_cache(maxsize=2)

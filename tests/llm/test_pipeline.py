@@ -172,15 +172,16 @@ def test_templated_lines_and_a_document_of_many_lines(spark):
     assert got[3] == 100_000 and got[4] == 20_000 and got[1] < 20_000 and got[2] == 0
 
 
-def test_token_counts_of_one_long_run(spark):
+def test_token_counts_of_one_long_run(spark, monkeypatch):
     model = token_counts.units(str(public_tokenizers.path(token_counts.MODEL)))
     r = random.Random(2)
     run = "".join(r.choices("abcdefgh", k=1_000_000))
     assert token_counts.count_huge(model.encode, "some words " + run + " and more") == len(model.encode(["some words " + run + " and more"])[0])
-    held = model.numbers
-    held.clear()
-    spaced = ["　".join(prose(r, 40) for _ in range(3)) + str(i) for i in range(50)]
-    assert model.counts(spaced) == [len(x) for x in model.encode(spaced)] and sum(map(len, held)) < 10_000
+    monkeypatch.setattr(token_counts, "TABLE_CHARS", 20_000)
+    for start in range(0, 200, 20):  # texts that are one unit each, and units that are very long
+        spaced = ["　".join(prose(r, 40) for _ in range(3)) + str(i) for i in range(start, start + 10)] + [run[i:i + 3_000] for i in range(start, start + 10)]
+        assert model.counts(spaced) == [len(x) for x in model.encode(spaced)]
+        assert sum(map(len, model.numbers)) == model.chars < 20_000 + sum(map(len, spaced))
 
 
 def test_nearest_of_huge_components(spark):
