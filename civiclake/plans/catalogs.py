@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civiclake.operators import catalog as cat
+from civiclake.operators.search_index import search_ranked, write_index
 from civiclake.operators.staleness import check_freshness
 from civiclake.plans.fixtures import DATASETS, NOW, RESOURCES, datasets, portal_of, portal_sql, resources
 from civiclake.plans.suite import Suite
 from civiclake.portals import portals_frame
+from civiclake.session import work_dir
 
 CATALOGS = Suite()
 
@@ -196,3 +198,20 @@ SELECT portal, id, title, update_frequency, metadata_modified AS last_modified,
 FROM {DATASETS}""")
 def freshness(t):
     return check_freshness(datasets(t), NOW)
+
+
+@CATALOGS.query("search_ranked", f"""
+WITH d AS (SELECT portal, id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, notes, array_to_string(tags, ' '))), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM {DATASETS}),
+s AS (SELECT portal, COUNT(*) AS n, AVG(len(words)) AS mean_length FROM d GROUP BY portal),
+p AS (SELECT portal, id, word, COUNT(*) AS t, any_value(length) AS length FROM (SELECT portal, id, len(words) AS length, unnest(words) AS word FROM d)
+ WHERE word IN ('large', 'gear', 'red', 'brand', '7') GROUP BY ALL),
+w AS (SELECT portal, word, ln(1 + (n - c + 0.5::DOUBLE) / (c + 0.5::DOUBLE)) AS weight, mean_length FROM (SELECT portal, word, COUNT(*) AS c FROM p GROUP BY ALL) JOIN s USING (portal)),
+r AS (SELECT portal, id, ROUND(SUM(weight * t * 2.2::DOUBLE / (t + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length))), 6) AS score, COUNT(*) AS words_found
+ FROM p JOIN w USING (portal, word) GROUP BY portal, id)
+SELECT portal, CAST(place AS INTEGER) AS place, id, score, CAST(words_found AS INTEGER) AS words_found
+FROM (SELECT *, row_number() OVER (PARTITION BY portal ORDER BY score DESC, id) AS place FROM r) WHERE place <= 10""")
+def ranked(t):
+    """The ten best datasets of each portal for a query of five words, from an index in the work folder."""
+    folder = work_dir(t.spark, "index")
+    write_index(datasets(t), folder)
+    return search_ranked(t.spark, folder, "large RED gear, brand#7")
