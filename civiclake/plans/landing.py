@@ -11,6 +11,7 @@ from civiclake.operators.catalog import split_catalog
 from civiclake.session import work_dir
 from civiclake.sources.files import feature_json, read_csv, read_csv_by_name, read_geojson, read_json, read_kml
 from civiclake.sources.hub import normalize_hub_catalog, normalize_hub_record
+from civiclake.sources.incremental import Growing, read_growing, refresh_incremental
 from civiclake.sources.pages import read_catalog_pages, read_datastore_pages
 from civiclake.sources.store import Store
 
@@ -210,3 +211,25 @@ def repair_landed(t):
     store = Store(t.spark, work_dir(t.spark, "repair"))
     store.land(messy(t).select("id", "comma_text", "padded_text"), "m-1", "d-1", "ds_province_messy_m-1")
     return store.table("m-1")
+
+
+@LANDING.query("refresh_incremental", """
+SELECT run, table_name, status, rows_added FROM (
+ SELECT 1 AS run, 'orders' AS table_name, 'refreshed' AS status, COUNT(*) FILTER (WHERE o_orderkey % 2 = 0) AS rows_added FROM orders
+ UNION ALL SELECT 2, 'orders', 'refreshed', COUNT(*) FILTER (WHERE o_orderkey % 2 = 1) FROM orders
+ UNION ALL SELECT 1, 'customer', 'refreshed', COUNT(*) FROM customer UNION ALL SELECT 2, 'customer', 'refreshed', 0
+ UNION ALL SELECT 1, 'gone', 'error', 0 UNION ALL SELECT 2, 'gone', 'error', 0
+ UNION ALL SELECT 3, 'orders', 'whole', COUNT(*) FROM orders UNION ALL SELECT 3, 'customer', 'whole', COUNT(DISTINCT c_custkey) FROM customer)""")
+def incremental(t):
+    """Orders arrive in two steps, customers in one, and a third folder does not exist; what each refresh adds, and the tables at the end."""
+    root, inbox = work_dir(t.spark, "grown"), work_dir(t.spark, "inbox")
+    sources = [Growing("orders", f"{inbox}/orders", "o_orderkey long, o_orderstatus string"), Growing("customer", f"{inbox}/customer", "c_custkey long"), Growing("gone", f"{inbox}/gone", "a int")]
+    t.customer.select("c_custkey").write.parquet(f"{inbox}/customer")
+    runs = []
+    for step in range(2):
+        t.orders.where(F.col("o_orderkey") % 2 == step).select("o_orderkey", "o_orderstatus").write.mode("append").parquet(f"{inbox}/orders")
+        runs.append(refresh_incremental(t.spark, root, sources).select(F.lit(step + 1).alias("run"), "table_name", "status", "rows_added"))
+    for source, key in zip(sources, ("o_orderkey", "c_custkey")):
+        whole = read_growing(t.spark, root, source).agg(F.countDistinct(key).alias("rows_added"))
+        runs.append(whole.select(F.lit(3).alias("run"), F.lit(source.table_name).alias("table_name"), F.lit("whole").alias("status"), "rows_added"))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(runs[3])
