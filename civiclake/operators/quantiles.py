@@ -49,7 +49,7 @@ def _cut_points(values: list[float]) -> list[float]:
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], buckets: int = 512, small: int = SMALL) -> DataFrame:
     """(column, prob, quantile) with linear interpolation between neighbours.
 
-    A distributed selection: estimated quantiles cut a column into intervals, which one aggregation counts. Only the intervals that hold
+    A distributed selection: estimated quantiles around the wanted ranks cut a column into intervals, which one aggregation counts. Only the intervals that hold
     a wanted rank are looked at again, with cut points from their own values, until they hold one value or ``small`` values. A common value is an
     interval by itself, so every round makes the interval some hundred times smaller; a round is a scan and a shuffle of a row per task and
     interval. No value leaves its task before the last step. A column without values gives no row.
@@ -58,11 +58,15 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], bucke
     cells = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(columns)
     ]))).where(F.col("value").isNotNull())
-    shares = [i / buckets for i in range(1, buckets)]
-    estimate = F.percentile_approx("value", shares, buckets * 4).alias("cuts")
+
+    def estimate(places: list[float]) -> Column:
+        """Cut points on both sides of wanted places (shares of an interval's values)."""
+        shares = sorted({min(1.0, max(0.0, p + j / buckets)) for p in places for j in (-3, -0.5, 0.5, 3)})
+        return F.percentile_approx("value", shares, buckets * 4).alias("cuts")
+
     summary = [F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")]
 
-    first = cells.groupBy("column").agg(*summary, estimate).collect()  # one row per column
+    first = cells.groupBy("column").agg(*summary, estimate(probs)).collect()  # one row per column
     lines: dict[int, _Line] = {}
     wanted: dict[int, set[int]] = {}
     opened: dict[tuple[int, int], list[float]] = {}
@@ -113,7 +117,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], bucke
             held = {line.holding(rank) for rank in wanted[c]}
             todo[c] = [i for i in held if line.known[i][0] > small and not line.single(i)]
         todo = {c: own for c, own in todo.items() if own}
-        opened = {(r["column"], r["part"]): r["cuts"] for r in within(todo).groupBy("column", "part").agg(estimate).collect()} if todo else {}
+        places = [
+            (rank - lines[c].before[i]) / lines[c].known[i][0] for c, own in todo.items() for rank in wanted[c] for i in [lines[c].holding(rank)] if i in own]
+        opened = {(r["column"], r["part"]): r["cuts"] for r in within(todo).groupBy("column", "part").agg(estimate(places)).collect()} if todo else {}
 
     # What is left: intervals of one value, and of few values, which come here with their counts.
     few = {c: sorted({i for i in map(line.holding, wanted[c]) if not line.single(i)}) for c, line in lines.items()}
