@@ -2,13 +2,16 @@
 
 The text view sees words (hashed, present or not) and shares of word forms; the page view sees metadata and layout:
 language, source, length, lines, and the shares of kinds of characters. For each target (good quality, toxic) both views
-are logistic regressions. They start from the labelled rows; in each round each view labels the rows of an unlabelled pool it is
-most sure of (at most ``GROWTH`` per class) for the other view, and both are fitted again. Then each view is calibrated on labelled
-rows kept apart (Platt), a logistic regression over the two calibrated scores combines them, and every
+are logistic regressions. They start from the labelled rows. In each round Spark scores every unlabelled document with both calibrated views; the rows that
+one view is sure of (``SURE``) are pseudo-labels for the other, whatever their number. What a view learns from them are sums over all such
+rows, by class and by group of sources: in how many a feature is present, which decides the features that count, and the mean row, which enters
+the next fit with its rows' weight. All pseudo-labels of a class weigh at most as much as its labelled rows. Each view is calibrated on labelled
+rows kept apart (Platt) after each fit, a logistic regression over the two calibrated scores combines them, and every
 document is scored, in one pass without a shuffle. A document is rejected when it is more likely bad than good, or more likely toxic than not.
 
-Fitting happens on the driver, on at most ``LABELLED`` labelled and ``POOL`` unlabelled rows, those of smallest hash of doc_id. Only the fit
-is bounded by these two parameters; scoring covers every row and whole texts.
+The features of all documents are written once to the shared work folder and read again in each round. The driver fits on at most ``LABELLED``
+labelled rows (those of smallest hash) and on sums of fixed size. A text that holds more than a thousandth of all rows counts as one row (there are fewer
+than a thousand such texts). Sums are whole numbers, so they do not depend on the order in which tasks end.
 
 Nulls: a null text counts as empty; a null language, source or length is a value of its own; a null label takes no part in that
 target. Where a target has fewer than two rows of either class, its score is the constant 1 (good) or 0 (toxic). Repeated rows are scored alike; a
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,9 +32,12 @@ from pyspark.sql import functions as F
 
 from civiclake.llm.common import U64, batches, hash_words
 from civiclake.llm.suite import LLM
+from civiclake.session import work_dir
 
-LABELLED, POOL = 4_000, 2_000
-ROUNDS, GROWTH, SURE = 3, 200, 0.95
+LABELLED = 4_000
+ROUNDS, SURE = 3, 0.95
+GROUPS = 4  # of sources, by hash; each gives its own mean rows
+UNIT = 1 << 16  # sums are kept in whole numbers of 1 / UNIT
 WORD_BITS, FORM_BITS, PAGE_BITS = 17, 10, 9
 SLICE_CHARS, TABLE_WORDS = 300_000, 150_000  # what a task holds of texts and of words at a time
 STEPS, DECAY, CHANCE = 120, 0.5, 5.0
@@ -64,13 +71,14 @@ def text_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and values of the text view."""
     last = (1 << WORD_BITS) + (1 << FORM_BITS)
     if not words:
-        return np.array([last + 1]), np.array([1.0])
+        return np.array([last + 1]), np.ones(1, np.float32)
     counts = Counter(words)
     pairs = np.fromiter(map(_words.__getitem__, counts), np.int64, len(counts))
     plain = np.unique(pairs >> 32)
     forms, place = np.unique(pairs & 0xFFFFFFFF, return_inverse=True)
     share = np.bincount(place, np.fromiter(counts.values(), np.float64, len(counts))) * (4 / len(words))
-    return np.concatenate([plain, forms, [last, last + 1]]), np.concatenate([np.ones(len(plain)), share, [4 * len(counts) / len(words), 1.0]])
+    values = np.concatenate([np.ones(len(plain)), share, [4 * len(counts) / len(words), 1.0]])
+    return np.concatenate([plain, forms, [last, last + 1]]), values.astype(np.float32)
 
 
 def page_features(text: str, lang: str | None, source: str | None, n_chars: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +94,7 @@ def page_features(text: str, lang: str | None, source: str | None, n_chars: floa
         float(len(text) < 200), float(len(text) > 5000),
     ]
     values = [("l", lang), ("s", source), ("size", int(np.log2(n))), ("upper", 20 * upper // n), ("other", 20 * other // n)]
-    return np.concatenate([np.arange(len(numbers)), [page_value(*v) for v in values]]), np.concatenate([numbers, np.ones(len(values))])
+    return np.concatenate([np.arange(len(numbers)), [page_value(*v) for v in values]]), np.concatenate([numbers, np.ones(len(values))]).astype(np.float32)
 
 
 @lru_cache(maxsize=10_000)
@@ -122,27 +130,46 @@ class Rows:
         return np.bincount(self.index, self.value * x[self.row], minlength=self.size)
 
 
-def fit(rows: Rows, y: np.ndarray, steps: int = STEPS, decay: float = DECAY) -> np.ndarray:
-    """Logistic regression by Adam over all rows, classes weighted alike.
+class Taught:
+    """Sums over the rows that the other view is sure of: of each class and group of sources."""
+
+    def __init__(self, size: int):
+        self.counts, self.present, self.total = np.zeros((2, GROUPS)), np.zeros((2, GROUPS, size)), np.zeros((2, GROUPS, size))
+
+
+def fit(rows: Rows, y: np.ndarray, taught: Taught | None = None, steps: int = STEPS, decay: float = DECAY) -> np.ndarray:
+    """Logistic regression by Adam over all rows and the mean rows of ``taught``, classes weighted alike.
 
     A present-or-absent feature counts by its log-likelihood ratio between the classes; one that
     chance explains has no weight, so the thousands of neutral words of a long text add no noise.
     """
     yes = y > 0.5
-    present = rows.value != 0
-    p = np.bincount(rows.index[present & yes[rows.row]], minlength=rows.size)
-    q = np.bincount(rows.index[present & ~yes[rows.row]], minlength=rows.size)
-    cells = np.stack([p, q, yes.sum() - p, (~yes).sum() - q]).astype(np.float64)
-    cells = np.maximum(cells, 0)
-    rate = (p + q) / max(1, rows.n)
-    due = np.stack([rate * yes.sum(), rate * (~yes).sum(), (1 - rate) * yes.sum(), (1 - rate) * (~yes).sum()])
+    seen = rows.value != 0
+    present = [np.bincount(rows.index[seen & ~yes[rows.row]], minlength=rows.size).astype(np.float64), np.bincount(rows.index[seen & yes[rows.row]], minlength=rows.size).astype(np.float64)]
+    size = [float((~yes).sum()), float(yes.sum())]
+    index, value, row, labels, share = [rows.index], [rows.value], [rows.row], [y], [np.ones(len(y))]
+    n = rows.n
+    for label in (0, 1) if taught else ():
+        own = min(1.0, size[label] / max(1.0, taught.counts[label].sum()))
+        present[label] += own * taught.present[label].sum(0)
+        size[label] += own * taught.counts[label].sum()
+        for count, total in zip(taught.counts[label], taught.total[label]):
+            if count > 0:
+                at = np.flatnonzero(total)
+                index, value, row = [*index, at], [*value, total[at] / count], [*row, np.full(len(at), n)]
+                labels, share, n = [*labels, [label]], [*share, [own * count]], n + 1
+    index, value, row, y, share = (np.concatenate(part) for part in (index, value, row, labels, share))
+    (q, p), (no, yes) = present, size
+    cells = np.maximum(np.stack([p, q, yes - p, no - q]), 0)
+    rate = (p + q) / max(1, yes + no)
+    due = np.stack([rate * yes, rate * no, (1 - rate) * yes, (1 - rate) * no])
     likelihood = 2 * (cells * np.log(np.maximum(cells, 1e-9) / np.maximum(due, 1e-9))).sum(0)
     scale = np.clip((np.sqrt(np.maximum(likelihood, 0)) - CHANCE) / CHANCE, 0, 3)
-    scale[p + q > 0.98 * (rows.n + 1)] = 1.0  # numbers that nearly every row has
+    scale[p + q > 0.98 * (yes + no + 1)] = 1.0  # numbers that nearly every row has
     x = object.__new__(Rows)
-    used = scale[rows.index] > 0
-    x.index, x.value, x.row, x.size, x.n = rows.index[used], (rows.value * scale[rows.index])[used], rows.row[used], rows.size, rows.n
-    weight = np.where(yes, 0.5 / max(1, yes.sum()), 0.5 / max(1, (~yes).sum())) * len(y)
+    used = scale[index] > 0
+    x.index, x.value, x.row, x.size, x.n = index[used], (value * scale[index])[used], row[used], rows.size, n
+    weight = np.where(y > 0.5, 0.5 / max(1, yes), 0.5 / max(1, no)) * share * (yes + no)
     w, m, v = np.zeros(x.size), np.zeros(x.size), np.zeros(x.size)
     for step in range(1, steps + 1):
         chance = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
@@ -163,31 +190,59 @@ def dense_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def co_train(views: list[Rows], pool: list[Rows], y: np.ndarray, apart: np.ndarray) -> dict | None:
-    """Weights of both views, their calibrations, and the combination."""
-    train = ~apart
-    if min((y[train] > 0.5).sum(), (y[train] < 0.5).sum()) < 2:
-        return None
-    sets = [v.take(train) for v in views]
-    extra = [(np.zeros(p.n, bool), np.zeros(p.n)) for p in pool]
-    weights = [fit(s, y[train]) for s in sets]
-    for _ in range(ROUNDS if pool[0].n else 0):
-        scores = [1 / (1 + np.exp(-np.clip(p.times(w), -30, 30))) for p, w in zip(pool, weights)]
-        for view, other in ((0, 1), (1, 0)):
-            for label in (0, 1):
-                sure = scores[view] if label else 1 - scores[view]
-                best = np.argsort(-sure, kind="stable")[:GROWTH]
-                best = best[(sure[best] >= SURE) & ~extra[other][0][best]]
-                extra[other][0][best], extra[other][1][best] = True, label
-        weights = []
-        for s, p, (chosen, labels) in zip(sets, pool, extra):
-            more = p.take(chosen)
-            both = object.__new__(Rows)
-            both.index, both.value = np.concatenate([s.index, more.index]), np.concatenate([s.value, more.value])
-            both.row, both.size, both.n = np.concatenate([s.row, more.row + s.n]), s.size, s.n + more.n
-            weights.append(fit(both, np.concatenate([y[train], labels[chosen]])))
-    held = [v.take(apart) for v in views] if min((y[apart] > 0.5).sum(), (y[apart] < 0.5).sum()) >= 2 else sets
-    truth = y[apart] if held is not sets else y[train]
+def chances(rows: Rows, weights: np.ndarray, platt: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(rows.times(weights) * platt[0] + platt[1], -30, 30)))
+
+
+def teach(pool: DataFrame, models: dict[str, dict]) -> dict[str, list[Taught]]:
+    """What each view learns from the other about each target, summed over all rows of the pool."""
+    targets = list(models)
+    shared = pool.sparkSession.sparkContext.broadcast([list(zip(models[t]["weights"], models[t]["platt"])) for t in targets])
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        for part in parts:
+            views, bucket, weight = rows_of(part), part["bucket"].to_numpy(), part["weight"].to_numpy()
+            for t, own in enumerate(shared.value):
+                for view, other in ((0, 1), (1, 0)):
+                    score = chances(views[view], *own[view])
+                    taught = views[other].take((score >= SURE) | (score <= 1 - SURE))
+                    rows = np.flatnonzero((score >= SURE) | (score <= 1 - SURE))
+                    if not len(rows):
+                        continue
+                    size, cell = taught.size, (score[rows] >= SURE) * GROUPS + bucket[rows]
+                    key = cell[taught.row] * size + taught.index
+                    unit = np.rint(weight[rows] * UNIT)
+                    new = [
+                        np.bincount(cell, unit, 2 * GROUPS),
+                        np.bincount(key, unit[taught.row] * (taught.value != 0), 2 * GROUPS * size),
+                        np.bincount(key, np.rint(weight[rows][taught.row] * taught.value * UNIT), 2 * GROUPS * size),
+                    ]
+                    old = held.setdefault((t, other), [np.zeros(len(x), np.int64) for x in new])
+                    for x, y in zip(old, new):
+                        x += y.astype(np.int64)
+        for (t, other), (count, present, total) in held.items():
+            size, slot = len(present) // (2 * GROUPS), (2 * t + other) * 2 * GROUPS
+            cell = np.flatnonzero(count)
+            yield pd.DataFrame({"slot": slot + cell, "feature": -1, "present": count[cell], "total": count[cell]})
+            at = np.flatnonzero(present)
+            yield pd.DataFrame({"slot": slot + at // size, "feature": at % size, "present": present[at], "total": total[at]})
+
+    by_task = pool.mapInPandas(sums, "slot int, feature int, present long, total long")
+    found = by_task.groupBy("slot", "feature").agg(F.sum("present").alias("present"), F.sum("total").alias("total")).toPandas()  # at most 16 * GROUPS rows a feature
+    out = {t: [Taught(TEXT_SIZE), Taught(PAGE_SIZE)] for t in targets}
+    for slot, rows in found.groupby("slot"):
+        t, other, label, bucket = np.unravel_index(int(slot), (len(targets), 2, 2, GROUPS))
+        taught, feature = out[targets[t]][other], rows["feature"].to_numpy()
+        whole = feature < 0
+        taught.counts[label, bucket] = rows["present"].to_numpy()[whole].sum() / UNIT
+        taught.present[label, bucket, feature[~whole]] = rows["present"].to_numpy()[~whole] / UNIT
+        taught.total[label, bucket, feature[~whole]] = rows["total"].to_numpy()[~whole] / UNIT
+    return out
+
+
+def calibrate(weights: list[np.ndarray], held: list[Rows], truth: np.ndarray) -> dict:
+    """The views' weights, their calibrations, and the combination."""
     platt = [dense_fit(h.times(w)[:, None], truth) for h, w in zip(held, weights)]
     calibrated = np.column_stack([h.times(w) * c[0] + c[1] for h, w, c in zip(held, weights, platt)])
     return {"weights": weights, "platt": platt, "mix": dense_fit(calibrated, truth)}
@@ -198,37 +253,85 @@ def combined(model: dict, views: list[Rows]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z @ model["mix"][:-1] + model["mix"][-1], -30, 30)))
 
 
-def views_of(part: pd.DataFrame) -> list[Rows]:
+def feature_lists(part: pd.DataFrame) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Of each view, the feature numbers and values of each row."""
     rows = list(zip(part["text"], part["lang"], part["source"], part["n_chars"]))
     words = [r[0].split() for r in rows]
     number_words(set().union(*words))
-    return [Rows([text_features(own) for own in words], TEXT_SIZE), Rows([page_features(*r) for r in rows], PAGE_SIZE)]
+    return [[text_features(own) for own in words], [page_features(*r) for r in rows]]
+
+
+def views_of(part: pd.DataFrame) -> list[Rows]:
+    text, page = feature_lists(part)
+    return [Rows(text, TEXT_SIZE), Rows(page, PAGE_SIZE)]
+
+
+def rows_of(part: pd.DataFrame | dict) -> list[Rows]:
+    """The views of rows of the written features."""
+    return [Rows(list(zip(part["words"], part["word_values"])), TEXT_SIZE), Rows(list(zip(part["page"], part["page_values"])), PAGE_SIZE)]
 
 
 def known_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict:
+FEATURES = "words array<int>, word_values array<float>, page array<int>, page_values array<float>"
+
+
+def _features(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+    words, pages = [], []
+    for some in batches(text.tolist(), SLICE_CHARS):
+        own = feature_lists(pd.DataFrame({"text": text[some], "lang": lang[some], "source": source[some], "n_chars": n_chars[some]}))
+        words, pages = words + own[0], pages + own[1]
+    return pd.DataFrame({"words": [i for i, _ in words], "word_values": [v for _, v in words], "page": [i for i, _ in pages], "page_values": [v for _, v in pages]})
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """The features of every document, written to the shared work folder."""
+    rows = known_columns(docs).select("doc_id", F.xxhash64("text").alias("text_id"), F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(GROUPS)).cast("int").alias("bucket"), F.pandas_udf(_features, FEATURES)("text", "lang", "source", "n_chars").alias("own"))
+    path = work_dir(docs.sparkSession, "quality")
+    rows.select("doc_id", "text_id", "bucket", "own.*").write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(f"doc_id long, text_id long, bucket int, {FEATURES}").parquet(path)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict:
     """Models by target: quality, toxic."""
-    docs = known_columns(docs).filter("doc_id is not null")
+    return learn(features(docs), labels, labelled)
+
+
+def learn(found: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict:
+    """Models by target from the written features of all documents."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic")).filter("doc_id is not null")
-    draw = F.xxhash64("doc_id", F.lit(4))
     # The rows of smallest hash: Spark keeps that many per task, never all.
-    chosen = labels.orderBy(draw, "doc_id", "quality", "toxic").limit(labelled)
-    rows = docs.join(F.broadcast(chosen), "doc_id").toPandas()  # a bounded number of rows on either side of the join
-    others = docs.select("doc_id").orderBy(draw, "doc_id").limit(labelled + pool).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").orderBy(draw, "doc_id").limit(pool)
-    rest = docs.join(F.broadcast(others), "doc_id", "left_semi").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates(["text", "quality", "toxic"], ignore_index=True)  # copies are no further evidence
-    rest = rest.sort_values(["doc_id", "text"]).drop_duplicates("text", ignore_index=True)
-    views, unlabelled = views_of(rows), views_of(rest)
-    models = {}
+    chosen = labels.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "quality", "toxic").limit(labelled)
+    rows = found.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text_id", "quality", "toxic"])  # copies are no further evidence
+    rows = rows.orderBy(F.xxhash64("text_id", F.lit(4)), "quality", "toxic").limit(labelled).toPandas()
+    rows = rows.sort_values(["text_id", "quality", "toxic"], ignore_index=True)
+    views = rows_of(rows)
+    known, models = {}, {}
     for target in ("quality", "toxic"):
         y = rows[target].to_numpy(np.float64)
-        known = ~np.isnan(y)
-        apart = np.arange(int(known.sum())) % 4 == 3
-        models[target] = co_train([v.take(known) for v in views], unlabelled, y[known], apart)
-    return models
+        some = ~np.isnan(y)
+        y, own = y[some], [v.take(some) for v in views]
+        apart = np.arange(len(y)) % 4 == 3
+        if min((y[~apart] > 0.5).sum(), (y[~apart] < 0.5).sum()) >= 2:
+            checked = apart if min((y[apart] > 0.5).sum(), (y[apart] < 0.5).sum()) >= 2 else ~apart
+            known[target] = [v.take(~apart) for v in own], y[~apart], [v.take(checked) for v in own], y[checked]
+            models[target] = calibrate([fit(v, y[~apart]) for v in known[target][0]], *known[target][2:])
+    if models:
+        hot = found.groupBy("text_id").agg(F.count("*").alias("copies")).filter(F.col("copies") > max(1, found.count() / 1000))
+        pool = found.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").join(F.broadcast(hot), "text_id", "left")
+        pool = pool.select("bucket", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"), "words", "word_values", "page", "page_values")
+        for _ in range(rounds):
+            taught = teach(pool, models)
+            models = {t: calibrate([fit(v, known[t][1], own) for v, own in zip(known[t][0], taught[t])], *known[t][2:]) for t in models}
+    return {t: models.get(t) for t in ("quality", "toxic")}
+
+
+def scores(views: list[Rows], models: dict) -> np.ndarray:
+    """Columns quality and toxic."""
+    n = views[0].n
+    return np.column_stack([combined(m, views) if m else np.full(n, empty) for m, empty in ((models["quality"], 1.0), (models["toxic"], 0.0))])
 
 
 def scorer(docs: DataFrame, models: dict):
@@ -240,8 +343,7 @@ def scorer(docs: DataFrame, models: dict):
         out = []
         for some in batches(text.tolist(), SLICE_CHARS):
             views = views_of(pd.DataFrame({"text": text[some], "lang": lang[some], "source": source[some], "n_chars": n_chars[some]}))
-            n = views[0].n
-            out.append(np.column_stack([combined(m, views) if m else np.full(n, empty) for m, empty in ((shared.value["quality"], 1.0), (shared.value["toxic"], 0.0))]))
+            out.append(scores(views, shared.value))
         flat = np.concatenate(out) if out else np.zeros((0, 2))
         return pd.DataFrame({"quality": flat[:, 0], "toxic": flat[:, 1]})
 
@@ -253,9 +355,20 @@ def passes(score: Column) -> Column:
     return (score["quality"] >= 0.5) & (score["toxic"] < 0.5)
 
 
+def feature_scorer(found: DataFrame, models: dict) -> Column:
+    """A struct of quality and toxic from the written features."""
+    shared = found.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf("quality double, toxic double")
+    def score(words: pd.Series, word_values: pd.Series, page: pd.Series, page_values: pd.Series) -> pd.DataFrame:
+        flat = scores(rows_of({"words": words, "word_values": word_values, "page": page, "page_values": page_values}), shared.value)
+        return pd.DataFrame({"quality": flat[:, 0], "toxic": flat[:, 1]})
+
+    return score("words", "word_values", "page", "page_values")
+
+
 @LLM.query("op4_quality")
 def op4_quality(t) -> DataFrame:
-    models = train(t.documents, t.labels)
-    docs = known_columns(t.documents)
-    rows = docs.select("doc_id", scorer(docs, models).alias("score"))
+    found = features(t.documents)
+    rows = found.select("doc_id", feature_scorer(found, learn(found, t.labels)).alias("score"))
     return rows.select("doc_id", F.col("score.quality").alias("quality"), F.col("score.toxic").alias("toxic"), passes(F.col("score")).alias("keep"))

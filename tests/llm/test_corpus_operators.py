@@ -353,3 +353,28 @@ def test_license_files_of_whole_texts(spark):
     assert {k: (v["license"], v["inherited_from"], v["license_file"]) for k, v in got.items()} == {
         1: ("MIT", None, True), 2: ("MIT", "m", False), 3: ("Apache-2.0", None, True), 4: ("Apache-2.0", "a", False), 5: ("GPL-3.0", None, True),
         6: ("GPL-3.0", "g", False), 7: (None, None, False), 8: ("GPL-2.0", None, True), 9: ("GPL-2.0", "g/old", False)}
+
+
+def test_quality_teaches_from_every_unlabelled_row(spark):
+    r = random.Random(11)
+    texts = [(" ".join(w.upper() + "!!" for w in prose(r, 40).split()) if i % 3 == 1 else prose(r, 40)) for i in range(300)] + [None, "", "same text"] + ["same text"] * 60
+    frame = docs(spark, texts).repartition(5)
+    found = quality.features(frame)
+    pool = found.withColumn("weight", F.when(F.col("doc_id") >= 302, 0.25).otherwise(1.0))
+    rows = pool.orderBy("doc_id").toPandas()
+    assert len(rows) == len(texts)
+    views = quality.rows_of(rows)
+    # Lengths differ a little, so a weight on one number of each view leaves some rows sure and some not.
+    weights = [np.linspace(-3, 3, v.size) for v in views]
+    platt = [np.array([1.0, -float(np.median(v.times(w)))]) for v, w in zip(views, weights)]
+    taught = quality.teach(pool, {"quality": {"weights": weights, "platt": platt}})["quality"]
+    for view, other in ((0, 1), (1, 0)):
+        score = quality.chances(views[view], weights[view], platt[view])
+        for label, sure in ((0, score <= 1 - quality.SURE), (1, score >= quality.SURE)):
+            for bucket in range(quality.GROUPS):
+                own = sure & (rows["bucket"].to_numpy() == bucket)
+                share, part = rows["weight"].to_numpy()[own], views[other].take(own)
+                assert taught[other].counts[label, bucket] == share.sum()
+                assert np.array_equal(taught[other].present[label, bucket], np.bincount(part.index, share[part.row] * (part.value != 0), part.size))
+                assert np.allclose(taught[other].total[label, bucket], np.bincount(part.index, share[part.row] * part.value, part.size), atol=0.01)
+        assert taught[other].counts.sum() > 0
