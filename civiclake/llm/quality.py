@@ -113,14 +113,14 @@ class Rows:
         self.lengths = np.array([len(i) for i, _ in rows], dtype=np.int64)
         self.index = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int64)
         self.value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-        self.row = np.repeat(np.arange(len(rows)), self.lengths)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.lengths)
         self.size, self.n = size, len(rows)
 
     def take(self, chosen: np.ndarray) -> "Rows":
         out = object.__new__(Rows)
         mask = chosen[self.row]
         out.lengths, out.index, out.value = self.lengths[chosen], self.index[mask], self.value[mask]
-        out.row, out.size, out.n = np.repeat(np.arange(int(chosen.sum())), out.lengths), self.size, int(chosen.sum())
+        out.row, out.size, out.n = np.repeat(np.arange(int(chosen.sum()), dtype=np.int32), out.lengths), self.size, int(chosen.sum())
         return out
 
     def times(self, weights: np.ndarray) -> np.ndarray:
@@ -147,18 +147,11 @@ def fit(rows: Rows, y: np.ndarray, taught: Taught | None = None, steps: int = ST
     seen = rows.value != 0
     present = [np.bincount(rows.index[seen & ~yes[rows.row]], minlength=rows.size).astype(np.float64), np.bincount(rows.index[seen & yes[rows.row]], minlength=rows.size).astype(np.float64)]
     size = [float((~yes).sum()), float(yes.sum())]
-    index, value, row, labels, share = [rows.index], [rows.value], [rows.row], [y], [np.ones(len(y))]
-    n = rows.n
+    own = [0.0, 0.0]
     for label in (0, 1) if taught else ():
-        own = min(1.0, size[label] / max(1.0, taught.counts[label].sum()))
-        present[label] += own * taught.present[label].sum(0)
-        size[label] += own * taught.counts[label].sum()
-        for count, total in zip(taught.counts[label], taught.total[label]):
-            if count > 0:
-                at = np.flatnonzero(total)
-                index, value, row = [*index, at], [*value, total[at] / count], [*row, np.full(len(at), n)]
-                labels, share, n = [*labels, [label]], [*share, [own * count]], n + 1
-    index, value, row, y, share = (np.concatenate(part) for part in (index, value, row, labels, share))
+        own[label] = min(1.0, size[label] / max(1.0, taught.counts[label].sum()))
+        present[label] += own[label] * taught.present[label].sum(0)
+        size[label] += own[label] * taught.counts[label].sum()
     (q, p), (no, yes) = present, size
     cells = np.maximum(np.stack([p, q, yes - p, no - q]), 0)
     rate = (p + q) / max(1, yes + no)
@@ -166,9 +159,17 @@ def fit(rows: Rows, y: np.ndarray, taught: Taught | None = None, steps: int = ST
     likelihood = 2 * (cells * np.log(np.maximum(cells, 1e-9) / np.maximum(due, 1e-9))).sum(0)
     scale = np.clip((np.sqrt(np.maximum(likelihood, 0)) - CHANCE) / CHANCE, 0, 3)
     scale[p + q > 0.98 * (yes + no + 1)] = 1.0  # numbers that nearly every row has
+    used = scale[rows.index] > 0
+    index, value, row, labels, share, n = [rows.index[used]], [rows.value[used]], [rows.row[used]], [y], [np.ones(len(y))], rows.n
+    for label in (0, 1) if taught else ():
+        for count, total in zip(taught.counts[label], taught.total[label]):
+            if count > 0:
+                at = np.flatnonzero(total * scale)
+                index, value, row = [*index, at], [*value, total[at] / count], [*row, np.full(len(at), n)]
+                labels, share, n = [*labels, [label]], [*share, [own[label] * count]], n + 1
     x = object.__new__(Rows)
-    used = scale[index] > 0
-    x.index, x.value, x.row, x.size, x.n = index[used], (value * scale[index])[used], row[used], rows.size, n
+    x.index, x.row, y, share = (np.concatenate(part) for part in (index, row, labels, share))
+    x.value, x.size, x.n = np.concatenate(value) * scale[x.index], rows.size, n
     weight = np.where(y > 0.5, 0.5 / max(1, yes), 0.5 / max(1, no)) * share * (yes + no)
     w, m, v = np.zeros(x.size), np.zeros(x.size), np.zeros(x.size)
     for step in range(1, steps + 1):
@@ -229,7 +230,7 @@ def teach(pool: DataFrame, models: dict[str, dict]) -> dict[str, list[Taught]]:
             yield pd.DataFrame({"slot": slot + at // size, "feature": at % size, "present": present[at], "total": total[at]})
 
     by_task = pool.mapInPandas(sums, "slot int, feature int, present long, total long")
-    found = by_task.groupBy("slot", "feature").agg(F.sum("present").alias("present"), F.sum("total").alias("total")).toPandas()  # at most 16 * GROUPS rows a feature
+    found = by_task.groupBy("slot", "feature").agg(F.sum("present").alias("present"), F.sum("total").alias("total")).toArrow().to_pandas()  # at most 16 * GROUPS rows a feature
     out = {t: [Taught(TEXT_SIZE), Taught(PAGE_SIZE)] for t in targets}
     for slot, rows in found.groupby("slot"):
         t, other, label, bucket = np.unravel_index(int(slot), (len(targets), 2, 2, GROUPS))
@@ -305,7 +306,7 @@ def learn(found: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     # The rows of smallest hash: Spark keeps that many per task, never all.
     chosen = labels.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "quality", "toxic").limit(labelled)
     rows = found.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text_id", "quality", "toxic"])  # copies are no further evidence
-    rows = rows.orderBy(F.xxhash64("text_id", F.lit(4)), "quality", "toxic").limit(labelled).toPandas()
+    rows = rows.orderBy(F.xxhash64("text_id", F.lit(4)), "quality", "toxic").limit(labelled).toArrow().to_pandas()
     rows = rows.sort_values(["text_id", "quality", "toxic"], ignore_index=True)
     views = rows_of(rows)
     known, models = {}, {}
