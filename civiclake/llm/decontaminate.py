@@ -1,11 +1,13 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are lower-cased words (runs of letters, digits and underscores). Runs of ``GRAM`` words (an item with fewer words is one
-run as a whole) link documents to test items. Every run that a document shares with an item is a seed, however many documents
-hold it: of an edited copy that occurs often, the few runs left are frequent ones. Each seed hit gives a diagonal; diagonals of a
+run as a whole) link documents to test items. Every run that a document shares with an item is a hit, however many documents
+hold it: of an edited copy that occurs often, the few runs left are frequent ones. Rare is the seed: runs at two different places of the item (one, if it
+has only one) in the same document. Four unchanged words in a row hold two such runs, and so does a copy of which every fourth word is changed, while
+chance meetings on a single common run form no pair. Each hit gives a diagonal; diagonals of a
 pair fall into bins of ``BIN`` words, and the part of the document around a bin is aligned with the item, many pairs at once in
 numpy. A pair is kept when its best local score (a match counts 1, a mismatch or a gap -0.5) reaches ``SIMILAR`` of the item's
-words; parts that hold too few of these words to reach it are not aligned. Pairs that share no run are not found.
+words; parts that hold too few of these words to reach it are not aligned. Pairs without a seed are not found.
 
 The items' runs are tested on the documents' side through a bitmap of fixed size (8 MB), which lets others pass and
 loses none; the join on the run decides. Whole documents are read; only parts around a bin are aligned.
@@ -28,7 +30,7 @@ from civiclake.llm.common import batches, cut, hash_words, rolling, slices
 from civiclake.llm.line_dedup import bitmap, hit
 from civiclake.llm.suite import LLM
 
-GRAM = 4
+GRAM = 3
 BIN = 64
 SIMILAR = 0.5
 PENALTY = 0.5
@@ -122,11 +124,12 @@ def _cut_parts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text_id, text, bins in zip(part["doc_id"], part["text_id"], part["text"], part["bins"]):
             words = words_of(text)
             for one in bins:
-                item_id, place, size = one["item_id"], one["bin"] * BIN, one["size"]
+                item_id, size = one["item_id"], one["size"]
                 slack = max(32, size // 4)
-                own = words[max(0, place - slack):max(0, place + BIN + size + slack)]
-                if own:
-                    out.append((doc_id, text_id, item_id, " ".join(own)))
+                for place in (b * BIN for b in one["places"]):
+                    own = words[max(0, place - slack):max(0, place + BIN + size + slack)]
+                    if own:
+                        out.append((doc_id, text_id, item_id, " ".join(own)))
         yield pd.DataFrame(out, columns=["doc_id", "text_id", "item_id", "part"])
 
 
@@ -153,8 +156,9 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, similar: float = SIMIL
                 yield pd.DataFrame({**own, "id": key[keep], "pos": place[keep]})
 
     hits = docs.mapInPandas(probe, "doc_id long, text_id long, id long, pos long").join(runs, "id")
-    bins = hits.select("doc_id", "text_id", F.struct("item_id", F.floor((F.col("pos") - F.col("at")) / BIN).alias("bin"), "size").alias("one")).distinct()
-    by_doc = bins.groupBy("doc_id", "text_id").agg(F.collect_list("one").alias("bins"))
+    pairs = hits.groupBy("doc_id", "text_id", "item_id").agg(F.collect_set(F.floor((F.col("pos") - F.col("at")) / BIN)).alias("places"), F.min("at").alias("least"), F.max("at").alias("most"), F.max("size").alias("size"))
+    seeded = pairs.filter((F.col("most") > F.col("least")) | (F.col("size") <= GRAM))
+    by_doc = seeded.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("item_id", "places", "size")).alias("bins"))
     parts = docs.join(by_doc, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "bins").mapInPandas(_cut_parts, "doc_id long, text_id long, item_id long, part string")
     texts = items.select("item_id", F.col("text").alias("item_text"))
     scored = parts.join(texts, "item_id").select("doc_id", "text_id", "item_id", "part", "item_text").mapInPandas(_aligned(similar), "doc_id long, text_id long, item_id long, score double")

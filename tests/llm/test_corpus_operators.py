@@ -378,3 +378,31 @@ def test_quality_teaches_from_every_unlabelled_row(spark):
                 assert np.array_equal(taught[other].present[label, bucket], np.bincount(part.index, share[part.row] * (part.value != 0), part.size))
                 assert np.allclose(taught[other].total[label, bucket], np.bincount(part.index, share[part.row] * part.value, part.size), atol=0.01)
         assert taught[other].counts.sum() > 0
+
+
+def test_contamination_with_every_fourth_word_changed_and_against_all_pairs(spark):
+    r = random.Random(12)
+    words = prose(r, 90).split()
+    item = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [item(n) for n in (3, 4, 12, 40, 61)]
+    texts = [item(r.randint(0, 150)) for _ in range(20)]
+    planted = set()
+    for number, text in enumerate(items):
+        own = text.split()
+        changed = " ".join(w if place % 4 != 3 else "edited" for place, w in enumerate(own))
+        for copy in (text, changed) if len(own) > 4 else (text,):
+            planted.add((len(texts), number))
+            texts.append(f"{item(70)} {copy} {item(50)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert planted <= set(got)
+    hashed = decontaminate._hashed([x.split() for x in [*items, *texts]])
+    runs = lambda text: [tuple(text.split()[i:i + 3]) for i in range(len(text.split()) - 2)]
+    for i, text in enumerate(texts):
+        for j, own in enumerate(items):
+            true = decontaminate.smith_waterman([hashed[j]], [hashed[len(items) + i]])[0] / len(own.split()) if text else 0.0
+            shared = len([x for x in runs(own) if x in set(runs(text))])
+            if true >= decontaminate.SIMILAR and shared >= min(2, len(runs(own))):
+                assert got[i, j] == true
+            else:
+                assert (i, j) not in got
