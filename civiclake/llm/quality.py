@@ -40,6 +40,7 @@ GROUPS = 4  # of sources, by hash; each gives its own mean rows
 UNIT = 1 << 16  # sums are kept in whole numbers of 1 / UNIT
 WORD_BITS, FORM_BITS, PAGE_BITS = 17, 10, 9
 SLICE_CHARS, TABLE_WORDS = 300_000, 150_000  # what a task holds of texts and of words at a time
+SLICE_ROWS = 1_500  # and of written features
 STEPS, DECAY, CHANCE = 120, 0.5, 5.0
 META = "doc_id long, text string, lang string, source string, n_chars long"
 DIGIT = re.compile(r"[0-9]")
@@ -202,7 +203,7 @@ def teach(pool: DataFrame, models: dict[str, dict]) -> dict[str, list[Taught]]:
 
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], list[np.ndarray]] = {}
-        for part in parts:
+        for part in (whole.iloc[start:start + SLICE_ROWS] for whole in parts for start in range(0, len(whole), SLICE_ROWS)):
             views, bucket, weight = rows_of(part), part["bucket"].to_numpy(), part["weight"].to_numpy()
             for t, own in enumerate(shared.value):
                 for view, other in ((0, 1), (1, 0)):
@@ -226,8 +227,9 @@ def teach(pool: DataFrame, models: dict[str, dict]) -> dict[str, list[Taught]]:
             size, slot = len(present) // (2 * GROUPS), (2 * t + other) * 2 * GROUPS
             cell = np.flatnonzero(count)
             yield pd.DataFrame({"slot": slot + cell, "feature": -1, "present": count[cell], "total": count[cell]})
-            at = np.flatnonzero(present)
-            yield pd.DataFrame({"slot": slot + at // size, "feature": at % size, "present": present[at], "total": total[at]})
+            for one in cell.tolist():
+                at = np.flatnonzero(present[one * size:(one + 1) * size])
+                yield pd.DataFrame({"slot": slot + one, "feature": at, "present": present[one * size + at], "total": total[one * size + at]})
 
     by_task = pool.mapInPandas(sums, "slot int, feature int, present long, total long")
     found = by_task.groupBy("slot", "feature").agg(F.sum("present").alias("present"), F.sum("total").alias("total")).toArrow().to_pandas()  # at most 16 * GROUPS rows a feature
@@ -284,7 +286,7 @@ def _features(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.S
     for some in batches(text.tolist(), SLICE_CHARS):
         own = feature_lists(pd.DataFrame({"text": text[some], "lang": lang[some], "source": source[some], "n_chars": n_chars[some]}))
         words, pages = words + own[0], pages + own[1]
-    return pd.DataFrame({"words": [i for i, _ in words], "word_values": [v for _, v in words], "page": [i for i, _ in pages], "page_values": [v for _, v in pages]})
+    return pd.DataFrame({"words": [i.astype(np.int32) for i, _ in words], "word_values": [v for _, v in words], "page": [i for i, _ in pages], "page_values": [v for _, v in pages]})
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -362,7 +364,9 @@ def feature_scorer(found: DataFrame, models: dict) -> Column:
 
     @F.pandas_udf("quality double, toxic double")
     def score(words: pd.Series, word_values: pd.Series, page: pd.Series, page_values: pd.Series) -> pd.DataFrame:
-        flat = scores(rows_of({"words": words, "word_values": word_values, "page": page, "page_values": page_values}), shared.value)
+        own = {"words": words, "word_values": word_values, "page": page, "page_values": page_values}
+        out = [scores(rows_of({k: v.iloc[start:start + SLICE_ROWS] for k, v in own.items()}), shared.value) for start in range(0, len(words), SLICE_ROWS)]
+        flat = np.concatenate(out) if out else np.zeros((0, 2))
         return pd.DataFrame({"quality": flat[:, 0], "toxic": flat[:, 1]})
 
     return score("words", "word_values", "page", "page_values")
