@@ -146,7 +146,8 @@ def match_tolerance(probes: DataFrame, index: DataFrame, key: str = "result_id")
 
     The cells of a slot are reduced to their least and greatest. A tolerance interval
     is wider than a slot, so a slot lies inside it or is cut by one end only: the two
-    extremes decide, and no slot can grow into many candidates.
+    extremes decide, and no slot can grow into many candidates. The exploded side is many times
+    its estimate and the slots are as many as the cells, so neither is broadcast.
     """
     cells = (
         with_slot(index).where(F.col("slot").isNotNull()).groupBy(key, "slot")
@@ -157,7 +158,7 @@ def match_tolerance(probes: DataFrame, index: DataFrame, key: str = "result_id")
     column = F.when(close(F.col("least.num"), F.col("num")), F.col("least.column")).when(
         close(F.col("most.num"), F.col("num")), F.col("most.column"))
     return (
-        tried.join(cells, [key, "slot"]).withColumn("column", column).where(F.col("column").isNotNull())
+        tried.join(cells.hint("merge"), [key, "slot"]).withColumn("column", column).where(F.col("column").isNotNull())
         .groupBy(key, "num").agg(F.min("column").alias("column"))
     )
 

@@ -84,7 +84,8 @@ def match_tolerance(t):
     probes = cells.where(F.col("num").isNotNull()).select("result_id", "num", scales.alias("k")).select(
         "result_id", (F.col("num") * F.col("k")).alias("num")).distinct()
     found = c.match_tolerance(probes, cells)
-    return probes.join(found, ["result_id", "num"], "left").select("result_id", "num", F.col("column").isNotNull().alias("found"))
+    # About as many rows as there are probes: too many for a broadcast, whatever the estimate says.
+    return probes.join(found.hint("merge"), ["result_id", "num"], "left").select("result_id", "num", F.col("column").isNotNull().alias("found"))
 
 
 @CHECKS.query("match_percentage", f"""
