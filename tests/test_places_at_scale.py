@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from civiclake.functions import geometry as g
 from civiclake.operators.cover import count_in_shapes
 from civiclake.operators.nearest_join import nearest_k_join
+from civiclake.operators.spatial import spatial_join
 from tests.test_geometry import CONCAVE, HOLE, LINE, LOOP, MIXED, TWO
 
 POINTS = "lon double, lat double, shape string, id int"
@@ -76,3 +77,33 @@ def test_nearest_k_of_nothing(spark):
     assert [tuple(x) for x in nearest_k_join(asked, there, 3, "probe", "target").collect()] == [(1, 1, 1, 0.0)]
     with pytest.raises(ValueError):
         nearest_k_join(asked, there, 0, "probe", "target")
+
+
+def test_cells_of_probes_and_not_probes_go_down(spark, monkeypatch, tmp_path):
+    """Probes far from all targets and close to each other: what is written per level does not grow with them."""
+    monkeypatch.setattr("civiclake.operators.nearest_join.work_dir", lambda spark, purpose: f"{tmp_path}/work")
+    r = random.Random(3)
+    probes = [(i, 40 + r.random() / 1000, -0.0 if i % 7 == 0 else 30 + r.random() / 1000) for i in range(700)]
+    targets = [(i, r.gauss(0, 2), r.gauss(0, 2)) for i in range(400)] + [(1000 + i, 1.0, 1.0) for i in range(30)] + [(None, 40.0, 30.0)]
+    given = [spark.createDataFrame(x, "id int, lon double, lat double") for x in (probes, targets)]
+    found = nearest_k_join(given[0].withColumnRenamed("id", "p"), given[1].withColumnRenamed("id", "t"), 3, "p", "t")
+    assert {(x["p"], x["rank"], x["t"], round(x["distance_km"], 6)) for x in found.collect()} == near_by_hand(probes, targets[:-1], 3)
+    fronts = [spark.read.parquet(str(x)).count() for x in (tmp_path / "work").glob("front-*")]
+    assert fronts and max(fronts) < 5_000
+
+
+@pytest.mark.parametrize("km", [None, 150.0])
+def test_places_and_texts_that_repeat_are_joined_once(spark, monkeypatch, km):
+    """Every pair of rows is there, also of rows that are equal and of places with more rows than a list holds."""
+    monkeypatch.setattr("civiclake.operators.spatial.MOST_TOGETHER", 3)
+    r = random.Random(9)
+    points = [(i, r.choice([1.0, 2.5, -0.0, 0.0, 3.0]), r.choice([1, 2, 5])) for i in range(60)] + [(1, 1.0, 1)] * 8 + [(99, None, 1), (98, float("nan"), 2)]
+    shapes = [(i % 9, r.choice([HOLE, CONCAVE, TWO, LINE, "POINT (1 1)", "POLYGON EMPTY", None])) for i in range(50)] + [(3, HOLE)] * 7
+    left, right = spark.createDataFrame(points, "p int, lon double, lat long"), spark.createDataFrame(shapes, "s int, geometry_wkt string")
+    shape, x, y = g.parse_wkt(F.col("geometry_wkt")), F.col("lon"), F.col("lat").cast("double")
+    both = left.where("lon is not null and not isnan(lon)").crossJoin(right.where("geometry_wkt is not null"))
+    want = both.where(g.contains_point(shape, x, y) if km is None else g.distance(shape, x, y) <= km / 111.0)
+    got = spatial_join(left, right, within_km=km)
+    assert got.columns == ["p", "lon", "lat", "s", "geometry_wkt", *(["distance_km"] if km else [])]
+    key = lambda row: (row["p"], str(row["lon"]), row["lat"], row["s"], row["geometry_wkt"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and want.count() > 100
