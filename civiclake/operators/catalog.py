@@ -305,6 +305,16 @@ def resolve_ids(requests: DataFrame, datasets: DataFrame, portals: Sequence[Port
     )
 
 
+def _by_age(found: str | Column) -> Column:
+    """A list of (id, metadata_modified) in the order of ``newest_first``."""
+    def order(a: Column, b: Column) -> Column:
+        x, y = a["metadata_modified"], b["metadata_modified"]
+        by_id = F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+        return F.when(x.eqNullSafe(y), by_id).when(y.isNull() | (x > y), -1).otherwise(1)
+
+    return F.array_sort(found, order)
+
+
 def related_datasets(datasets: DataFrame, sources: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """For each source dataset the ``limit`` most related ones of the same portal.
 
@@ -315,32 +325,35 @@ def related_datasets(datasets: DataFrame, sources: DataFrame | None = None, limi
     ``limit + 1`` of a tag can be among a source's results, and if the tags give
     fewer than ``limit``, the newest ``2 * limit`` of the organization must hold the
     rest. A tag or organization of any size thus contributes a bounded list.
+
+    A tag or organization is one row with that list, and so is a source with all it finds; the
+    list is sorted and cut in the row, and no task groups the single candidates.
     """
     base = datasets if sources is None else datasets.join(sources.select("portal", "id"), ["portal", "id"], "left_semi")
-    source = base.select("portal", F.col("id").alias("source_id"), F.col("tags").alias("source_tags"), "org_name")
+    source = base.where(F.col("id").isNotNull()).select("portal", F.col("id").alias("source_id"), F.col("tags").alias("source_tags"), "org_name")
 
     def newest(rows: DataFrame, key: str, n: int) -> DataFrame:
         place = F.row_number().over(W.partitionBy("portal", key).orderBy(*newest_first()))
-        return rows.withColumn("place", place).where(F.col("place") <= n).drop("place")
+        first = rows.withColumn("place", place).where(F.col("place") <= n)
+        return first.groupBy("portal", key).agg(F.collect_list(F.struct("id", "metadata_modified")).alias("found"))
 
-    members = datasets.select("portal", "id", "metadata_modified", F.explode(F.array_distinct("tags")).alias("tag"))
+    # Dealt first, so that no task sorts all that one file holds.
+    dealt = datasets.select("portal", "id", "metadata_modified", "org_name", F.array_distinct("tags").alias("tags")).repartition("portal", "id")
+    members = dealt.select("portal", "id", "metadata_modified", F.explode("tags").alias("tag"))
     tagged = source.select("portal", "source_id", F.explode(F.array_distinct("source_tags")).alias("tag"))
-    by_tag = (
-        spread_join(tagged, newest(members, "tag", limit + 1), ["portal", "tag"], "inner")
-        .where(F.col("id") != F.col("source_id"))
-        .select("portal", "source_id", "id", "metadata_modified", F.lit(0).alias("step")).distinct()
-    )
-    in_org = datasets.where(F.col("org_name") != "").select("portal", "id", "metadata_modified", "org_name")
-    by_org = (
-        spread_join(source.select("portal", "source_id", "org_name"), newest(in_org, "org_name", 2 * limit + 1), ["portal", "org_name"], "inner")
-        .where(F.col("id") != F.col("source_id"))
-        .select("portal", "source_id", "id", "metadata_modified", F.lit(1).alias("step"))
-    )
-    best = W.partitionBy("portal", "source_id").orderBy("step", *newest_first())
-    chosen = (
-        by_tag.unionByName(by_org).groupBy("portal", "source_id", "id", "metadata_modified").agg(F.min("step").alias("step"))
-        .withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
-    )
+    in_org = dealt.where(F.col("org_name") != "").select("portal", "id", "metadata_modified", "org_name")
+    by_tag = spread_join(tagged, newest(members, "tag", limit + 1), ["portal", "tag"], "inner", merge=True).select(
+        "portal", "source_id", F.col("found").alias("by_tag"))
+    by_org = spread_join(
+        source.select("portal", "source_id", "org_name"), newest(in_org, "org_name", 2 * limit + 1), ["portal", "org_name"], "inner", merge=True,
+    ).select("portal", "source_id", F.col("found").alias("by_org"))
+    others = lambda found: F.filter(F.array_distinct(F.flatten(found)), lambda c: c["id"] != F.col("source_id"))
+    # Sets, so that a source that is there many times has each list once.
+    gathered = by_tag.unionByName(by_org, allowMissingColumns=True).groupBy("portal", "source_id").agg(
+        F.collect_set("by_tag").alias("by_tag"), F.collect_set("by_org").alias("by_org")).withColumns({"by_tag": others("by_tag"), "by_org": others("by_org")})
+    ranked = F.concat(F.slice(_by_age("by_tag"), 1, limit), F.slice(_by_age(F.array_except("by_org", "by_tag")), 1, limit))
+    chosen = gathered.select("portal", "source_id", F.size("by_tag").alias("n_tagged"), F.posexplode(F.slice(ranked, 1, limit)).alias("place", "c")).select(
+        "portal", "source_id", "c.id", "c.metadata_modified", (F.col("place") >= F.col("n_tagged")).cast("int").alias("step"), (F.col("place") + 1).alias("place"))
     about = datasets.select("portal", "id", "title", F.coalesce("org_title", F.lit("Unknown")).alias("organization"), "tags")
     return (
         chosen.join(about, ["portal", "id"])

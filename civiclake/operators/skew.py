@@ -24,13 +24,14 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], share: float = SHARE, most:
 
 def spread_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", heavy_on: Sequence[str] | None = None, counted: DataFrame | None = None,
-    share: float = SHARE, most: int = MOST_PARTS,
+    share: float = SHARE, most: int = MOST_PARTS, merge: bool = False,
 ) -> DataFrame:
     """Equi-join that deals the left rows of heavy keys over several tasks.
 
     ``right`` is the reduced side, of few rows for each key: adaptive execution cannot split such a join where a grouping made it. Only the
     right rows of heavy keys are repeated, once for each part. ``heavy_on`` names the key columns that are looked at (all of ``on``), and
-    ``counted`` a cheaper table to count them in. ``how`` is inner or left.
+    ``counted`` a cheaper table to count them in. ``how`` is inner or left. ``merge`` rules out that either side is broadcast, for rows that are
+    much larger or more than Spark can foresee.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how: {how!r}")
@@ -39,4 +40,5 @@ def spread_join(
     own = [F.col(f"`{c}`") for c in left.columns]
     dealt = left.join(heavy, keys, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*own), F.col("_parts")).cast("int")))
     copied = right.join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    return dealt.drop("_parts").join(copied.drop("_parts"), [*on, "_part"], how).drop("_part")
+    copied = copied.drop("_parts")
+    return dealt.drop("_parts").join(copied.hint("merge") if merge else copied, [*on, "_part"], how).drop("_part")

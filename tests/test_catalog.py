@@ -85,3 +85,17 @@ def test_structured_query(spark):
     assert drop_internal(df).columns == ["row id", "g"] and preview(df, 500).count() == 500
     described = {r["name"]: (r["type"], r["sample_values"]) for r in describe_columns(df, 3, "row id").collect()}
     assert described == {"row id": ("bigint", ["0", "1", "2"]), "g": ("bigint", ["0", "1", "2"])}
+
+
+def test_related_without_broadcast_or_rows_per_candidate(spark):
+    """A source that is there twice, a null id and null dates; only small tables of heavy keys are broadcast, and no candidate is grouped by itself."""
+    rows = [("province", "a", "o1", ["x", "y"], "2024-01-01"), ("province", "a", "o1", ["x", "y"], "2024-01-01"), ("province", "b", "o1", ["x"], None),
+            ("province", "c", "o1", [], "2024-03-03"), ("province", None, "o1", ["x"], "2025-01-01"), ("city_a", "d", "o1", ["x"], "2024-01-01")]
+    found = cat.related_datasets(datasets(spark, rows), limit=3)
+    got = sorted((r["source_id"], r["place"], r["id"], r["relevance"]) for r in found.collect())
+    a = [("province:a", 1, "province:b", "tags"), ("province:a", 2, "province:c", "same_organization")]
+    b = [("province:b", 1, "province:a", "tags"), ("province:b", 2, "province:c", "same_organization")]
+    c = [("province:c", 1, "province:a", "same_organization"), ("province:c", 2, "province:b", "same_organization")]
+    assert got == sorted([*a * 2, b[0], b[0], b[1], c[0], c[0], c[1]])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(step" not in plan and plan.count("strategy=merge") >= 2
