@@ -23,9 +23,11 @@ def _words(datasets: DataFrame) -> Column:
 def write_index(datasets: DataFrame, folder: str) -> None:
     """Postings (portal, word, id, times, length) and sizes (portal, n, mean_length) of datasets (portal, id, title, notes, tags)."""
     rows = datasets.select("portal", "id", _words(datasets).alias("words")).withColumn("length", F.size("words"))
-    found = rows.select("portal", "id", "length", F.explode("words").alias("word")).groupBy("portal", "word", "id", "length").agg(F.count("*").alias("times"))
-    # By word and id: a word that every dataset has is dealt over several files.
-    found.repartitionByRange("word", "id").sortWithinPartitions("word", "portal", "id").write.parquet(f"{folder}/postings")
+    # By word and id: a word that every dataset has is dealt over several files. Words are counted where they arrive, so that no task
+    # holds the words of all the datasets it reads.
+    found = rows.select("portal", "id", "length", F.explode("words").alias("word")).repartitionByRange("word", "id")
+    found = found.groupBy("portal", "word", "id", "length").agg(F.count("*").alias("times"))
+    found.sortWithinPartitions("word", "portal", "id").write.parquet(f"{folder}/postings")
     rows.groupBy("portal").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length")).coalesce(1).write.parquet(f"{folder}/sizes")
 
 
@@ -43,7 +45,8 @@ def search_ranked(spark: SparkSession, folder: str, query: str, limit: int = 10)
     weights = seen.join(sizes, "portal").withColumn("weight", F.log1p((F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5)))
     t = F.col("times").cast("double")
     part = F.col("weight") * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = postings.join(F.broadcast(weights), ["portal", "word"]).groupBy("portal", "id").agg(
+    # Dealt by id first: one task may read all postings of a word that every dataset has.
+    scored = postings.join(F.broadcast(weights), ["portal", "word"]).repartition("portal", "id").groupBy("portal", "id").agg(
         F.round(F.sum(part), 6).alias("score"), F.count("*").cast("int").alias("words_found"))
     best = Window.partitionBy("portal").orderBy(F.desc("score"), "id")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("portal", "place", "id", "score", "words_found")

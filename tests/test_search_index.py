@@ -49,3 +49,14 @@ def test_only_the_querys_words_are_read(spark, tmp_path):
 def test_an_empty_catalogue(spark, tmp_path):
     write_index(spark.createDataFrame([], SCHEMA), str(tmp_path / "i"))
     assert search_ranked(spark, str(tmp_path / "i"), "water").count() == 0
+
+
+def test_no_task_groups_the_words_of_all_it_reads(spark, tmp_path):
+    """A dataset that is there twice counts its words twice; ids are dealt before their scores are summed."""
+    rows = [("p", "1", "red ring", "red", ["ring"], ""), ("p", "1", "red ring", "red", ["ring"], ""), ("p", "2", "blue", None, None, "")]
+    write_index(spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    got = sorted(tuple(x) for x in spark.read.parquet(f"{tmp_path}/postings").select("id", "word", "times", "length").collect())
+    assert got == [("1", "red", 4, 4), ("1", "ring", 4, 4), ("2", "blue", 1, 1)]
+    found = search_ranked(spark, str(tmp_path), "red")
+    assert [(x["id"], x["words_found"]) for x in found.collect()] == [("1", 1)]
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
