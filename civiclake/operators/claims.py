@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,9 @@ QUOTED = r"""["']([^"']+)["']"""
 RELATIVE = 0.005
 ABSOLUTE = 0.5
 
+# Cells of a result that are listed in one row; a larger result is looked up cell by cell.
+MOST_LISTED = 250
+
 NUMERIC_KINDS = ("percentage", "integer", "float")
 
 
@@ -65,12 +68,8 @@ def facts_in(text: Column) -> tuple[Column, Column, Column]:
     return percentages, numbers, strings
 
 
-def extract_facts(claims: DataFrame, text: str = "claim", keep_empty: bool = False) -> DataFrame:
-    """One row per fact: position, kind, raw text, and its number or string.
-
-    Percentages are taken out first, then other numbers, then quoted strings. With
-    ``keep_empty`` a claim without facts keeps one row of NULLs.
-    """
+def with_fact_list(claims: DataFrame, text: str = "claim", name: str = "facts") -> DataFrame:
+    """Add the facts of a text in order: an array of kind, raw text, and number or string."""
     def fact(kind: Column, raw: Column, num: Column, string: Column) -> Column:
         return F.struct(kind.alias("kind"), raw.alias("raw"), num.cast("double").alias("num"), string.cast("string").alias("str"))
 
@@ -88,8 +87,17 @@ def extract_facts(claims: DataFrame, text: str = "claim", keep_empty: bool = Fal
         F.transform("_raw.numbers", lambda m: fact(F.when(m.contains("."), "float").otherwise("integer"), m, whole(m), none)),
         F.transform("_raw.strings", lambda m: fact(F.lit("string"), m, none, F.substr(m, F.lit(2), F.length(m) - 2))),
     )
+    return raws.select(*claims.columns, found.alias(name))
+
+
+def extract_facts(claims: DataFrame, text: str = "claim", keep_empty: bool = False) -> DataFrame:
+    """One row per fact: position, kind, raw text, and its number or string.
+
+    Percentages are taken out first, then other numbers, then quoted strings. With
+    ``keep_empty`` a claim without facts keeps one row of NULLs.
+    """
     spread = F.posexplode_outer if keep_empty else F.posexplode
-    return raws.select(*claims.columns, spread(found).alias("position", "fact")).select(
+    return with_fact_list(claims, text, "_facts").select(*claims.columns, spread("_facts").alias("position", "fact")).select(
         *claims.columns, "position", "fact.*")
 
 
@@ -228,10 +236,35 @@ def _look_up(probes: DataFrame, index: DataFrame, key: str, asked: DataFrame) ->
     )
     column = F.when((F.col("way") != "near") | close(F.col("least.num"), F.col("wanted")), F.col("least.column")).when(
         close(F.col("most.num"), F.col("wanted")), F.col("most.column"))
-    met = spread_join(probes, held, [key, "way", "at"], heavy_on=[key], counted=asked).withColumn("column", column)
+    met = spread_join(probes, held, [key, "way", "at"], heavy_on=[key], counted=asked, merge=True).withColumn("column", column)
     return met.drop("way", "at", "wanted", "least", "most")
 
 
+def _listed(index: DataFrame, key: str) -> DataFrame:
+    """key, is_large and the ``cells`` (num, at, str) of each result; an empty list for a large one."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))  # any cells: a list that is cut is not used
+    some = index.withColumn("_place", place).where(F.col("_place") <= MOST_LISTED + 1)
+    cell = F.struct("num", F.col("num").cast("string").alias("at"), "str")
+    listed = some.groupBy(key).agg(F.collect_list(cell).alias("cells"))
+    large = F.size("cells") > MOST_LISTED
+    return listed.select(key, large.alias("is_large"), F.when(large, F.slice("cells", 1, 0)).otherwise(F.col("cells")).alias("cells"))
+
+
+def _in_cells(fact: Column, cells: Column) -> Column:
+    """Whether a list of cells holds a fact, by the rules of ``match_facts``."""
+    def near(wanted: Column) -> Column:
+        # Numbers too large for a slot are close to nothing.
+        return F.exists(cells, lambda c: (F.abs(c["num"]) < 1e300) & (F.abs(wanted) < 1e300) & close(c["num"], wanted))
+
+    kind = fact["kind"]
+    return (
+        F.when(kind == "integer", F.exists(cells, lambda c: c["at"] == fact["num"].cast("string")))
+        .when(kind == "float", near(fact["num"]))
+        .when(kind == "percentage", near(fact["num"]) | near(fact["num"] / 100))
+        .when(kind == "string", F.get(F.transform(F.array(normal_text(fact["str"])), lambda t: (t != "") & F.exists(cells, lambda c: c["str"] == t)), F.lit(0)))
+    )
+
+
 # --- verdicts -----------------------------------------------------------------------
 
 def claim_verdicts(claims: DataFrame, index: DataFrame, key: str = "result_id", longest: int | None = None) -> DataFrame:
@@ -247,22 +280,36 @@ def claim_verdicts(claims: DataFrame, index: DataFrame, key: str = "result_id",
     texts = audited.select(
         "claim_id", key, F.when(usable, F.col("claim")).otherwise("").alias("claim"), usable.alias("usable"),
         (F.col("verdict") == "ok").alias("allowed"))
-    facts = extract_facts(texts, keep_empty=True).drop("claim", "raw")
+    # Results of a common size are one row each, which meets its claims whole. Only the claims on larger ones, if there are any,
+    # are taken apart and looked up fact by fact.
+    listed = _listed(index, key)
+    large = listed.where("is_large").select(key)
+    sizes = index.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    any_large = sizes.agg(F.coalesce(F.max("n") > MOST_LISTED, F.lit(False))).scalar()
+    of_large = lambda rows: rows.where(any_large).join(large, key, "left_semi")
+    told = with_fact_list(texts).drop("claim").withColumn("facts", F.transform("facts", lambda f: F.struct(f["kind"].alias("kind"), f["num"].alias("num"), f["str"].alias("str"))))
+    met = spread_join(told, listed, [key], counted=texts, merge=True).where(~F.coalesce("is_large", F.lit(False)))
+    met = met.select(
+        "claim_id", key, "usable", "allowed", F.col("cells").isNotNull().alias("rows_found"),
+        F.posexplode_outer(F.transform("facts", lambda f: F.struct((f["kind"] == "string").alias("is_string"), _in_cells(f, F.col("cells")).alias("found")))).alias("position", "fact"))
+    by_list = met.select("claim_id", key, "position", "usable", "allowed", "fact.is_string", F.coalesce("fact.found", F.lit(False)).alias("found"), "rows_found")
+    facts = extract_facts(of_large(texts), keep_empty=True).drop("claim", "raw")
     probes = _probes(facts, extra=F.coalesce(F.col("position"), F.lit(0)) == 0)
     found = F.col("column").isNotNull()
     # The rows probe carries the first fact's place, so it is told apart by its way.
     asked = probes.withColumn("about_rows", F.col("way") == "rows")
-    fact_found = found & ~F.col("about_rows")
-    # A fact first, from its several probes, then the claim: no list of facts is gathered, so a claim may be of any length.
-    facts_met = _look_up(asked, index, key, texts).groupBy("claim_id", key, "position").agg(
-        F.first("usable").alias("usable"), F.first("allowed").alias("allowed"), F.first("kind").alias("kind"),
-        F.bool_or(fact_found).alias("found"), F.bool_or(F.col("about_rows") & found).alias("rows_found"))
+    by_cell = _look_up(asked, of_large(index), key, of_large(texts)).select(
+        "claim_id", key, "position", "usable", "allowed", (F.col("kind") == "string").alias("is_string"), (found & ~F.col("about_rows")).alias("found"), (F.col("about_rows") & found).alias("rows_found"))
+    # A fact first, from its several probes, then the claim, where its facts are: one shuffle for both.
+    facts_met = by_list.unionByName(by_cell).repartition("claim_id", key).groupBy("claim_id", key, "position").agg(
+        F.first("usable").alias("usable"), F.first("allowed").alias("allowed"), F.first("is_string").alias("is_string"),
+        F.bool_or("found").alias("found"), F.bool_or("rows_found").alias("rows_found"))
     counted = facts_met.groupBy("claim_id", key).agg(
         F.first("usable").alias("usable"), F.first("allowed").alias("allowed"),
         F.coalesce(F.max("position") + 1, F.lit(0)).alias("n_facts"),
         F.count_if("found").cast("int").alias("n_found"),
         F.coalesce(F.bool_or("rows_found"), F.lit(False)).alias("has_rows"),
-        F.bool_or((F.col("kind") == "string") & ~F.col("found")).alias("string_missing"),
+        F.bool_or(F.col("is_string") & ~F.col("found")).alias("string_missing"),
     )
     verdict = (
         F.when(~F.col("usable"), F.lit(None).cast("boolean"))

@@ -179,3 +179,29 @@ def test_spread_join_equals_a_join(spark, how):
         assert sorted(map(str, skew.spread_join(left, right, ["k", "j"], how, heavy_on=heavy_on, share=share).collect())) == want
     with pytest.raises(ValueError):
         skew.spread_join(left, right, ["k"], "full")
+
+
+def test_no_side_of_the_tolerance_join_is_broadcast(spark):
+    from __spark_entry__ import queries
+    plan = queries()["match_tolerance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("most", [2, 6, 250])
+def test_verdicts_of_listed_and_large_results(spark, monkeypatch, most):
+    """Results of more cells than a list may hold are looked up cell by cell: the same verdicts, for repeated claims as well."""
+    monkeypatch.setattr(c, "MOST_LISTED", most)
+    rnd = random.Random(5)
+    cells = [(f"q{i % 6}", "col", v, str(v)) for i, v in enumerate(rnd.choice([1, -1]) * 10 ** rnd.uniform(-3, 6) for _ in range(60))]
+    cells += [("q1", "name", None, "new york"), ("q7", "name", None, "oslo"), ("q7", "n", 7.0, "7"), ("q8", "n", 1e301, "huge"), ("q8", "m", float("nan"), "x"), ("q9", "e", None, "")]
+    index = spark.createDataFrame(cells, "result_id string, column string, num double, str string").distinct()
+    texts = {f"about {v * k:.4f} and 'New  York'" for _, _, v, _ in cells if v and abs(v) < 1e7 and v > 0 for k in (1, 1.004, 1.006)}
+    texts |= {"7 of 'oslo'", "7 %", "700%", "nothing", "'oslo'", "8", "7 or 9"}
+    claims = [(f"{r}-{i}", r, x) for i, x in enumerate(sorted(texts)) for r in ("q0", "q1", "q7", "q8", "q9", "none", None)] * 2
+    claims += [("twice", "q7", "'oslo' 9"), ("twice", "q7", "'bergen' 7 8")]
+    asked = spark.createDataFrame(claims, "claim_id string, result_id string, claim string")
+    got = {tuple(x) for x in c.claim_verdicts(asked, index).collect()}
+    monkeypatch.setattr(c, "MOST_LISTED", 0)
+    want = {tuple(x) for x in c.claim_verdicts(asked, index).collect()}
+    assert got == want and len(got) == len(set(claims)) - 1
+    assert {x[-1] for x in got} == {True, False, None}
