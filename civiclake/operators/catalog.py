@@ -19,6 +19,7 @@ from civiclake.functions.names import bare_id, id_portal
 from civiclake.operators.ordering import sort_columns
 from civiclake.operators.skew import spread_join
 from civiclake.portals import PORTALS, Portal, keys
+from civiclake.session import full_shuffle
 
 
 # Formats that count as geographic, and those listed with them.
@@ -348,16 +349,17 @@ def related_datasets(datasets: DataFrame, sources: DataFrame | None = None, limi
         source.select("portal", "source_id", "org_name"), newest(in_org, "org_name", 2 * limit + 1), ["portal", "org_name"], "inner", merge=True,
     ).select("portal", "source_id", F.col("found").alias("by_org"))
     others = lambda found: F.filter(F.array_distinct(F.flatten(found)), lambda c: c["id"] != F.col("source_id"))
+    parts = full_shuffle(datasets.sparkSession)
     # Sets, so that a source that is there many times has each list once.
-    gathered = by_tag.unionByName(by_org, allowMissingColumns=True).groupBy("portal", "source_id").agg(
+    gathered = by_tag.unionByName(by_org, allowMissingColumns=True).repartition(parts, "portal", "source_id").groupBy("portal", "source_id").agg(
         F.collect_set("by_tag").alias("by_tag"), F.collect_set("by_org").alias("by_org")).withColumns({"by_tag": others("by_tag"), "by_org": others("by_org")})
     ranked = F.concat(F.slice(_by_age("by_tag"), 1, limit), F.slice(_by_age(F.array_except("by_org", "by_tag")), 1, limit))
     chosen = gathered.select("portal", "source_id", F.size("by_tag").alias("n_tagged"), F.posexplode(F.slice(ranked, 1, limit)).alias("place", "c")).select(
         "portal", "source_id", "c.id", "c.metadata_modified", (F.col("place") >= F.col("n_tagged")).cast("int").alias("step"), (F.col("place") + 1).alias("place"))
     about = datasets.select("portal", "id", "title", F.coalesce("org_title", F.lit("Unknown")).alias("organization"), "tags")
     return (
-        chosen.join(about, ["portal", "id"])
-        .join(source.drop("org_name"), ["portal", "source_id"])
+        chosen.join(source.drop("org_name"), ["portal", "source_id"]).repartition(parts, "portal", "id")
+        .join(about, ["portal", "id"])
         .select(
             prefixed(F.col("portal"), F.col("source_id")).alias("source_id"), "place",
             prefixed(F.col("portal"), F.col("id")).alias("id"), "title", "organization",

@@ -16,6 +16,7 @@ from civiclake.functions import statements as st
 from civiclake.functions.numbers import to_double
 from civiclake.operators.query import audit_sql
 from civiclake.operators.skew import spread_join
+from civiclake.session import full_shuffle
 
 # What is a fact in a claim, and how closely a number must agree.
 PERCENTAGE = r"(?U)(\d[\d,]*\.?\d*)\s*%"
@@ -301,7 +302,7 @@ def claim_verdicts(claims: DataFrame, index: DataFrame, key: str = "result_id",
     by_cell = _look_up(asked, of_large(index), key, of_large(texts)).select(
         "claim_id", key, "position", "usable", "allowed", (F.col("kind") == "string").alias("is_string"), (found & ~F.col("about_rows")).alias("found"), (F.col("about_rows") & found).alias("rows_found"))
     # A fact first, from its several probes, then the claim, where its facts are: one shuffle for both.
-    facts_met = by_list.unionByName(by_cell).repartition("claim_id", key).groupBy("claim_id", key, "position").agg(
+    facts_met = by_list.unionByName(by_cell).repartition(full_shuffle(claims.sparkSession), "claim_id", key).groupBy("claim_id", key, "position").agg(
         F.first("usable").alias("usable"), F.first("allowed").alias("allowed"), F.first("is_string").alias("is_string"),
         F.bool_or("found").alias("found"), F.bool_or("rows_found").alias("rows_found"))
     counted = facts_met.groupBy("claim_id", key).agg(

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from civiclake.session import full_shuffle
+
 K1, B = 1.2, 0.75  # how soon repeats stop counting, and how much length does
 WORD = r"[\p{L}\p{N}]+"
 
@@ -25,7 +27,7 @@ def write_index(datasets: DataFrame, folder: str) -> None:
     rows = datasets.select("portal", "id", _words(datasets).alias("words")).withColumn("length", F.size("words"))
     # By word and id: a word that every dataset has is dealt over several files. Words are counted where they arrive, so that no task
     # holds the words of all the datasets it reads.
-    found = rows.select("portal", "id", "length", F.explode("words").alias("word")).repartitionByRange("word", "id")
+    found = rows.select("portal", "id", "length", F.explode("words").alias("word")).repartitionByRange(full_shuffle(datasets.sparkSession), "word", "id")
     found = found.groupBy("portal", "word", "id", "length").agg(F.count("*").alias("times"))
     found.sortWithinPartitions("word", "portal", "id").write.parquet(f"{folder}/postings")
     rows.groupBy("portal").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length")).coalesce(1).write.parquet(f"{folder}/sizes")

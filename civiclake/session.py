@@ -53,6 +53,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/civiclake-{purpose}-{uuid.uuid4().hex}"
 
 
+def full_shuffle(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for rows that are small when packed and large once they are grouped.
+
+    A shuffle of a given number of partitions is not put together into fewer by its packed size.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: str):
     """Set session options for one statement and put the old values back."""
