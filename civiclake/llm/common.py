@@ -100,6 +100,15 @@ def batches(texts, limit: int = 2_000_000):
         yield slice(start, len(texts))
 
 
+def runs_of(lengths: np.ndarray, limit: int):
+    """Slices of rows whose lengths add up to ``limit`` at most, one row at least."""
+    ends, start = np.cumsum(lengths, dtype=np.int64), 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, limit + (int(ends[start - 1]) if start else 0), "right")))
+        yield slice(start, stop)
+        start = stop
+
+
 class Numbered(dict):
     """Numbers distinct strings as they come, in a table of bounded size.
 

@@ -27,10 +27,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiclake.llm.common import U64, batches, hash_words
+from civiclake.llm.common import U64, hash_words, runs_of
 from civiclake.llm.suite import LLM
 from civiclake.session import work_dir
 
@@ -256,7 +258,12 @@ def combined(model: dict, views: list[Rows]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z @ model["mix"][:-1] + model["mix"][-1], -30, 30)))
 
 
-def feature_lists(part: pd.DataFrame) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+def byte_slices(texts: pa.Array, limit: int) -> Iterator[slice]:
+    """Runs of rows whose texts hold ``limit`` bytes at most, one row at least."""
+    return runs_of(pc.binary_length(texts).to_numpy(zero_copy_only=False), limit)
+
+
+def feature_lists(part: pd.DataFrame | dict[str, list]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
     """Of each view, the feature numbers and values of each row."""
     rows = list(zip(part["text"], part["lang"], part["source"], part["n_chars"]))
     words = [r[0].split() for r in rows]
@@ -264,7 +271,7 @@ def feature_lists(part: pd.DataFrame) -> list[list[tuple[np.ndarray, np.ndarray]
     return [[text_features(own) for own in words], [page_features(*r) for r in rows]]
 
 
-def views_of(part: pd.DataFrame) -> list[Rows]:
+def views_of(part: pd.DataFrame | dict[str, list]) -> list[Rows]:
     text, page = feature_lists(part)
     return [Rows(text, TEXT_SIZE), Rows(page, PAGE_SIZE)]
 
@@ -281,20 +288,27 @@ def known_columns(docs: DataFrame) -> DataFrame:
 FEATURES = "words array<int>, word_values array<float>, page array<int>, page_values array<float>"
 
 
-def _features(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-    words, pages = [], []
-    for some in batches(text.tolist(), SLICE_CHARS):
-        own = feature_lists(pd.DataFrame({"text": text[some], "lang": lang[some], "source": source[some], "n_chars": n_chars[some]}))
-        words, pages = words + own[0], pages + own[1]
-    return pd.DataFrame({"words": [i.astype(np.int32) for i, _ in words], "word_values": [v for _, v in words], "page": [i for i, _ in pages], "page_values": [v for _, v in pages]})
+def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The written features, a slice of texts at a time; only a slice is held as Python strings and arrays."""
+    kept = ["doc_id", "text_id", "bucket"]
+    for part in parts:
+        for some in byte_slices(part["text"], SLICE_CHARS):
+            rows = part.slice(some.start, some.stop - some.start)
+            words, pages = feature_lists({c: rows[c].to_pylist() for c in ("text", "lang", "source", "n_chars")})
+            columns = [rows[c] for c in kept]
+            for own in (words, pages):
+                ends = pa.array(np.cumsum([0, *(len(i) for i, _ in own)]), pa.int32())
+                columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), kind)) for x, kind in zip(zip(*own), (pa.int32(), pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "words", "word_values", "page", "page_values"])
 
 
 def features(docs: DataFrame) -> DataFrame:
     """The features of every document, written to the shared work folder."""
-    rows = known_columns(docs).select("doc_id", F.xxhash64("text").alias("text_id"), F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(GROUPS)).cast("int").alias("bucket"), F.pandas_udf(_features, FEATURES)("text", "lang", "source", "n_chars").alias("own"))
+    schema = f"doc_id long, text_id long, bucket int, {FEATURES}"
+    rows = known_columns(docs).withColumns({"text_id": F.xxhash64("text"), "bucket": F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(GROUPS)).cast("int")})
     path = work_dir(docs.sparkSession, "quality")
-    rows.select("doc_id", "text_id", "bucket", "own.*").write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(f"doc_id long, text_id long, bucket int, {FEATURES}").parquet(path)
+    rows.mapInArrow(_features, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict:
@@ -341,14 +355,13 @@ def scorer(docs: DataFrame, models: dict):
     """A column function of (text, lang, source, n_chars): a struct of quality and toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    @F.pandas_udf("quality double, toxic double")
-    def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        out = []
-        for some in batches(text.tolist(), SLICE_CHARS):
-            views = views_of(pd.DataFrame({"text": text[some], "lang": lang[some], "source": source[some], "n_chars": n_chars[some]}))
-            out.append(scores(views, shared.value))
-        flat = np.concatenate(out) if out else np.zeros((0, 2))
-        return pd.DataFrame({"quality": flat[:, 0], "toxic": flat[:, 1]})
+    @F.arrow_udf("struct<quality: double, toxic: double>")
+    def score(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in parts:
+            own = dict(zip(("text", "lang", "source", "n_chars"), columns))
+            out = [scores(views_of({k: v[some].to_pylist() for k, v in own.items()}), shared.value) for some in byte_slices(own["text"], SLICE_CHARS)]
+            flat = np.concatenate(out) if out else np.zeros((0, 2))
+            yield pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["quality", "toxic"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return score(text, F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))

@@ -199,3 +199,23 @@ def test_nearest_of_huge_components(spark):
         exact = sorted(((float(np.dot(vectors[q], v)), -i) for i, v in vectors.items() if i != q and abs(v[0]) < 1e300), reverse=True)
         plain = [v for _, v in sorted(got[q].items()) if abs(v[1]) < 1e300]
         assert [i for i, _ in plain] == [-i for _, i in exact[:len(plain)]]
+
+
+def test_features_leave_a_task_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from civiclake.llm import quality
+
+    monkeypatch.setattr(quality, "SLICE_CHARS", 100)
+    texts = [f"word {i} of some text" for i in range(40)] + ["long " * 100, "", "é" * 60]
+    n = len(texts)
+    part = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": texts, "lang": ["en", None, *["de"] * (n - 2)], "source": [None] * n, "n_chars": pa.array([5, None, *[7] * (n - 2)], pa.int64()), "text_id": list(range(n)), "bucket": [1] * n})
+    found = list(quality._features(iter([part])))
+    assert len(found) > 10 and max(x.num_rows for x in found) <= 8
+    rows = pd.concat([x.to_pandas() for x in found], ignore_index=True)
+    assert rows["doc_id"].tolist() == list(range(n)) and set(rows["bucket"]) == {1}
+    own = part.to_pandas()
+    words, pages = quality.feature_lists(own)
+    for i in range(n):
+        assert rows["words"][i].tolist() == words[i][0].tolist() and rows["word_values"][i].tolist() == words[i][1].tolist()
+        assert rows["page"][i].tolist() == pages[i][0].tolist() and rows["page_values"][i].tolist() == pages[i][1].tolist()
