@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiclake.llm.common import batches, cut
+from civiclake.llm.common import batches, cut, runs_of
 
 
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,6 +65,7 @@ def _stars(edges: DataFrame) -> bool:
 
 BLOCK = 1_024  # ids of a key that meet in one task
 PAIRS = 50_000  # pairs that are looked at together
+FEW = 8  # ids of a key up to which the pairs of many keys are looked at together
 HELD = 2_000_000  # elements of prepared texts that a task keeps for its next comparisons
 
 
@@ -158,9 +159,10 @@ def _across(prepare, similar, least):
             starts = _changes(frame, names)
             places = frame[names].to_numpy()[starts].tolist()
             columns = [frame[x].to_numpy() for x in ("own", "component", "bands", "data")]
-            found_a, found_b = [], []
-            for place, start, end in zip(places, starts.tolist(), [*starts[1:].tolist(), len(frame)]):
-                if end - start > 1:
+            sizes = np.diff(np.append(starts, len(frame)))
+            found_a, found_b = _passing_few(frame[names].to_numpy(), *columns, np.repeat(np.where(sizes <= FEW, starts + sizes, 0), sizes), prepare, similar)
+            for place, start, end in zip(places, starts.tolist(), (starts + sizes).tolist()):
+                if end - start > FEW:
                     a, b = _passing(*place, *[x[start:end] for x in columns], prepare, similar, least)
                     found_a += a
                     found_b += b
@@ -194,6 +196,46 @@ def _possible(counts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarra
     return out
 
 
+def _passing_few(places, own, component, bands, data, ends, prepare, similar) -> tuple[list[int], list[int]]:
+    """As ``_passing``, for all rows of a frame at once; ``ends`` tells where the run of a row ends, and is 0 for those left out."""
+    row = np.arange(len(ends))
+    left = np.concatenate([row[:0], *(row[row + d < ends] for d in range(1, FEW))])
+    right = left + np.concatenate([row[:0], *(np.full(int((row + d < ends).sum()), d) for d in range(1, FEW))])
+    todo = (component[left] != component[right]) & ((places[left, 1] == places[left, 2]) | (own[left] != own[right]))
+    left, right = left[todo], right[todo]
+    if not len(left):
+        return [], []
+    used, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    stacked = np.stack(bands[used])
+    one, two = stacked[at[:len(left)]], stacked[at[len(left):]]
+    same = (one == two) & (one != 0)
+    mine = one[np.arange(len(left)), same.argmax(1)] == places[left, 0]  # each pair belongs to the first band it shares
+    left, right, shared = left[mine], right[mine], same[mine].sum(1)
+    order = np.argsort(-shared, kind="stable")
+    found_a, found_b = [], []
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    pairs = list(zip(left[order].tolist(), right[order].tolist()))
+    lengths = np.array([len(data[p]) + len(data[q]) for p, q in pairs])
+    for some in runs_of(lengths, HELD):
+        open_pairs = [(p, q) for p, q in pairs[some] if top(int(component[p])) != top(int(component[q]))]
+        texts = list(dict.fromkeys(data[n] for pair in open_pairs for n in pair))
+        sets = dict(zip(texts, (x for part in batches(texts, 400_000) for x in prepare(texts[part]))))
+        for p, q in open_pairs:
+            u, v = top(int(component[p])), top(int(component[q]))
+            if u != v and similar(sets[data[p]], sets[data[q]]):
+                root[max(u, v)] = min(u, v)
+                found_a.append(int(component[p]))
+                found_b.append(int(component[q]))
+    return found_a, found_b
+
+
 def _passing(key, lo, hi, own, component, bands, data, prepare, similar, least) -> tuple[list[int], list[int]]:
     """Pairs of components that similar texts of a block pair connect, without those that earlier pairs connect."""
     names, component = np.unique(component, return_inverse=True)

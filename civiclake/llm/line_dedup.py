@@ -34,12 +34,15 @@ BANDS, ROWS = 10, 4  # a pair at 0.8 shares no band with a chance of 0.5 %, one
 SLOTS = BANDS * ROWS
 FACTORS = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 BITMAP_BITS = 26
+SIGNED_CHARS = 100_000  # what is signed at a time, so that its arrays stay in the processor's cache
+MIXED = mix(np.arange(1, (1 << 16) + 1, dtype=U64))  # hashes of the code points of the first plane
 
 
 def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lines' grams, end to end, and how many each line has (one at least)."""
     counts = np.array([len(x) for x in lines], dtype=np.int64)
-    codes = mix(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(U64) + U64(1))
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    codes = MIXED[points] if points.max(initial=0) < len(MIXED) else mix(points.astype(U64) + U64(1))
     runs = rolling(codes, GRAM, 0x9E3779B97F4A7C15)
     each = np.maximum(counts - GRAM + 1, 0)
     inside = runs[windows(counts, GRAM)] if len(runs) else runs
@@ -57,27 +60,42 @@ def signatures(hashes: np.ndarray, each: np.ndarray, short: bool) -> np.ndarray:
     """(line, slot) minima, by 40 functions or by 40 bins."""
     starts = np.cumsum(each) - each
     if short:
-        return np.stack([np.minimum.reduceat((hashes * f) >> U64(32), starts) for f in FACTORS], 1)
-    line = np.repeat(np.arange(len(each)), each)
+        product = np.empty_like(hashes)
+        return np.stack([np.minimum.reduceat(np.multiply(hashes, f, out=product), starts) for f in FACTORS], 1) >> U64(32)
+    slot = hashes >> U64(32)
+    slot *= U64(SLOTS)
+    slot >>= U64(32)
+    slot += np.repeat(np.arange(0, len(each) * SLOTS, SLOTS, dtype=U64), each)
     out = np.full(len(each) * SLOTS, 1 << 32, dtype=U64)
-    np.minimum.at(out, line * SLOTS + (((hashes >> U64(32)) * U64(SLOTS)) >> U64(32)).astype(np.int64), hashes & U64(0xFFFFFFFF))
+    np.minimum.at(out, slot.view(np.int64), hashes & U64(0xFFFFFFFF))
     out = out.reshape(-1, SLOTS)
-    filled = out.copy()
+    some = np.flatnonzero((out == U64(1 << 32)).any(1))
+    own = out[some]
+    filled = own.copy()
     for d in range(1, SLOTS):
         empty = filled == U64(1 << 32)
         if not empty.any():
             break
-        near = np.roll(out, -d, axis=1)
+        near = np.roll(own, -d, axis=1)
         use = empty & (near != U64(1 << 32))
         filled[use] = near[use] + U64(d << 33)
-    return filled
+    out[some] = filled
+    return out
 
 
 def distinct(hashes: np.ndarray, each: np.ndarray) -> np.ndarray:
-    """How many different grams each line has. Lines of fewer than ``SIMILAR * SHORT`` grams are short either way and keep their count."""
-    out, ends = each.copy(), np.cumsum(each)
-    for i in np.flatnonzero(each >= SIMILAR * SHORT):
-        own = np.sort(hashes[ends[i] - each[i]:ends[i]])
+    """How many different grams each line has. Lines of fewer than ``SIMILAR * SHORT`` grams are short either way and keep their count.
+
+    Of a line whose first grams alone are more than ``SHORT`` different ones, only these are counted: it is not short, whatever follows.
+    """
+    out, starts = each.copy(), np.cumsum(each) - each
+    head = SHORT + SHORT // 4
+    wide = np.flatnonzero(each > head)
+    if len(wide):
+        own = np.sort(hashes[starts[wide][:, None] + np.arange(head)], axis=1)
+        out[wide] = 1 + np.count_nonzero(own[:, 1:] != own[:, :-1], axis=1)
+    for i in np.flatnonzero((each >= SIMILAR * SHORT) & ((each <= head) | (out <= SHORT))):
+        own = np.sort(hashes[starts[i]:starts[i] + each[i]])
         out[i] = 1 + np.count_nonzero(own[1:] != own[:-1])
     return out
 
@@ -102,19 +120,25 @@ def bands(lines: list[str]) -> np.ndarray:
 def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bands of a batch's lines; a line that a batch holds more than once is signed once."""
     for part in parts:
-        for some in batches(part["line"].tolist(), 400_000):
-            yield _with_bands(part.iloc[some].drop_duplicates("id"))
+        part = part.drop_duplicates("id")
+        signed = [bands(x) for x in _slices(part["line"].tolist(), SIGNED_CHARS)]
+        if signed:
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "data": part["line"].to_numpy(dtype=object), "bands": list(np.concatenate(signed))})
 
 
-def _with_bands(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"id": rows["id"].to_numpy(), "data": np.array(rows["line"].tolist(), dtype=object), "bands": list(bands(rows["line"].tolist()))})
+def _slices(lines: list[str], limit: int) -> Iterator[list[str]]:
+    return (lines[some] for some in batches(lines, limit))
 
 
 def _keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in _signed(parts):
-        keys = np.stack(rows["bands"].to_list())
-        row, col = np.nonzero(keys)
-        yield pd.DataFrame({"id": rows["id"].to_numpy()[row], "key": keys[row, col]})
+    for part in parts:
+        part = part.drop_duplicates("id")
+        ids, start = part["id"].to_numpy(), 0
+        for lines in _slices(part["line"].tolist(), SIGNED_CHARS * 10):
+            keys = np.concatenate([bands(x) for x in _slices(lines, SIGNED_CHARS)])
+            row, col = np.nonzero(keys)
+            yield pd.DataFrame({"id": ids[start:start + len(lines)][row], "key": keys[row, col]})
+            start += len(lines)
 
 
 def bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:

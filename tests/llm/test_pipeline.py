@@ -219,3 +219,48 @@ def test_features_leave_a_task_in_slices(monkeypatch):
     for i in range(n):
         assert rows["words"][i].tolist() == words[i][0].tolist() and rows["word_values"][i].tolist() == words[i][1].tolist()
         assert rows["page"][i].tolist() == pages[i][0].tolist() and rows["page_values"][i].tolist() == pages[i][1].tolist()
+
+
+def test_small_keys_prepare_a_line_once():
+    from civiclake.llm.components import _across, _passing
+    from civiclake.llm.line_dedup import SIMILAR, alike, bands, gram_sets
+
+    random = np.random.default_rng(5)
+    base = ["".join(random.choice(list("abcdefgh "), 60)) for _ in range(40)]
+    lines = [x for b in base for x in (b, b[:50] + "0" + b[51:], b + "zz")]
+    keys = bands(lines)
+    rows = [(int(k), 0, 0, 0, i, keys[i], x) for i, x in enumerate(lines) for k in keys[i] if k]
+    frame = pd.DataFrame(rows, columns=["key", "lo", "hi", "own", "component", "bands", "data"]).sort_values("key", ignore_index=True)
+    prepared = []
+
+    def prepare(texts):
+        prepared.extend(texts)
+        return gram_sets(texts)
+
+    def roots(found):
+        root = list(range(len(lines)))
+        for a, b in found:
+            root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+        return root
+
+    found = pd.concat(_across(prepare, alike, SIMILAR)(iter([frame])))
+    expected = []
+    for (key, lo, hi), own in frame.groupby(["key", "lo", "hi"]):
+        a, b = _passing(key, lo, hi, *[own[x].to_numpy() for x in ("own", "component", "bands", "data")], gram_sets, alike, SIMILAR)
+        expected += zip(a, b)
+    assert roots(zip(found["a"], found["b"])) == roots(expected) and len(set(roots(expected))) < 100
+    assert prepared and len(prepared) == len(set(prepared))
+
+
+def test_signing_counts_the_first_grams_only():
+    from civiclake.llm.line_dedup import SHORT, SIMILAR, distinct, grams
+
+    random = np.random.default_rng(6)
+    lines = ["".join(random.choice(list(letters), n)) for letters in ("ab", "abc", "abcdefgh") for n in range(90, 500, 7)] + ["ab" * 300, "x" * 1000]
+    hashes, each = grams(lines)
+    counted = distinct(hashes, each)
+    whole = [len(set(x[i:i + 8] for i in range(len(x) - 7))) for x in lines]
+    for own, full, n in zip(counted.tolist(), whole, each.tolist()):
+        assert (own <= SHORT) == (full <= SHORT) or n < SIMILAR * SHORT
+        assert (own >= SIMILAR * SHORT) == (full >= SIMILAR * SHORT)
+    assert max(counted) <= SHORT + SHORT // 4 < max(whole)
