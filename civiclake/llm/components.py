@@ -66,6 +66,7 @@ def _stars(edges: DataFrame) -> bool:
 BLOCK = 1_024  # ids of a key that meet in one task
 PAIRS = 50_000  # pairs that are looked at together
 FEW = 8  # ids of a key up to which the pairs of many keys are looked at together
+TOGETHER, PREPARED = 64, 400_000  # pairs of a block whose texts are prepared in one go, and characters of these
 HELD = 2_000_000  # elements of prepared texts that a task keeps for its next comparisons
 
 
@@ -252,6 +253,7 @@ def _passing(key, lo, hi, own, component, bands, data, prepare, similar, least)
     prepared: dict[int, np.ndarray] = {}
     held = 0
     root = np.arange(component.max() + 1)
+    lengths = np.fromiter(map(len, data), np.int64, len(data))
     profile = None
 
     def top(x: int) -> int:
@@ -272,20 +274,21 @@ def _passing(key, lo, hi, own, component, bands, data, prepare, similar, least)
         if profile is not None:
             may = _possible(*profile, i, j, least)
             i, j, shared = i[may], j[may], shared[may]
-        for x in np.argsort(-shared, kind="stable").tolist():
-            p, q = int(i[x]), int(j[x])
-            u, v = top(component[p]), top(component[q])
-            if u == v:
-                continue
+        order = np.argsort(-shared, kind="stable")
+        i, j = i[order], j[order]
+        for now in runs_of(np.maximum(lengths[i] + lengths[j], PREPARED // TOGETHER), PREPARED):
+            pairs = [(p, q) for p, q in zip(i[now].tolist(), j[now].tolist()) if top(component[p]) != top(component[q])]
             if held > HELD:
                 prepared.clear()
                 held = 0
-            for n in (p, q):
-                if n not in prepared:
-                    prepared[n] = prepare([data[n]])[0]
-                    held += len(prepared[n])
-            if similar(prepared[p], prepared[q]):
-                root[max(u, v)] = min(u, v)
-                found_a.append(int(names[component[p]]))
-                found_b.append(int(names[component[q]]))
+            texts = list(dict.fromkeys(n for pair in pairs for n in pair if n not in prepared))
+            for n, ready in zip(texts, prepare([data[n] for n in texts])):
+                prepared[n] = ready
+                held += len(ready)
+            for p, q in pairs:
+                u, v = top(component[p]), top(component[q])
+                if u != v and similar(prepared[p], prepared[q]):
+                    root[max(u, v)] = min(u, v)
+                    found_a.append(int(names[component[p]]))
+                    found_b.append(int(names[component[q]]))
     return found_a, found_b

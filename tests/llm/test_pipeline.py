@@ -264,3 +264,33 @@ def test_signing_counts_the_first_grams_only():
         assert (own <= SHORT) == (full <= SHORT) or n < SIMILAR * SHORT
         assert (own >= SIMILAR * SHORT) == (full >= SIMILAR * SHORT)
     assert counted[-3] == SHORT + SHORT // 4 < whole[-3]
+
+
+def test_keys_leave_a_task_packed(monkeypatch):
+    """Keys go out as a row per bucket; a hot key is not held; what meets is what plain counting finds."""
+    monkeypatch.setattr(line_dedup, "BUCKET_BITS", 2)
+    random = np.random.default_rng(7)
+    base = ["".join(random.choice(list("abcdefgh "), 60)) for _ in range(60)]
+    lines = base + [b + "zz" for b in base[:20]] + ["the same line again and again " + "%x" % (i * 2654435761 % 2**20) for i in range(40)] + base[50:] * 3
+    ids = [line_dedup.mix(np.array([lines.index(x)], np.uint64)).view(np.int64)[0] for x in lines]
+    parts = [pd.DataFrame({"id": ids[a:a + 30], "line": lines[a:a + 30]}) for a in range(0, len(lines), 30)]
+    own = {i: {int(k) for k in keys if k} for i, keys in zip(ids, line_dedup.bands(lines))}
+    met = {k: {i for i in own if k in own[i]} for keys in own.values() for k in keys}
+    several = {(k, i) for k, found in met.items() if len(found) > 1 for i in found}
+    repeated = {i for i in ids if ids.count(i) > 1}
+    for held in (1 << 20, 30):
+        monkeypatch.setattr(line_dedup, "HELD_KEYS", held)
+        for dealt in (parts, [pd.concat(parts)]):
+            packed = pd.concat([x for part in dealt for x in line_dedup._keys(iter([part]))]).sort_values("bucket", kind="stable", ignore_index=True)
+            assert held == 30 or len(packed) <= 4 * len(dealt)
+            got = pd.concat(list(line_dedup._meeting(iter([packed[:3], packed[3:]]))))
+            got = set(zip(got["key"].tolist(), got["id"].tolist()))
+            assert several <= got and repeated <= {i for _, i in got}
+            assert {i for _, i in got - several} <= repeated and all(k in own[i] for k, i in got)
+
+
+def test_line_dedup_of_a_doc_id_with_several_texts(spark):
+    rows = [(1, "some first line here\nanother line of text"), (2, "an unlike beginning\nsome first line here"), (2, "quite another start\nthe third line of all"), (2, "an unlike beginning\nsome first line here"), (None, "some first line here"), (3, None), (4, "nothing to remove")]
+    got = line_dedup.dedup_lines(docs(spark, rows), counted="n").select("doc_id", "text", "n").collect()
+    want = [(1, rows[0][1], 0), (2, "an unlike beginning", 1), (2, "an unlike beginning", 1), (2, rows[2][1], 0), (3, None, 0), (4, rows[6][1], 0), (None, rows[4][1], 0)]
+    assert sorted(map(tuple, got), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")) == want
