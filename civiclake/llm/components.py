@@ -36,20 +36,34 @@ def _least(edges: DataFrame) -> DataFrame:
     return cut(edges.groupBy("a").agg(F.min("b").alias("m")))
 
 
+EDGES = 20_000  # of a spanning forest that a task joins
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id of its connected component, for every node of edges (a, b), both long.
 
     Each partition first joins its own edges to trees; stars then hook on to smaller ones until nothing moves
     (alternating large and small stars). Every step groups with map-side sums, and a node with very many neighbours
-    is a skewed join that adaptive execution splits. The state is cut to the shared folder each round.
+    is a skewed join that adaptive execution splits. The state is cut to the shared folder each round. Edges that lie thinly
+    spread are put together to ``EDGES`` a task first: those of one task are stars at once.
     """
     edges = cut(edges.select("a", "b").filter("a <> b").mapInPandas(_forest, "a long, b long").distinct())
+    tasks = max(1, -(-edges.count() // EDGES))
+    if tasks == 1 or tasks < edges.rdd.getNumPartitions():
+        edges = edges.coalesce(tasks).mapInPandas(_forest, "a long, b long")
+        if tasks == 1:
+            return _centred(edges)
+        edges = cut(edges.distinct())
     while not _stars(edges):
         both = _each(edges, ("a", "b"), ("b", "a"))
         large = cut(both.join(_least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
         small = large.join(_least(large), "a")
         edges = cut(_each(small, ("b", "m"), ("a", "m")).filter("a <> b").distinct())
-    return _each(edges, ("a", "b"), ("b", "b")).withColumnsRenamed({"a": "id", "b": "component"}).distinct()
+    return _centred(edges)
+
+
+def _centred(stars: DataFrame) -> DataFrame:
+    return _each(stars, ("a", "b"), ("b", "b")).withColumnsRenamed({"a": "id", "b": "component"}).distinct()
 
 
 def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:

@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from civiclake.llm import bagminhash, decontaminate, line_dedup, nearest, quality, token_counts
+from civiclake.llm import bagminhash, components, decontaminate, line_dedup, nearest, quality, token_counts
 from civiclake.llm.suite import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_id long, kept boolean, gone int, item_id long"
@@ -294,3 +294,17 @@ def test_line_dedup_of_a_doc_id_with_several_texts(spark):
     got = line_dedup.dedup_lines(docs(spark, rows), counted="n").select("doc_id", "text", "n").collect()
     want = [(1, rows[0][1], 0), (2, "an unlike beginning", 1), (2, "an unlike beginning", 1), (2, rows[2][1], 0), (3, None, 0), (4, rows[6][1], 0), (None, rows[4][1], 0)]
     assert sorted(map(tuple, got), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")) == want
+
+
+def test_components_of_thinly_spread_edges(spark, monkeypatch):
+    """A few edges in many partitions take no rounds of stars; more than a task joins do."""
+    rounds = []
+    stars = components._stars
+    monkeypatch.setattr(components, "_stars", lambda edges: rounds.append(1) or stars(edges))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 50 != 49], "a long, b long").repartition(40)
+    want = {i: i - i % 50 for i in range(300)}
+    assert {r["id"]: r["component"] for r in components.components(edges).collect()} == want
+    assert not rounds
+    monkeypatch.setattr(components, "EDGES", 100)
+    assert {r["id"]: r["component"] for r in components.components(edges).collect()} == want
+    assert rounds
