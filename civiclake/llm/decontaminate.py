@@ -159,7 +159,8 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, similar: float = SIMIL
     pairs = hits.groupBy("doc_id", "text_id", "item_id").agg(F.collect_set(F.floor((F.col("pos") - F.col("at")) / BIN)).alias("places"), F.min("at").alias("least"), F.max("at").alias("most"), F.max("size").alias("size"))
     seeded = pairs.filter((F.col("most") > F.col("least")) | (F.col("size") <= GRAM))
     by_doc = seeded.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("item_id", "places", "size")).alias("bins"))
-    parts = docs.join(by_doc, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "bins").mapInPandas(_cut_parts, "doc_id long, text_id long, item_id long, part string")
+    # Written out: a task that cuts and aligns in one go holds two Python workers at a time, and an executor keeps them all from then on.
+    parts = cut(docs.join(by_doc, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "bins").mapInPandas(_cut_parts, "doc_id long, text_id long, item_id long, part string"))
     texts = items.select("item_id", F.col("text").alias("item_text"))
     scored = parts.join(texts, "item_id").select("doc_id", "text_id", "item_id", "part", "item_text").mapInPandas(_aligned(similar), "doc_id long, text_id long, item_id long, score double")
     best = scored.filter(F.col("score") >= similar).groupBy("doc_id", "text_id", "item_id").agg(F.max("score").alias("score"))

@@ -240,9 +240,9 @@ def bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """A bit per hash prefix; of fixed size, whatever the number of ids."""
     place = F.shiftrightunsigned("id", 64 - bits)
     rows = ids.groupBy(F.shiftrightunsigned(place, 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
-    found = rows.toPandas()
+    found = rows.toArrow()  # as columns: as rows of Python, two million words would take hundreds of MB of the driver
     out = np.zeros(1 << (bits - 5), np.uint32)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,41 @@ def test_contamination_of_repeated_ids(spark, tmp_path):
     assert left == sorted([(2, clean), (3, clean), (None, one), (5, None), (6, "")], key=str)
 
 
+def most_python_in_a_task(plan):
+    """(Python steps that one task of the plan's last stage goes through, the most of any stage)."""
+    if "QueryStage" in plan.nodeName():
+        return 0, most_python_in_a_task(plan.plan())[1]
+    below = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.children().apply(i) for i in range(plan.children().size())]
+    found = [most_python_in_a_task(x) for x in below]
+    last, most = max((x for x, _ in found), default=0), max((x for _, x in found), default=0)
+    if "Exchange" in plan.nodeName():
+        return 0, most
+    last += any(x in plan.nodeName() for x in ("InPandas", "InArrow", "EvalPython"))
+    return last, max(most, last)
+
+
+def test_contamination_uses_one_python_worker_a_task(spark, tmp_path):
+    r = random.Random(5)
+    passages = [prose(r, 30) for _ in range(5)]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark")
+    docs(spark, [(i, prose(r, 9) + " " + (passages[i] if i < 5 else prose(r, 30))) for i in range(20)]).write.parquet(f"{tmp_path}/documents")
+    bench, rows = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("benchmark", "documents"))
+    found = decontaminate.contaminated_texts(rows, bench)
+    assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == {(i, i) for i in range(5)}
+    assert most_python_in_a_task(found._jdf.queryExecution().executedPlan())[1] == 1
+
+
+def test_bitmap_reaches_the_driver_as_columns(spark):
+    ids = spark.range(200_000).select(F.xxhash64("id").alias("id"))
+    tracemalloc.start()
+    bits = line_dedup.bitmap(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert line_dedup.hit(bits, ids.limit(1_000).toArrow()["id"].to_numpy()).all()
+    assert most < 30_000_000  # 8 MB of it are the bitmap itself
+    assert not line_dedup.bitmap(ids.filter("id is null")).any()
+
+
 def jaccard_lines(a, b):
     g = lambda x: {x[i:i + line_dedup.GRAM] for i in range(len(x) - line_dedup.GRAM + 1)} or {x}
     x, y = g(a), g(b)
