@@ -107,3 +107,64 @@ def test_places_and_texts_that_repeat_are_joined_once(spark, monkeypatch, km):
     assert got.columns == ["p", "lon", "lat", "s", "geometry_wkt", *(["distance_km"] if km else [])]
     key = lambda row: (row["p"], str(row["lon"]), row["lat"], row["s"], row["geometry_wkt"])
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and want.count() > 100
+
+
+def test_rounded_is_round(spark):
+    r = random.Random(4)
+    values = [0.0, -0.0, 0.5e-6, 1.5e-6, 2.5e-6, 0.0000005, -0.0000015, 1e-9, -1e-9, 123.4567895, 99999.9999995, 1e5, 1e9, 1e15, 1e300, float("nan"), float("inf"), None]
+    values += [r.uniform(0, 200) for _ in range(3_000)] + [r.uniform(-1, 1) * 10 ** r.uniform(-8, 12) for _ in range(3_000)]
+    values += [round(r.uniform(0, 300), 6) + 0.5e-6 for _ in range(1_000)] + [k / 2e6 for k in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (0, 2, 6):
+        wrong = df.select("v", g.rounded(F.col("v"), n).alias("got"), F.round("v", n).alias("want")).where("cast(got as string) is distinct from cast(want as string)")
+        assert wrong.collect() == []
+
+
+SHAPES = [
+    HOLE, CONCAVE, TWO, LINE, LOOP, MIXED, "POINT (3 4)", "MULTIPOINT ((1 1), (4 2))", "POLYGON EMPTY", "LINESTRING (2 2, 2 2)", "LINESTRING (0 0, 0 0, 3 1)", "LINESTRING (1 2)",
+    "POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))", "GEOMETRYCOLLECTION (POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0)), LINESTRING (5 5, 6 6))",
+    "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((2 2, 3 2, 3 3, 2 2)))", "POLYGON Z ((0 0 1, 4 0 1, 4 3 1, 0 0 1))",
+]
+
+
+def test_outlines_are_as_far_as_parsed_geometries(spark):
+    """Every distance, to the last bit, also of geometries too long or too mixed for an outline."""
+    r = random.Random(12)
+    texts = [(i, w) for i, w in enumerate(SHAPES)] + [(100 + i, ring(r, r.uniform(-3, 8), r.uniform(-3, 8), 10 ** r.uniform(-2, 0.8), r.randint(3, 14))) for i in range(60)]
+    spots = [(i, r.uniform(-4, 9), r.uniform(-4, 9)) for i in range(150)] + [(500 + 20 * i + j, i * 1.0, j * 0.5) for i in range(7) for j in range(13)]
+    left = spark.createDataFrame(spots, "p int, lon double, lat double")
+    right = spark.createDataFrame(texts, "s int, geometry_wkt string")
+    shape = g.parse_wkt(F.col("geometry_wkt"))
+    few = right.select(F.count_if(g.outline(shape).isNotNull()).alias("few"), F.count("s").alias("all")).first()
+    assert 20 < few["few"] < few["all"] - 20
+    away = g.distance(shape, F.col("lon"), F.col("lat"))
+    both = left.crossJoin(right).where(away <= 200 / 111.0)
+    for decimals in (None, 6):
+        km = away * g.KM_PER_DEGREE
+        want = both.select("p", "s", (km if decimals is None else F.round(km, decimals)).alias("d"))
+        got = spatial_join(left, right, within_km=200, decimals=decimals).select("p", "s", "distance_km")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 2_000
+
+
+def test_pairs_are_spelled_out_a_list_at_a_time(spark):
+    """A compiled generator holds all rows of an input row: of the two that spell out pairs only the last is compiled."""
+    left = spark.range(3_000).selectExpr("id p", "1.0D lon", "1.0D lat")
+    right = spark.range(900).selectExpr("id s", f"'{HOLE}' geometry_wkt")
+    found = spatial_join(left, right, within_km=200, decimals=6).select("p", "s", "distance_km")
+    assert found.agg(F.count("p"), F.countDistinct("p", "s")).first() == (2_700_000, 2_700_000)
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    spelled = [x for x in plan if "Generate explode(transform(" in x]
+    assert spelled and not any("*(" in x for x in spelled)
+    # The test by outline is not part of the join's one method, which would be too long to be compiled.
+    tests = [x for x in plan if "AS _square#" in x]
+    assert tests and not any("*(" in x for x in tests)
+
+
+def test_tables_of_one_column_and_columns_of_other_case(spark):
+    left = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "lon double, lat double")
+    one = spark.createDataFrame([("POINT (1 1)",)] * 3, "geometry_wkt string")
+    assert [tuple(x) for x in spatial_join(left, one, within_km=1).collect()] == [(1.0, 1.0, "POINT (1 1)", 0.0)] * 6
+    other = spark.createDataFrame([(7, "POINT (1 1)"), (8, "POINT (1 1)")], "`s.t` int, Geometry_WKT string")
+    got = spatial_join(left, other)
+    assert got.columns == ["lon", "lat", "s.t", "Geometry_WKT"] and sorted(x[2] for x in got.collect()) == [7, 7, 8, 8]
